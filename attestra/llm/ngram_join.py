@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from attestra.llm import blocks
 from attestra.llm.graph import components
 from attestra.llm.shingles import SIZE, in_chunks, mixed, shingle_hashes
-from attestra.llm.work import stored
+from attestra.llm.work import few, stored, without
 
 THRESHOLD, TREES, DEPTH, RECALL = 0.8, 40, 8, 0.9993
-#: Rows that are broadcast at most (two long columns each); beyond it the join is left to shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -131,7 +129,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     ties = nodes.join(hubs, "path").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     grouped = stored(components(ties).select(F.col("id").alias("rep"), F.col("component").alias("grp")), "groups")
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
-    picked = _small(stored(grouped.join(classes.select("rep", "copies"), "rep"), "picked"))
+    picked = few(stored(grouped.join(classes.select("rep", "copies"), "rep"), "picked"))
     # repeated rows of a doc_id are one member
     members = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(picked, "rep").dropDuplicates(["rep"])
     rows = blocks.dealt(members.withColumnRenamed("rep", "id"), sizes, most)
@@ -150,14 +148,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     Only the ids that go are joined with the texts: by broadcast while they are few enough, else by a shuffle.
     """
     judged = stored(ngram_join(docs, **options), "judged")
-    gone = judged.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(_small(gone), "doc_id", "left_anti")
+    kept = without(docs, judged.where("doc_id <> class_id"))
     again = stored(judged.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not again.isEmpty():
-        once = docs.join(_small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(_small(again), "doc_id", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    if again.isEmpty():
+        return kept
+    return without(kept, again).unionByName(kept.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, ngram_join, packing, url_filter
+from attestra.llm import chat, decontaminate, language_id, ngram_join, packing, quality, url_filter
 from attestra.llm.oracles import ORACLE_SQL  # noqa: F401
 from attestra.session import table
 
@@ -55,10 +55,25 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality model trains on: documents that are labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
 }

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids that are broadcast at most (16 MB); beyond it a join is left to shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +36,14 @@ def forget(df: DataFrame) -> None:
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = jvm.org.apache.hadoop.fs.Path(top)
         at.getFileSystem(conf).delete(at, True)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, a stored table of at most a few long columns, marked for broadcast while it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone. Rows with null doc_id stay."""
+    ids = stored(gone.select("doc_id").where("doc_id is not null").distinct(), "gone")
+    return docs.join(few(ids), "doc_id", "left_anti").select(*docs.columns)
