@@ -6,7 +6,7 @@ highest sum wins, and the score is its share of the likelihood.
 
 The word table is counted by Spark over a sample of labelled rows of about ``fit_rows`` documents, whole texts, chosen by
 a hash of doc_id. It holds at most ``max_words`` (language, word) rows, the most frequent, so the model that is
-broadcast is bounded; rarer words are what the n-grams are for.
+broadcast is bounded; rarer words are what the n-grams are for. (A count is the cut, so tied words stay or go together.)
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import without
+from attestra.llm.work import stored, without
 
 FIT_ROWS, MAX_WORDS, GRAM_WORDS, LONGEST = 20_000, 200_000, 60_000, 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -31,17 +31,25 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORD
     known = labelled.where("text is not null and lang is not null")
     share = min(1.0, fit_rows / max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = (
-        sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang", "word")
-        .limit(max_words)
-        .collect()
+    counts = stored(
+        sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words"
     )
+    rows = counts.where(F.col("n") >= _least(counts, max_words)).orderBy(F.desc("n"), "lang", "word").collect()
     return model_of([(r["lang"], r["word"], r["n"]) for r in rows])
 
 
+def _least(counts: DataFrame, most: int) -> int:
+    """The smallest count that at most ``most`` rows reach, from how many rows have each count (above 1,000 each power of 2)."""
+    step = F.when(F.col("n") < 1_024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    kinds = {r["n"]: r["rows"] for r in counts.groupBy(step.alias("n")).agg(F.count("*").alias("rows")).collect()}
+    reach = 0
+    for n in sorted(kinds, reverse=True):
+        if reach + kinds[n] > most:
+            return 2 * n if n >= 1_024 else n + 1
+        reach += kinds[n]
+    return 1
+
+
 def model_of(rows: list[tuple[str, str, int]], gram_words: int = GRAM_WORDS) -> dict:
     """Counts of (language, word) -> log frequencies of words and of n-grams, in the order of the sorted languages."""
     langs = sorted({r[0] for r in rows})
