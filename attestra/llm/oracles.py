@@ -57,4 +57,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_url_filter": _OP1, "op6_benchmark_decontamination": _OP6, "op7_chat_formatting": _OP7}
+# The pages of these tables hold their main text in one article element.
+_OP4 = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '(?s)(</article>|<footer).*$', ''), '(?s)<[a-zA-Z/!][^<>]*$', '') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, url,
+             replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;', '&') AS t FROM c),
+e AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp$', '&'), '\\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e
+"""
+
+ORACLE_SQL = {"op4_html_extraction": _OP4, "op1_url_filter": _OP1, "op6_benchmark_decontamination": _OP6, "op7_chat_formatting": _OP7}

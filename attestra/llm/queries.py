@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, toxicity, url_filter
+from attestra.llm import chat, decontaminate, embedding_dedup, html_extract, language_id, ngram_join, packing, quality, toxicity, url_filter
 from attestra.llm.oracles import ORACLE_SQL  # noqa: F401
 from attestra.session import table
 
@@ -39,6 +39,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
