@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def envelope(raw: Column) -> Column:
@@ -30,7 +31,7 @@ def coerced(value: Column, valid: list[str], aliases: dict[str, str], default: s
     return F.when(value.isNull(), value).when(value.isin(valid), value).otherwise(F.coalesce(known, F.lit(default)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired(raw: pd.Series) -> pd.Series:
     """Escape quotes inside JSON strings: one that is no end of a string, as no : , ] } or end follows. Needs a state
     for each character, which no built-in expression has."""

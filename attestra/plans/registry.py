@@ -1,11 +1,48 @@
-"""All registered queries of the library and their SQL oracles."""
+"""Registered queries and their SQL. Modules add to it with @query."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from attestra.session import table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The input tables as attributes: t.orders, t.pages, ..."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return table(self.spark, self.sf_dir, name)
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from attestra.plans import functions, gates, relational, reports  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return _ORACLES
