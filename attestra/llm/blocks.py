@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.graph import components
+from attestra.llm.work import map_arrow
 
 MOST = 1024
 
@@ -53,7 +54,7 @@ def links(rows: DataFrame, payload: str, linked: Callable[[list], np.ndarray], p
 
     dealt_rows = rows.select("grp", "bi", "bj", "own", "id", "copies", F.col(payload).alias("value"))
     sorted_rows = dealt_rows.repartition(partitions, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "id")
-    return sorted_rows.mapInArrow(count, "id long, n_links long, tied long")
+    return map_arrow(sorted_rows, count, "id long, n_links long, tied long")
 
 
 def _groups(batches):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import boosted
 from attestra.llm.dom import Page
+from attestra.llm.work import map_arrow
 
 #: Groups of attribute tokens, each a feature.
 TOKENS = [
@@ -172,4 +173,4 @@ def extracted(pages: DataFrame) -> DataFrame:
                 texts = texts_of([Page(h.as_py()) for h in part.column(2)], shared.value)
                 yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), run, "page_id long, url string, text string, n_chars long")

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import stored, without
+from attestra.llm.work import map_arrow, stored, without
 
-FIT_ROWS, MAX_WORDS, GRAM_WORDS, LONGEST = 20_000, 200_000, 60_000, 5
+FIT_ROWS, MAX_WORDS, GRAM_WORDS, LONGEST = 20_000, 100_000, 60_000, 5
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -34,8 +34,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORD
     counts = stored(
         sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words"
     )
-    rows = counts.where(F.col("n") >= _least(counts, max_words)).orderBy(F.desc("n"), "lang", "word").collect()
-    return model_of([(r["lang"], r["word"], r["n"]) for r in rows])
+    top = counts.where(F.col("n") >= _least(counts, max_words)).orderBy(F.desc("n"), "lang", "word").toArrow()
+    return model_of(list(zip(*(top.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 def _least(counts: DataFrame, most: int) -> int:
@@ -78,42 +78,44 @@ def _logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
 
 
 class Predictor:
-    """What a Python worker holds: the model and the vectors of unseen words met so far (a bounded cache)."""
-
-    def __init__(self, model: dict, cache: int = 200_000):
-        self.langs, (self.index, self.table), self.grams = model["langs"], model["words"], model["grams"]
-        self.cache, self.most = {}, cache
-
-    def unseen(self, word: str) -> np.ndarray:
-        found = self.cache.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs), np.float32)
-            for size in range(LONGEST, 0, -1):
-                index, table = self.grams[size]
-                rows = [index[g] for g in _grams(word, size) if g in index]
-                if rows:
-                    found = table[rows].mean(axis=0)
-                    break
-            if len(self.cache) >= self.most:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
+    """What a Python worker holds: the model, and in ``most`` more rows of its table the unseen words met so far."""
+
+    def __init__(self, model: dict, most: int = 50_000):
+        self.langs, (self.index, table), self.grams = model["langs"], model["words"], model["grams"]
+        self.first, self.most, self.cache = len(table), most, {}
+        self.table = np.vstack([table, np.zeros((most, len(self.langs)), np.float32)]) if self.langs else table
+
+    def _unseen(self, word: str) -> np.ndarray | float:
+        for size in range(LONGEST, 0, -1):
+            index, table = self.grams[size]
+            rows = [index[g] for g in _grams(word, size) if g in index]
+            if rows:
+                return table[rows].mean(axis=0)
+        return 0.0
+
+    def _rows(self, words: list[str]) -> list[int]:
+        """The table rows of at most ``most`` words."""
+        if len(self.cache) + len(words) > self.most:
+            self.cache.clear()
+        index, cache, rows = self.index, self.cache, []
+        for word in words:
+            k = index.get(word)
+            if k is None:
+                k = cache.get(word)
+                if k is None:
+                    k = cache[word] = self.first + len(cache)
+                    self.table[k] = self._unseen(word)
+            rows.append(k)
+        return rows
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = Counter(LETTERS.findall(text.lower())) if text else None
         if not counts or not self.langs:
             return UNKNOWN, 0.0
+        words, times = list(counts), np.array(list(counts.values()), dtype=np.float64)
         total = np.zeros(len(self.langs))
-        rows, times, index = [], [], self.index
-        for word, n in counts.items():
-            k = index.get(word)
-            if k is None:
-                total += n * self.unseen(word)
-            else:
-                rows.append(k)
-                times.append(n)
-        if rows:
-            total += np.array(times) @ self.table[rows]
+        for a in range(0, len(words), self.most):
+            total += times[a : a + self.most] @ self.table[self._rows(words[a : a + self.most])]
         share = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(share[best] / share.sum())
@@ -135,7 +137,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 {"doc_id": batch.column(0), "lang_pred": pa.array([m[0] for m in made], pa.string()), "score": pa.array([m[1] for m in made], pa.float64())}
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from attestra.llm import blocks
 from attestra.llm.graph import components
 from attestra.llm.shingles import SIZE, in_chunks, mixed, shingle_hashes
-from attestra.llm.work import few, stored, without
+from attestra.llm.work import few, map_arrow, stored, without
 
 THRESHOLD, TREES, DEPTH, RECALL = 0.8, 40, 8, 0.9993
 
@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
                     {"doc_id": pa.array(ids[begin : begin + len(run)], pa.int64()), "class_hash": pa.array(digest, pa.binary()), "paths": pa.array(paths, pa.list_(pa.int64()))}
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, class_hash binary, paths array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), sign, "doc_id long, class_hash binary, paths array<long>")
 
 
 def _paths(x: np.ndarray, starts: np.ndarray, mult, plus, weave, trees: int, d: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.llm.work import stored
+from attestra.llm.work import map_arrow, stored
 
 SIZE = 2048
 #: Fixed value: the pattern of byte-level BPE vocabularies of this family, which splits text before the merges.
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
                 made["ids"] = pa.array(out["ids"], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(made)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import few, stored, without
+from attestra.llm.work import few, map_arrow, stored, without
 
 ORDER, BITS = 4, 16
 MOST_GRAMS = 4_000_000
@@ -68,7 +68,7 @@ def gram_counts(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
                     keys, counts = keys[:0], counts[:0]
         yield pa.RecordBatch.from_pydict({"g": pa.array(keys), "c": pa.array(counts)})
 
-    return texts.select("text").mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return map_arrow(texts.select("text"), count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _suffix(g: Column, k: int) -> Column:
@@ -174,7 +174,7 @@ def perplexities(docs: DataFrame, model: list[DataFrame], most_grams: int = MOST
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64(), mask=np.isnan(out))], names=[*others, "perplexity"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return docs.select("text", *others).mapInArrow(score, f"{schema}, perplexity double")
+    return map_arrow(docs.select("text", *others), score, f"{schema}, perplexity double")
 
 
 def _by_joins(docs: DataFrame, model: list[DataFrame]) -> DataFrame:
@@ -193,7 +193,7 @@ def _by_joins(docs: DataFrame, model: list[DataFrame]) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"_row": pa.array(np.full(len(kinds), row)), "g": pa.array(kinds), "n": pa.array(n)})
 
     base = stored(docs.select("_row", *others, "text"), "docs")
-    counts = base.select("_row", "text").mapInArrow(own, "_row long, g long, n long")
+    counts = map_arrow(base.select("_row", "text"), own, "_row long, g long, n long")
     kinds = stored(counts.select("g").distinct(), "kinds")
     first = model[0].agg((F.first("gamma") / (F.count("*") + 1)).alias("u")).first()["u"] or 1.0
     p = kinds.withColumn("p", F.lit(first))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.language_id import held_out
-from attestra.llm.work import stored
+from attestra.llm.work import map_arrow, stored
 
 FIT_ROWS, SEGMENT_BYTES, MOST_SEGMENTS, LEAST_Z, CUT = 12_000, 16_384, 2_000, 4.0, 0.3
 ANCHOR = b"01234567"
@@ -63,7 +63,7 @@ def _document_counts(texts: DataFrame) -> DataFrame:
         keys = [(k, t, n) for t, c in seen.items() for k, n in c.items()]
         return pa.RecordBatch.from_pydict({"segment": pa.array([k[0] for k in keys], pa.string()), "t": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([k[2] for k in keys], pa.int64())})
 
-    counts = texts.select("text", "toxic").mapInArrow(count, "segment string, t int, n long")
+    counts = map_arrow(texts.select("text", "toxic"), count, "segment string, t int, n long")
     return counts.groupBy("segment").agg(F.sum(F.when(F.col("t") == 1, F.col("n")).otherwise(0)).alias("toxic_docs"), F.sum(F.when(F.col("t") == 0, F.col("n")).otherwise(0)).alias("ordinary_docs"))
 
 
@@ -173,7 +173,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
             yield pa.RecordBatch.from_pydict({"toxic": pa.array(toxic.astype(np.int32)), "cell": pa.array(cell.astype(np.int32)), "share": pa.array(sums[toxic, cell])})
 
     shares = np.zeros((2, WIDTH * WIDTH))
-    tallied = texts.mapInArrow(tally, "toxic int, cell int, share double").groupBy("toxic", "cell").agg(F.sum("share").alias("share"))
+    tallied = map_arrow(texts, tally, "toxic int, cell int, share double").groupBy("toxic", "cell").agg(F.sum("share").alias("share"))
     for r in tallied.collect():  # at most two rows for each pair of lengths
         shares[r["toxic"], r["cell"]] = r["share"]
     shares /= shares.sum(axis=1, keepdims=True)
@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
             made = [[float(v) for v in features(meter.cells(t.as_py()), ratio)] for t in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(1), "x": pa.array(made, pa.list_(pa.float64()))})
 
-    rows = texts.mapInArrow(measure, "toxic int, x array<double>").collect()  # about fit_rows
+    rows = map_arrow(texts, measure, "toxic int, x array<double>").collect()  # about fit_rows
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows])
     order = np.lexsort([*x.T, y])
     return {"contents": contents, "ratio": ratio, **logistic(x[order], y[order])}
@@ -206,7 +206,7 @@ def scores(docs: DataFrame, model: dict | None) -> DataFrame:
                 out = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(out, pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, cut: float = CUT) -> DataFrame:

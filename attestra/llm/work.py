@@ -38,6 +38,16 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+#: Bytes of an Arrow batch at most, so that a task's memory doesn't follow the length of its texts.
+BATCH_BYTES = 4 * 2**20
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes (a session setting, as Spark has no other place for it)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def few(ids: DataFrame) -> DataFrame:
     """ids, a stored table of at most a few long columns, marked for broadcast while it is small enough."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
