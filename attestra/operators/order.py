@@ -62,3 +62,11 @@ def priority_top(df: DataFrame, group: list[str], priority: str, order: list[Col
 def mentioned_lines(df: DataFrame, document: str, body: str) -> DataFrame:
     """(document, pos, line) of a text column; pos from 0."""
     return df.select(document, F.posexplode(F.split(F.coalesce(body, F.lit("")), "\n", -1)).alias("pos", "line"))
+
+
+def unchanged_stop(df: DataFrame, document: list[str], count: str, order: str, times: int) -> DataFrame:
+    """Where a count has stayed the same ``times`` times in a row for the first time."""
+    w = Window.partitionBy(*document).orderBy(order)
+    same = df.withColumn("_s", F.coalesce(F.col(count) == F.lag(count).over(w), F.lit(False)).cast("int"))
+    run = same.withColumn("_run", F.sum("_s").over(w.rowsBetween(1 - times, 0)))
+    return run.where(F.col("_run") == times).groupBy(*document).agg(F.min(order).alias("stop"))
