@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An integer group with an optional unit, between characters that aren't part of a word.
+#: The patterns of numbers in texts. An integer group with an optional unit, between characters that aren't
+#: part of a word; billions; ranges of per cents.
 PRECISE = r"(?U)(?<!\w)(\d{1,3}(?:,\d{3})*|\d+)(\s*(%|ms|req/s|req\/sec|MB|GB|x|times faster))?(?!\w)"
 BILLIONS = r"(?U)\$?(\d+(?:\.\d+)?)\s*[Bb](?:illion)?"
 PERCENTS = r"(?U)(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)\s*%"

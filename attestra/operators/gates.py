@@ -27,6 +27,7 @@ REQUIRED = {
     "fact_check": ["claims", "evidence", "conclusion"], "competitive_comparison": ["overview", "comparison", "positioning", "methodology"],
     "academic_research": ["abstract", "findings", "references", "methodology"], "market_analysis": ["overview", "data", "trends", "conclusion", "methodology"],
 }
+#: Goals of an open kind, test conditions that say nothing, and words that name a limit.
 EXPLORATORY = ["exploratory", "panoramic_understanding", "background_check", "other"]
 GENERIC_CONDITIONS = ["various environments and survey methodologies", "various environments", "n/a", "not specified", "see source"]
 LIMITATIONS = ["limit", "limitation", "shortcom", "drawback", "weakness", "局限", "不足", "缺陷", "短板", "缺点", "限制", "can only", "cannot", "fails to"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The phases in order.
 PHASES = ["scope", "search", "analysis", "deep_dive", "review", "final"]
 #: Legal transitions, and which artifacts a phase's reset removes.
 TRANSITIONS = [("scope", "search"), ("search", "analysis"), ("analysis", "deep_dive"), ("analysis", "review"), ("deep_dive", "search"), ("deep_dive", "review"), ("review", "final"), ("review", "review")]

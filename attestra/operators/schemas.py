@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attestra.operators.gates import ROUTES
 from attestra.operators.verification import EVIDENCE, PRECISIONS
 
+#: The enumerations that documents are held to.
 DEPTHS, AUDIENCES, CONFIDENCE = ["quick", "standard", "deep"], ["CTO", "engineer", "researcher", "general"], ["high", "medium", "low"]
 STATUSES, REASONS = ["pending", "in_progress", "completed", "skipped"], ["source_absent", "source_indirect", "single_source", "tension_unresolved"]
 

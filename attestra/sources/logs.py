@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.sources.documents import read_whole
 
+#: The notepads there are, and the fields of an observation.
 CATEGORIES = ["learnings", "decisions", "issues", "problems", "conventions"]
 FIELDS = ["Status", "Session", "Skill", "Type", "Issue", "Improvement", "Principle"]
 
