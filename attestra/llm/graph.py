@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and an equi-join, so edges never leave Spark's tables and a hub's edges are spread
-by the join's skew handling. Every round is written to the shared folder, which keeps plans short and survives lost
+Each step is a grouped minimum and an equi-join, so edges never leave Spark's tables, and a hub's edges are
+salted. Every round is written to the shared folder, which keeps plans short and survives lost
 executors.
 """
 
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from attestra.llm.work import forget, stored
 
 
+#: Tasks that a hub's edges are dealt out to.
+SALTS = 16
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a long, b long) -> (id, component), component being the smallest id that is reachable, for ids with edges.
 
@@ -34,14 +38,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is tied to the smallest of u and its neighbours."""
+    """Every larger neighbour of u is tied to the smallest of u and its neighbours.
+
+    The edges are dealt out by u and a salt of the other end, and the minima are repeated for each salt, so a hub's edges
+    meet its minimum in SALTS tasks instead of one.
+    """
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    salted = both.where("v > u").withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    repeated = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    """u and its smaller neighbours are tied to the smallest of these."""
+    """u and its smaller neighbours are tied to the smallest of these. A node has as many smaller neighbours as larger
+    ones tied to it by the step before, which are few, so this side has no hubs."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
     tied = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
