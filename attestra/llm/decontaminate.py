@@ -5,8 +5,8 @@ window is filed under its anchor, its longest word. The anchors form the hash se
 tested against, inside the scan; only at those places are the windows filed there looked up (a hash join with the
 anchor table) and compared word by word, so no window of the documents is ever built, exploded or shuffled.
 
-Only DataFrame functions are used. The set is sent with the plan in chunks of at most ``max_anchors`` words, and
-each chunk is one scan, so that neither the plan nor a broadcast grows beyond that bound with the test sets.
+Only DataFrame functions are used. Test sets of more than ``max_windows`` windows are dealt by hash into parts of about
+that size, each scanned for on its own, so that neither the set in the plan nor the broadcast grows beyond that bound.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.words import WORD, words
+from attestra.llm.work import without
 
-SIZE = 10
+SIZE, MAX_WINDOWS = 10, 100_000
 
 
 def test_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -31,7 +32,7 @@ def test_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return grams.select("item_id", "gram", F.size("gram").alias("length"), F.element_at("gram", at).alias("anchor"), (at - 1).alias("before"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, max_anchors: int = 100_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs(doc_id, text) x items(item_id, text) -> doc_id, n_words, n_hit, n_items, item_ids, spans, for each row of docs.
 
     n_hit counts the words inside any occurrence of a window, item_ids the items (as sorted strings) with occurring
@@ -39,10 +40,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, max_ancho
     rows each keep their row. With no items, or none with words, nothing is hit. Very long texts are scanned whole.
     """
     windows = test_windows(items.select("item_id", "text"), size)
-    anchors = [r[0] for r in windows.select("anchor").distinct().orderBy("anchor").collect()]
-    chunks = [anchors[i : i + max_anchors] for i in range(0, len(anchors), max_anchors)]
+    parts = max(1, -(-windows.count() // max_windows))
+    windows = windows.withColumn("part", F.pmod(F.xxhash64("gram", "item_id"), F.lit(parts)))
     base = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words(F.col("text")).alias("_w"))
-    scans = [_scan(base, windows, chunk) for chunk in chunks or [[]]]
+    scans = [_scan(base, windows.where(F.col("part") == k)) for k in range(parts)]
     return (
         reduce(DataFrame.unionByName, scans)
         .groupBy("_row", "doc_id", "n_words")
@@ -59,15 +60,15 @@ def _places(span: Column) -> Column:
     return F.sequence(span["start"], span["start"] + span["length"] - 1)
 
 
-def _scan(base: DataFrame, windows: DataFrame, anchors: list[str]) -> DataFrame:
+def _scan(base: DataFrame, windows: DataFrame) -> DataFrame:
     """One row without item for each document, and one for each occurrence of a window."""
-    filed = windows.where(F.col("anchor").isin(anchors)) if anchors else windows.where(F.lit(False))
-    filed = filed.groupBy("anchor").agg(F.collect_list(F.struct("item_id", "gram", "length", "before")).alias("filed"))
+    anchors = [r[0] for r in windows.select("anchor").distinct().orderBy("anchor").collect()]
+    filed = windows.groupBy("anchor").agg(F.collect_list(F.struct("item_id", "gram", "length", "before")).alias("filed"))
     n = F.size("_w")
     at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get("_w", i - 1).isin(anchors)) if anchors else F.array().cast("array<int>")
     probed = base.select("_row", "doc_id", "_w", n.cast("long").alias("n_words"), F.explode(F.concat(F.array(F.lit(0)), at)).alias("_at"))
     probed = probed.withColumn("_anchor", F.when(F.col("_at") > 0, F.get("_w", F.col("_at") - 1)))
-    joined = probed.join(F.broadcast(filed), F.col("_anchor") == F.col("anchor"), "left")  # at most max_anchors words
+    joined = probed.join(F.broadcast(filed), F.col("_anchor") == F.col("anchor"), "left")  # at most about max_windows windows
     start = F.col("_at")
 
     def occurs(x: Column) -> Column:
@@ -86,14 +87,14 @@ def _scan(base: DataFrame, windows: DataFrame, anchors: list[str]) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, remove: str = "documents", max_anchors: int = 100_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, remove: str = "documents", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without contaminated documents, or with the hit words cut out of their texts (remove='spans').
 
     Columns stay those of docs. doc_id must identify a text; repeated rows of one doc_id share its verdict.
     """
-    found = contamination(docs, items, size, max_anchors).where("n_hit > 0")
+    found = contamination(docs, items, size, max_windows).where("n_hit > 0")
     if remove == "documents":
-        return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+        return without(docs, found)
     spans = found.groupBy("doc_id").agg(F.first("spans").alias("_spans"))
     pattern = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the words of the text as written, capitals too
     gaps, own = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
