@@ -151,7 +151,7 @@ def language_id(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.5) -> DataFrame:
+def with_language(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.3) -> DataFrame:
     """docs whose language is recognised with at least that score; und documents go. Columns stay those of docs."""
     rejected = language_id(docs, fit_rows).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
     return without(docs, rejected)

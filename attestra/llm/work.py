@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +46,26 @@ BATCH_BYTES = 4 * 2**20
 
 
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow with batches of bounded bytes (a session setting, as Spark has no other place for it)."""
+    """df.mapInArrow with batches of bounded bytes (a session setting, as Spark has no other place for it).
+
+    Python workers are used again, by other operators too, so a task hands the memory it has freed back to the system.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def few(ids: DataFrame) -> DataFrame:
