@@ -45,7 +45,6 @@ def signatures(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
 
     def sign(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = (v.as_buffer().to_pybytes() if v.is_valid else None for v in batch.column(1).cast(pa.binary()))
             for begin, run in in_chunks(texts):
                 hashes, at = shingle_hashes(run, size)
@@ -58,7 +57,7 @@ def signatures(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
                     for k, p in zip(some, path, strict=True):
                         paths[k] = p
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(ids[begin : begin + len(run)], pa.int64()), "class_hash": pa.array(digest, pa.binary()), "paths": pa.array(paths, pa.list_(pa.int64()))}
+                    {"doc_id": batch.column(0).slice(begin, len(run)), "class_hash": pa.array(digest, pa.binary()), "paths": pa.array(paths, pa.list_(pa.int64()))}
                 )
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), sign, "doc_id long, class_hash binary, paths array<long>")
@@ -115,12 +114,13 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least threshold. class_id is the
     smallest doc_id reachable over links, n_links the number of other rows that are linked directly, copies included.
-    Null texts and texts without words are linked with nothing. Repeated rows are copies of each other. Other
+    Null texts, texts without words and rows with null doc_id are linked with nothing. Repeated rows are copies of each other. Other
     columns are ignored; an empty table gives an empty result. Texts are used whole.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = stored(signatures(docs, size, threshold, trees, depth, recall), "signatures")
+    signed = signatures(docs, size, threshold, trees, depth, recall)
+    signed = stored(signed.withColumn("class_hash", F.when(F.col("doc_id").isNotNull(), F.col("class_hash"))), "signatures")
     classes = stored(
         signed.where("class_hash is not null").groupBy("class_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths")), "classes"
     )

@@ -157,6 +157,15 @@ def test_embeddings_equal_brute_force(spark):
     assert recall >= 0.99
 
 
+def test_null_ids_are_linked_with_nothing(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.n_links) for r in ngram_join.ngram_join(docs).collect()))
+    assert got == [(0, 0, 0), (0, 0, 0), (1, 1, 1), (2, 1, 1)]
+    own = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    rows = sorted((r.vec_id or 0, r.component_id or 0, r.n_links, r.kept) for r in embedding_dedup.near_duplicates(own)[0].collect())
+    assert rows == [(0, 0, 0, False), (1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_embeddings_of_no_rows(spark):
     got, recall = embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert got.count() == 0 and recall == 1.0
