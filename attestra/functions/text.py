@@ -18,6 +18,12 @@ TOKEN = rf"(?U)[一-鿿]+|[^{_SPACE}一-鿿]+"
 CJK = r"[⺀-⻿　-〿぀-ゟ゠-ヿ㄀-ㄯ㄰-㆏㐀-䶿一-鿿가-힯豈-﫿＀-￯]|[\x{20000}-\x{2FA1F}]"
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f's lambdas look at it (an outer expression inside a lambda is
+    computed again for each element)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """Runs of CJK characters, and other runs between white space and CJK punctuation."""
     return F.coalesce(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))

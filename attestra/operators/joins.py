@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.functions import urls
+from attestra.functions import text, urls
 
 
 def keep_last(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -97,7 +97,7 @@ def overlap_ratio(body: Column, snippet: Column) -> Column:
     cjk = low_s.rlike(r"[一-鿿]")
 
     def share(b: Column, s: Column) -> Column:
-        distinct = F.array_distinct(s)
-        return F.size(F.filter(b, lambda x: F.array_contains(distinct, x))) / F.nullif(F.size(b), F.lit(0))
+        pair = F.struct(b.alias("b"), F.array_distinct(s).alias("s"))
+        return text.bound(pair, lambda p: F.size(F.filter(p["b"], lambda x: F.array_contains(p["s"], x))) / F.nullif(F.size(p["b"]), F.lit(0)))
 
     return F.when((low_s == "") | (low_b == ""), 0.0).otherwise(F.coalesce(F.when(cjk, share(chars(low_b), chars(low_s))).otherwise(share(words(low_b), words(low_s))), F.lit(0.0)))
