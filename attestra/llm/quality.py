@@ -6,13 +6,17 @@ orders, contexts and discounts are grouped sums and equi-joins on the gram, so a
 and no table leaves the cluster. Only the finished probabilities are read by the scoring tasks: by broadcast while they
 have at most ``most_grams`` rows, else by joining each document's own gram counts with them, shard by shard.
 
-A document's figure is its perplexity. Its threshold is the quantile over the trusted documents of its language, times
-``slack``, times exp(``spread`` / sqrt(characters)): the mean of a few characters scatters so much that a short clean
-text would often exceed what holds for long ones.
+Documents are dealt into ``FOLDS`` by a hash of their id, and each is judged by a model that has learnt from the trusted
+documents of the other folds only, so trusted documents count like any others. A document's figure is its perplexity.
+Its threshold is the quantile over the trusted documents of its language of at least ``SHORT`` characters, times
+exp(``spread`` / sqrt(characters)): the mean of a few characters scatters so much that a short clean text would often
+exceed what holds for long ones, and short ones among the trusted would raise the level of long ones by that scatter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +26,7 @@ from attestra.llm.work import few, map_arrow, stored, without
 
 ORDER, BITS = 4, 16
 MOST_GRAMS = 4_000_000
-QUANTILE, SLACK, SPREAD = 0.99, 1.5, 4.0
+QUANTILE, SLACK, SPREAD, FOLDS, SHORT = 0.99, 1.0, 4.0, 3, 400
 PAD = 2
 
 
@@ -53,22 +57,35 @@ def _runs(column, most: int = 500_000):
 
 
 def gram_counts(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
-    """texts(text) -> (g, c): how often each gram occurs. Each task sums its own before anything is shuffled."""
+    """texts(text, [fold]) -> ([fold], g, c): how often each gram occurs. Each task sums its own before anything is shuffled."""
+    by = ["fold"] if "fold" in texts.columns else []
 
     def count(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for _, run in _runs(batch.column(0)):
-                k, n = np.unique(grams_of(run)[0], return_counts=True)
-                both = np.concatenate([keys, k])
-                keys, where = np.unique(both, return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                if len(keys) > flush:
-                    yield pa.RecordBatch.from_pydict({"g": pa.array(keys), "c": pa.array(counts)})
-                    keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_pydict({"g": pa.array(keys), "c": pa.array(counts)})
+            for f, at in _folds(batch.column(1)):
+                for _, run in _runs(batch.column(0).take(pa.array(at))):
+                    keys, counts = sums.get(f, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    k, n = np.unique(grams_of(run)[0], return_counts=True)
+                    both = np.concatenate([keys, k])
+                    keys, where = np.unique(both, return_inverse=True)
+                    sums[f] = keys, np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                    if len(keys) > flush:
+                        yield told(f, *sums.pop(f))
+        for f, own in sums.items():
+            yield told(f, *own)
+
+    def told(f, keys, counts):
+        return pa.RecordBatch.from_pydict({"fold": pa.array(np.full(len(keys), f, np.int32)), "g": pa.array(keys), "c": pa.array(counts)})
+
+    rows = texts.select("text", F.col("fold").cast("int") if by else F.lit(0).alias("fold"))
+    return map_arrow(rows, count, "fold int, g long, c long").groupBy(*by, "g").agg(F.sum("c").alias("c"))
+
 
-    return map_arrow(texts.select("text"), count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def _folds(column) -> list[tuple[int, np.ndarray]]:
+    """Each fold of a column and the rows it has."""
+    folds = column.to_numpy(zero_copy_only=False)
+    return [(int(f), np.flatnonzero(folds == f)) for f in np.unique(folds)]
 
 
 def _suffix(g: Column, k: int) -> Column:
@@ -150,31 +167,41 @@ class Scorer:
 
 def perplexities(docs: DataFrame, model: list[DataFrame], most_grams: int = MOST_GRAMS) -> DataFrame:
     """docs(doc_id, text, ...) -> its columns but text, n_codes (characters) and perplexity (null for null or empty text)."""
+    return _by_folds(docs.withColumn("fold", F.lit(0)), [model], most_grams).drop("fold")
+
+
+def _by_folds(docs: DataFrame, models: list[list[DataFrame]], most_grams: int) -> DataFrame:
+    """perplexities() of docs(fold, ...), each by the model of its fold."""
     docs = docs.withColumn("n_codes", F.coalesce(F.length("text"), F.lit(0)))
     others = [c for c in docs.columns if c != "text"]
-    if sum(m.count() for m in model) > most_grams:
-        return _by_joins(docs, model)
-    tables = []
-    for m in model:
-        rows = m.toArrow() if hasattr(m, "toArrow") else pa.Table.from_pandas(m.toPandas())
-        tables.append(tuple(rows.column(c).to_numpy() for c in ("g", "p", "h", "gamma")))
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(tables))  # at most most_grams rows
+    if sum(m.count() for model in models for m in model) > most_grams:
+        return reduce(DataFrame.unionByName, [_by_joins(docs.where(F.col("fold") == f), model) for f, model in enumerate(models)])
+    scorers = []
+    for model in models:
+        tables = []
+        for m in model:
+            rows = m.toArrow() if hasattr(m, "toArrow") else pa.Table.from_pandas(m.toPandas())
+            tables.append(tuple(rows.column(c).to_numpy() for c in ("g", "p", "h", "gamma")))
+        scorers.append(Scorer(tables))
+    shared = docs.sparkSession.sparkContext.broadcast(scorers)  # at most most_grams rows
 
     def score(batches):
-        scorer = shared.value
         for batch in batches:
             out = np.full(batch.num_rows, np.nan)
-            for begin, run in _runs(batch.column(0)):
-                grams, at = grams_of(run)
-                kinds, where = np.unique(grams, return_inverse=True)
-                logs = np.concatenate([[0.0], np.cumsum(scorer.log_p(kinds)[where])])
-                n = np.diff(at)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    out[begin : begin + len(run)] = np.exp(-(logs[at[1:]] - logs[at[:-1]]) / n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64(), mask=np.isnan(out))], names=[*others, "perplexity"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return map_arrow(docs.select("text", *others), score, f"{schema}, perplexity double")
+            for f, own in _folds(batch.column(1)):
+                scorer = shared.value[f]
+                for begin, run in _runs(batch.column(0).take(pa.array(own))):
+                    grams, at = grams_of(run)
+                    kinds, where = np.unique(grams, return_inverse=True)
+                    logs = np.concatenate([[0.0], np.cumsum(scorer.log_p(kinds)[where])])
+                    n = np.diff(at)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        out[own[begin : begin + len(run)]] = np.exp(-(logs[at[1:]] - logs[at[:-1]]) / n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64(), mask=np.isnan(out))], names=[*named, "perplexity"])
+
+    named = ["fold", *[c for c in others if c != "fold"]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*named).schema)
+    return map_arrow(docs.select("text", *named), score, f"{schema}, perplexity double").select(*others, "perplexity")
 
 
 def _by_joins(docs: DataFrame, model: list[DataFrame]) -> DataFrame:
@@ -210,18 +237,26 @@ def _by_joins(docs: DataFrame, model: list[DataFrame]) -> DataFrame:
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, spread: float = SPREAD, most_grams: int = MOST_GRAMS) -> DataFrame:
     """docs(doc_id, text, lang), trusted(doc_id) -> doc_id, lang, perplexity, threshold, accepted for each row.
 
-    threshold is slack times exp(spread / sqrt(characters)) times the quantile over the trusted documents of the same lang, or over all trusted ones where
-    a lang (or null) has none. Null and empty texts have null perplexity and are not accepted. Without any trusted
-    text there is nothing to judge by: thresholds are null and all other documents are accepted. Repeated rows each
-    get their row; extra columns are ignored.
+    Each row is scored by the model of the trusted documents outside its fold (crc32 of doc_id as text mod FOLDS; null ids
+    are in fold 0), or by one model of all where trusted texts are in a single fold. threshold is slack times
+    exp(spread / sqrt(characters)) times the quantile over the trusted documents of the same lang, or over all trusted
+    ones where a lang (or null) has none; of these, over those of at least SHORT characters, if there are any. Null and empty texts have null perplexity and are not accepted. Without any
+    trusted text there is nothing to judge by: thresholds are null and all other documents are accepted. Repeated rows
+    each get their row; extra columns are ignored.
     """
     ids = few(stored(trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct(), "trusted"))
     marked = docs.select("doc_id", "text", "lang").join(ids, F.col("doc_id") == F.col("_trusted"), "left").withColumn("_trusted", F.col("_trusted").isNotNull())
-    model = kneser_ney(stored(gram_counts(marked.where("_trusted").select("text")), "counts"))
-    scored = stored(perplexities(marked, model, most_grams), "scored")
+    marked = marked.withColumn("fold", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int"))
+    counts = stored(gram_counts(marked.where("_trusted and length(text) > 0").select("text", "fold")), "counts")
+    folds = counts.select("fold").distinct().count()
+    learnt = [counts.where(F.col("fold") != f) if folds > 1 else counts for f in range(FOLDS if folds > 1 else 1)]
+    models = [kneser_ney(stored(c.groupBy("g").agg(F.sum("c").alias("c")), "counts")) for c in learnt]
+    scored = stored(_by_folds(marked if folds > 1 else marked.withColumn("fold", F.lit(0)), models, most_grams), "scored")
     good = scored.where("_trusted and perplexity is not null")
-    each = good.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
-    of_all = good.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
+    long_ones = F.when(F.col("n_codes") >= SHORT, F.col("perplexity"))
+    own = F.coalesce(F.percentile_approx(long_ones, quantile, 10_000), F.percentile_approx("perplexity", quantile, 10_000)).alias("own")
+    each = good.groupBy("lang").agg(own)
+    of_all = good.agg(own).first()[0]
     level = F.coalesce("own", F.lit(of_all).cast("double")) * slack * F.exp(spread / F.sqrt(F.greatest("n_codes", F.lit(1))))
     return (
         scored.join(F.broadcast(each.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left")  # a row for each language

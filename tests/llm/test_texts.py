@@ -330,6 +330,24 @@ def test_quality_separates_and_keeps_clean(spark):
     assert quality.quality(docs.where("false"), trusted).count() == 0
 
 
+def test_quality_rejects_repeated_words(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.quality(docs, labels.where("quality = 1 AND toxic = 0").select("doc_id")).join(docs.select("doc_id", "text"), "doc_id").join(labels, "doc_id").toPandas()
+    share = got.text.map(lambda t: len(set((t or "").split())) / max(20, len((t or "").split())))
+    repeated = got[(got.quality == 0) & (share < 0.2) & (got.text.str.split().str.len() >= 20)]
+    assert len(repeated) > 100 and repeated.accepted.mean() < 0.3
+    assert got.accepted[got.quality == 0].mean() < 0.15 and got.accepted[got.quality == 1].mean() > 0.99
+
+
+def test_quality_judges_trusted_texts_by_others(spark):
+    """A text that no other resembles must not look clean because the model has learnt it by heart."""
+    r = random.Random(6)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(300))
+    texts = [make("abcd") for _ in range(30)] + [make("\u0436\u0437\u0438\u0439\u043a")]
+    got = quality.quality(docs_of(spark, texts), spark.range(len(texts)).withColumnRenamed("id", "doc_id"), quantile=0.9).collect()
+    assert {x.doc_id for x in got if not x.accepted} >= {30} and max(x.perplexity for x in got) > 50
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
