@@ -27,7 +27,7 @@ from attestra.llm import blocks
 from attestra.llm.graph import components
 from attestra.llm.work import map_arrow, stored
 
-THRESHOLD, NEIGHBOURS, TREES, LEAF, PART = 0.9, 10, 8, 128, 256
+THRESHOLD, NEIGHBOURS, TREES, LEAF, PART, COMMON = 0.9, 10, 8, 128, 256, 16
 AUDIT_ROWS, RECALL, MOST_ROUNDS = 500, 0.995, 4
 
 
@@ -79,10 +79,17 @@ def _leaves(points: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
 
 
 def _parted(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """rows(grp, id, ...) with part: groups of more than most rows are dealt at random into parts of about most."""
+    """rows(grp, id, ...) with part: groups of more than most rows are dealt at random into parts of about most.
+
+    Each group is dealt by its own hash, so rows that share several groups don't miss each other in all of them alike, and
+    about COMMON rows of a dealt group are in each of its parts, so a tight group keeps a tie between its parts.
+    """
     sizes = rows.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1")
-    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("_n") / F.lit(most)).cast("long"))
-    return rows.join(sizes, "grp").withColumn("part", part).drop("_n")
+    parts = F.ceil(F.col("_n") / F.lit(most)).cast("long")
+    own = F.pmod(F.xxhash64("id", "grp", F.lit(seed)), parts)
+    common = (parts > 1) & (F.pmod(F.xxhash64("grp", "id", F.lit(seed)), F.ceil(F.col("_n") / F.lit(COMMON)).cast("long")) == 0)
+    part = F.when(common, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
+    return rows.join(sizes, "grp").withColumn("part", F.explode(part)).drop("_n")
 
 
 def _local_joins(rows: DataFrame, partitions: int, keep: int) -> DataFrame:
@@ -201,7 +208,7 @@ def near_duplicates(
         fallen = _parted(_leaves(points, trees, bits, r), PART, r).withColumn("worst", F.lit(-1.0))
         edges = _local_joins(fallen, partitions, neighbours)
         graph = stored(_nearest(edges if graph is None else graph.unionByName(edges), neighbours), "graph")
-        graph = stored(_refined(graph, points, neighbours, PART, r, partitions), "graph")
+        graph = stored(_refined(graph, points, neighbours, PART, most_rounds + r, partitions), "graph")
         judged = stored(_components_of(graph, points, threshold, partitions), "components")
         found = _audited(points, judged, threshold, audit_rows)
         if found >= recall:

@@ -169,3 +169,14 @@ def test_null_ids_are_linked_with_nothing(spark):
 def test_embeddings_of_no_rows(spark):
     got, recall = embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert got.count() == 0 and recall == 1.0
+
+
+def test_oversized_groups_are_dealt_each_in_its_own_way(spark):
+    rows = spark.range(600).crossJoin(spark.createDataFrame([(g,) for g in range(8)], "grp long"))
+    parts = {}
+    for r in embedding_dedup._parted(rows, 256, 0).collect():
+        parts.setdefault((r.grp, r.id), set()).add(r.part)
+    common = [{i for i in range(600) if len(parts[g, i]) == 3} for g in range(8)]
+    assert all(common) and sum(map(len, common)) < 600
+    met = sum(any(parts[g, 0] & parts[g, i] for g in range(8)) for i in range(1, 600))
+    assert met > 540  # 1 - (2/3)^8 of them; 200 if all groups are dealt alike
