@@ -3,11 +3,11 @@
 1. Equal unit vectors are one class, whose smallest vec_id stands for it; copies cost one row each.
 2. A neighbour graph starts from the leaves of random-projection trees and is refined by local joins: around each
    centre its neighbours and those that have it as a neighbour meet, and pairs that improve a list go into it.
-3. Edges at the threshold join classes into components. Lists that are full of such edges are saturated: there the
-   lists are enlarged to the whole component, in which every pair is compared in double precision
-   (attestra.llm.blocks), so saturation loses nothing and large components are dealt out in blocks.
+3. Edges at the threshold join classes into components. Lists that are full of such edges are saturated: vectors that
+   have one are searched again for neighbours outside their component, which may join components, until a search finds
+   none. Inside a component every pair is compared in double precision (attestra.llm.blocks), in blocks if it is large.
 4. An audit compares the links of some stated query vectors with brute force over all vectors, in blocks; while the
-   recall is under target, further trees and rounds follow.
+   recall is under target, further trees and rounds follow, and if it is still after the last, an error.
 
 Leaves and hubs of any size are dealt into parts of bounded size; no list of partners is cut but the K nearest of the
 descent, for which step 3 makes up.
@@ -93,10 +93,10 @@ def _parted(rows: DataFrame, most: int, seed: int) -> DataFrame:
 
 
 def _local_joins(rows: DataFrame, partitions: int, keep: int) -> DataFrame:
-    """rows(grp, part, id, v, worst) -> (id, nbr, sim): for each member of a part the best keep others that beat its worst."""
+    """rows(grp, part, id, v, worst, own) -> (id, nbr, sim): for each member of a part the best keep others of another own that beat its worst."""
 
     def meet(batches):
-        for ids, vectors, worst in _parts(batches):
+        for ids, vectors, worst, own in _parts(batches):
             if len(ids) < 2:
                 continue
             out = []
@@ -104,7 +104,7 @@ def _local_joins(rows: DataFrame, partitions: int, keep: int) -> DataFrame:
                 at = np.flatnonzero([len(v) == dims for v in vectors])
                 x = np.frombuffer(b"".join(vectors[k] for k in at), np.float32).reshape(len(at), -1)
                 sims = x @ x.T
-                sims[ids[at][:, None] == ids[at][None, :]] = -2
+                sims[own[at][:, None] == own[at][None, :]] = -2
                 k = min(keep, len(at) - 1)
                 if k < 1:
                     continue
@@ -116,12 +116,12 @@ def _local_joins(rows: DataFrame, partitions: int, keep: int) -> DataFrame:
                 a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({"id": pa.array(a), "nbr": pa.array(b), "sim": pa.array(s.astype(np.float64).round(6))})
 
-    dealt = rows.select("grp", "part", "id", "v", "worst").repartition(partitions, "grp", "part").sortWithinPartitions("grp", "part")
+    dealt = rows.select("grp", "part", "id", "v", "worst", "own").repartition(partitions, "grp", "part").sortWithinPartitions("grp", "part")
     return map_arrow(dealt, meet, "id long, nbr long, sim double")
 
 
 def _parts(batches):
-    key, ids, vectors, worst = None, [], [], []
+    key, ids, vectors, worst, own = None, [], [], [], []
     for batch in batches:
         g, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
         cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1])) + 1), len(g)]
@@ -130,13 +130,14 @@ def _parts(batches):
                 continue
             if (g[a], p[a]) != key:
                 if ids:
-                    yield np.concatenate(ids), vectors, np.concatenate(worst)
-                key, ids, vectors, worst = (g[a], p[a]), [], [], []
+                    yield np.concatenate(ids), vectors, np.concatenate(worst), np.concatenate(own)
+                key, ids, vectors, worst, own = (g[a], p[a]), [], [], [], []
             ids.append(batch.column(2)[a:b].to_numpy(zero_copy_only=False))
             vectors += batch.column(3)[a:b].to_pylist()
             worst.append(batch.column(4)[a:b].to_numpy(zero_copy_only=False))
+            own.append(batch.column(5)[a:b].to_numpy(zero_copy_only=False))
     if ids:
-        yield np.concatenate(ids), vectors, np.concatenate(worst)
+        yield np.concatenate(ids), vectors, np.concatenate(worst), np.concatenate(own)
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -145,15 +146,44 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("id").agg(best.alias("best")).select("id", F.explode("best").alias("b")).select("id", "b.nbr", "b.sim")
 
 
-def _refined(graph: DataFrame, points: DataFrame, k: int, part: int, seed: int, partitions: int) -> DataFrame:
-    """One round: neighbours of a centre, in either direction, meet each other and the centre."""
-    both = graph.select(F.col("id").alias("grp"), F.col("nbr").alias("id")).unionByName(graph.select(F.col("nbr").alias("grp"), "id")).distinct()
+def _refined(graph: DataFrame, points: DataFrame, k: int, part: int, seed: int, partitions: int, inside: DataFrame | None = None) -> DataFrame:
+    """One round: neighbours of a centre, in either direction, meet each other and the centre. inside: edges that only make rows meet."""
+    near = graph if inside is None else graph.unionByName(inside)
+    both = near.select(F.col("id").alias("grp"), F.col("nbr").alias("id")).unionByName(near.select(F.col("nbr").alias("grp"), "id")).distinct()
     worst = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.0)).alias("worst"))
-    small = points.join(worst, "id", "left").select("id", F.col("small").alias("v"), F.coalesce("worst", F.lit(-1.0)).alias("worst"))
+    small = points.join(worst, "id", "left").select("id", F.col("small").alias("v"), F.coalesce("worst", F.lit(-1.0)).alias("worst"), "own")
     rows = _parted(both, part, seed).join(small, "id")
     return _nearest(graph.unionByName(_local_joins(rows, partitions, k)), k)
 
 
+def _enlarged(graph: DataFrame, points: DataFrame, threshold: float, k: int, trees: int, seed: int, partitions: int) -> DataFrame:
+    """(id, component) for ids with edges at the threshold: the graph's, and those that saturated lists leave out.
+
+    If a link between two components is in no list, both of its ends have k better ones. Such ends look for neighbours
+    outside their component, by trees and a local join, and what is found joins components, so each search but the last
+    leaves fewer of them.
+    """
+    near = threshold - 1e-4
+    ties = stored(graph.where(F.col("sim") >= near).select(F.col("id").alias("a"), F.col("nbr").alias("b")), "ties")
+    joined = stored(components(ties), "groups")
+    full = graph.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= k) & (F.col("least") >= near))
+    full = stored(points.join(full.select("id"), "id").select("id", "dims", "unit", "small"), "full")
+    bits = max(1, math.ceil(math.log2(max(2, full.count()) / LEAF)))
+    while True:
+        own = stored(full.join(joined.select("id", F.col("component").alias("own")), "id"), "own")
+        if own.select("own").distinct().limit(2).count() < 2:
+            return joined
+        seed += 1
+        fallen = _parted(_leaves(own, trees, bits, seed), PART, seed).join(own.select("id", "own"), "id").withColumn("worst", F.lit(-1.0))
+        outside = stored(_nearest(_local_joins(fallen, partitions, k), k), "outside")
+        outside = _refined(outside, own, k, PART, -seed, partitions, inside=graph)
+        found = stored(outside.where(F.col("sim") >= near).select(F.col("id").alias("a"), F.col("nbr").alias("b")), "ties")
+        if found.isEmpty():
+            return joined
+        ties = ties.unionByName(found)
+        joined = stored(components(ties), "groups")
+
+
 def _cosine_links(threshold: float):
     def linked(values: list[bytes]) -> np.ndarray:
         x = np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
@@ -205,14 +235,17 @@ def near_duplicates(
     bits = max(1, math.ceil(math.log2(max(2, n) / LEAF)))
     graph, judged, found = None, None, 0.0
     for r in range(most_rounds):
-        fallen = _parted(_leaves(points, trees, bits, r), PART, r).withColumn("worst", F.lit(-1.0))
+        fallen = _parted(_leaves(points, trees, bits, r), PART, r).withColumn("worst", F.lit(-1.0)).withColumn("own", F.col("id"))
         edges = _local_joins(fallen, partitions, neighbours)
         graph = stored(_nearest(edges if graph is None else graph.unionByName(edges), neighbours), "graph")
-        graph = stored(_refined(graph, points, neighbours, PART, most_rounds + r, partitions), "graph")
-        judged = stored(_components_of(graph, points, threshold, partitions), "components")
+        graph = stored(_refined(graph, points.withColumn("own", F.col("id")), neighbours, PART, most_rounds + r, partitions), "graph")
+        joined = _enlarged(graph, points, threshold, neighbours, trees, 1000 * (r + 1), partitions)
+        judged = stored(_components_of(joined, points, threshold, partitions), "components")
         found = _audited(points, judged, threshold, audit_rows)
         if found >= recall:
             break
+    else:
+        raise RuntimeError(f"audited recall is {found:.4f} after {most_rounds} rounds, under {recall}")
     own = points.select("digest", "id", "copies").join(judged, "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
@@ -228,10 +261,9 @@ def _as_floats(unit: Column) -> Column:
     return narrow(unit)
 
 
-def _components_of(graph: DataFrame, points: DataFrame, threshold: float, partitions: int) -> DataFrame:
-    """(id, n_links, component): the edges at the threshold give candidate components, inside which all pairs are compared."""
-    ties = graph.where(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("a"), F.col("nbr").alias("b"))
-    grouped = stored(components(ties).select("id", F.col("component").alias("grp")), "groups")
+def _components_of(joined: DataFrame, points: DataFrame, threshold: float, partitions: int) -> DataFrame:
+    """(id, n_links, component): joined(id, component) are candidate components, inside which all pairs are compared."""
+    grouped = joined.select("id", F.col("component").alias("grp"))
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
     members = grouped.join(points.select("id", "copies", "unit"), "id")
     return blocks.summed(stored(blocks.links(blocks.dealt(members, sizes), "unit", _cosine_links(threshold), partitions), "links"))

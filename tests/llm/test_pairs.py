@@ -180,3 +180,23 @@ def test_oversized_groups_are_dealt_each_in_its_own_way(spark):
     assert all(common) and sum(map(len, common)) < 600
     met = sum(any(parts[g, 0] & parts[g, i] for g in range(8)) for i in range(1, 600))
     assert met > 540  # 1 - (2/3)^8 of them; 200 if all groups are dealt alike
+
+
+def test_links_between_saturated_groups(spark):
+    rng = np.random.default_rng(5)
+    centres = np.zeros((2, 64))
+    centres[:, 0], centres[1, 1] = 1, 0.38  # cosine 0.935
+    own = np.repeat(centres, 20, axis=0) + 0.015 * rng.standard_normal((40, 64))
+    own = np.vstack([own, rng.standard_normal((60, 64))]).astype(np.float32)
+    unit = own.astype(float) / np.linalg.norm(own.astype(float), axis=1)[:, None]
+    want = ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert min(want[:40]) > 19
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(own)], "vec_id long, embedding array<float>")
+    got = sorted(embedding_dedup.near_duplicates(df)[0].collect(), key=lambda r: r.vec_id)
+    assert [r.n_links for r in got] == want and {r.component_id for r in got[:40]} == {0}
+
+
+def test_recall_under_target_is_an_error(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors())], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.near_duplicates(df, recall=2.0, most_rounds=1)
