@@ -2,53 +2,112 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids that are broadcast at most (16 MB); beyond it a join is left to shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of ids that are broadcast at most; beyond it a join is left to shuffle.
+BROADCAST_BYTES = 32 * 2**20
+#: Folders of the applications of this process, and the tables that each block of scratch() has seen written.
+_DIRS: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset, as in local tests."""
+    """The cluster's spark.checkpoint.dir. Only a local master, as in tests, may do without: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _DIRS.setdefault("local", "file://" + tempfile.mkdtemp(prefix="attestra-"))
 
 
 def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/attestra-{spark.sparkContext.applicationId}"
+    """The application's folder, which goes when the application ends, whatever of it is left by then."""
+    app = spark.sparkContext.applicationId
+    if app not in _DIRS:
+        _DIRS[app] = f"{shared_dir(spark)}/attestra-{app}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(_DIRS[app])
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return _DIRS[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has stored, once nothing reads their results any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, _own_dir(spark))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and return a reader of it, without df's lineage."""
+    return _stored(df, label)[0]
+
+
+def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _SCRATCH:
+        paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def forget(df: DataFrame) -> None:
     """Delete the table behind what stored() returned, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(top)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(df.sparkSession, top)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete the tables stored inside the block at its end, but those stored by the function that it yields.
+
+    with scratch(spark) as keep: out = keep(query(...), "result")
+    """
+    paths: list[str] = []
+    lasting: set[str] = set()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out, path = _stored(df, label)
+        lasting.add(path)
+        return out
+
+    _SCRATCH.append(paths)
+    try:
+        yield keep
+    finally:
+        _SCRATCH[:] = [x for x in _SCRATCH if x is not paths]
+        for path in paths:
+            if path not in lasting:
+                _delete(spark, path)
+
+
+def sampled(key: Column, share: float, seed: str) -> Column:
+    """Whether a row is in the sample that has this share of the keys, by all 64 bits of a hash: any share above 1e-18 works.
+
+    Samples of different seeds are independent of each other.
+    """
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(key, F.lit(seed)) < F.lit(bound(share)).cast("long")
+
+
+def bound(share: float) -> int:
+    """The signed 64-bit number that this share of all such numbers is under."""
+    return int(share * 2**64) - 2**63
 
 
 #: Bytes of an Arrow batch at most, so that a task's memory doesn't follow the length of its texts.
@@ -78,9 +137,10 @@ def _release() -> None:
         pass
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """ids, a stored table of at most a few long columns, marked for broadcast while it is small enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def few(ids: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """ids, a stored table of fixed-width columns, marked for broadcast while its rows take at most ``most`` bytes."""
+    width = 16 + 8 * len(ids.columns)
+    return F.broadcast(ids) if ids.count() * width <= most else ids
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
