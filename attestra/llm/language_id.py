@@ -4,65 +4,72 @@ A known word adds its log frequency in each language. An unseen word falls back
 for its two ends), the longest first: the first length of which the model knows a gram decides. The language with the
 highest sum wins, and the score is its share of the likelihood.
 
-The word table is counted by Spark over a sample of labelled rows of about ``fit_rows`` documents, whole texts, chosen by
-a hash of doc_id. It holds at most ``max_words`` (language, word) rows, the most frequent, so the model that is
-broadcast is bounded; rarer words are what the n-grams are for. (A count is the cut, so tied words stay or go together.)
+Words and n-grams are counted by Spark over a sample of labelled rows, whole texts, chosen by a hash of doc_id: of about
+``fit_rows`` documents and ``fit_chars`` characters, whichever is less. All its words and n-grams are in the model that is
+broadcast, so that sample bounds it.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import map_arrow, stored, without
+from attestra.llm.work import map_arrow, sampled, stored
 
-FIT_ROWS, MAX_WORDS, GRAM_WORDS, LONGEST = 20_000, 100_000, 60_000, 5
-LETTERS = re.compile(r"[^\W\d_]+")
+FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 60_000_000, 5
+WORDS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS) -> dict:
+def word_counts(text: str | None) -> Counter:
+    """How often each word stands in a text: maximal runs of letters (Unicode category L), lower-cased."""
+    found = Counter(WORDS.findall(text.lower())) if text else Counter()
+    for odd in [w for w in found if not w.isalpha()]:  # the pattern also takes numerals as ½ and ②, which are no letters
+        n = found.pop(odd)
+        for w in LETTERS.findall(odd):
+            found[w] += n
+    return found
+
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> dict:
     """labelled(doc_id, text, lang) -> model. Rows with null text or lang teach nothing; without any, all is und."""
     known = labelled.where("text is not null and lang is not null")
-    share = min(1.0, fit_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = stored(
-        sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words"
-    )
-    top = counts.where(F.col("n") >= _least(counts, max_words)).orderBy(F.desc("n"), "lang", "word").toArrow()
-    return model_of(list(zip(*(top.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
-
-
-def _least(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` rows reach, from how many rows have each count (above 1,000 each power of 2)."""
-    step = F.when(F.col("n") < 1_024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
-    kinds = {r["n"]: r["rows"] for r in counts.groupBy(step.alias("n")).agg(F.count("*").alias("rows")).collect()}
-    reach = 0
-    for n in sorted(kinds, reverse=True):
-        if reach + kinds[n] > most:
-            return 2 * n if n >= 1_024 else n + 1
-        reach += kinds[n]
-    return 1
-
-
-def model_of(rows: list[tuple[str, str, int]], gram_words: int = GRAM_WORDS) -> dict:
-    """Counts of (language, word) -> log frequencies of words and of n-grams, in the order of the sorted languages."""
-    langs = sorted({r[0] for r in rows})
-    at = {lang: k for k, lang in enumerate(langs)}
-    words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
-    grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(LONGEST + 1)]
-    for k, (lang, word, n) in enumerate(rows):
-        words[word][at[lang]] += n
-        if k < gram_words:
-            for size in range(1, LONGEST + 1):
-                for g in _grams(word, size):
-                    grams[size][g][at[lang]] += 1 + np.log(n)
-    return {"langs": langs, "words": _logs(words), "grams": [_logs(g) for g in grams]}
+    size = known.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).first()
+    share = min(1.0, fit_rows / max(1, size["n"]), fit_chars / max(1, size["chars"] or 0))
+    sample = known.where(sampled(F.col("doc_id"), share, "fit"))
+    letters = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    counts = stored(sample.select("lang", F.explode(letters).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    marked = F.concat(F.lit("^"), "word", F.lit("$"))
+    places = F.sequence(F.lit(1), F.length("word") + 2)
+    each = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(F.filter(places, lambda i: i + k <= F.length("word") + 3), lambda i: F.substring(marked, i, k))))
+    grams = counts.select("lang", (1 + F.log("n")).alias("w"), F.explode(each).alias("gram")).groupBy("lang", "gram").agg(F.sum("w").alias("w"))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    return {"langs": langs, "words": _logs(counts.select("word", "lang", "n"), langs), "grams": _logs(grams.select("gram", "lang", "w"), langs, by_length=True)}
+
+
+def _logs(counts: DataFrame, langs: list[str], by_length: bool = False):
+    """(key, lang, count) -> ({key: row}, log frequencies by language); keys of each length are smoothed by themselves if by_length."""
+    rows = counts.toArrow()
+    keys, lang, n = (rows.column(k) for k in range(3))
+    if not len(keys):
+        return {}, np.zeros((0, len(langs)), np.float32)
+    coded = keys.combine_chunks().dictionary_encode()
+    table = np.zeros((len(coded.dictionary), len(langs)))
+    at = {name: k for k, name in enumerate(langs)}
+    np.add.at(table, (coded.indices.to_numpy(), np.array([at[x] for x in lang.to_pylist()])), n.to_numpy().astype(float))
+    names = coded.dictionary.to_pylist()
+    kinds = np.array([len(x) for x in names]) if by_length else np.zeros(len(names), int)
+    out = np.zeros(table.shape, np.float32)
+    for kind in np.unique(kinds):
+        own = kinds == kind
+        out[own] = np.log((table[own] + 0.1) / (table[own].sum(axis=0) + 0.1 * own.sum()))
+    return dict(zip(names, range(len(names)), strict=True)), out
 
 
 def _grams(word: str, size: int) -> list[str]:
@@ -70,28 +77,23 @@ def _grams(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
-def _logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-    if not counts:
-        return {}, np.zeros((0, 0), np.float32)
-    table = np.array(list(counts.values()))
-    return dict(zip(counts, range(len(counts)), strict=True)), np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * len(table))).astype(np.float32)
-
-
 class Predictor:
     """What a Python worker holds: the model, and in ``most`` more rows of its table the unseen words met so far."""
 
     def __init__(self, model: dict, most: int = 50_000):
-        self.langs, (self.index, table), self.grams = model["langs"], model["words"], model["grams"]
+        self.langs, (self.index, table), (self.gram_index, self.gram_table) = model["langs"], model["words"], model["grams"]
         self.first, self.most, self.cache = len(table), most, {}
-        self.table = np.vstack([table, np.zeros((most, len(self.langs)), np.float32)]) if self.langs else table
+        # the last column tells whether the model knows anything of the word
+        self.table = np.zeros((len(table) + most, len(self.langs) + 1), np.float32)
+        self.table[: len(table), : len(self.langs)] = table
+        self.table[: len(table), -1] = 1
 
-    def _unseen(self, word: str) -> np.ndarray | float:
+    def _unseen(self, word: str) -> np.ndarray | None:
         for size in range(LONGEST, 0, -1):
-            index, table = self.grams[size]
-            rows = [index[g] for g in _grams(word, size) if g in index]
+            rows = [k for k in map(self.gram_index.get, _grams(word, size) if size > 1 else word) if k is not None]
             if rows:
-                return table[rows].mean(axis=0)
-        return 0.0
+                return self.gram_table[rows].mean(axis=0)
+        return None
 
     def _rows(self, words: list[str]) -> list[int]:
         """The table rows of at most ``most`` words."""
@@ -104,40 +106,44 @@ class Predictor:
                 k = cache.get(word)
                 if k is None:
                     k = cache[word] = self.first + len(cache)
-                    self.table[k] = self._unseen(word)
+                    found = self._unseen(word)
+                    self.table[k, :-1], self.table[k, -1] = (0, 0) if found is None else (found, 1)
             rows.append(k)
         return rows
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
+    def __call__(self, text: str | None) -> tuple[str, float, float]:
+        """(language, its share of the likelihood, the share of words that the model knows something of)."""
+        counts = word_counts(text)
         if not counts or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         words, times = list(counts), np.array(list(counts.values()), dtype=np.float64)
-        total = np.zeros(len(self.langs))
+        total = np.zeros(len(self.langs) + 1)
         for a in range(0, len(words), self.most):
             total += times[a : a + self.most] @ self.table[self._rows(words[a : a + self.most])]
-        share = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.langs[best], float(share[best] / share.sum())
+        likely, known = total[:-1], total[-1] / times.sum()
+        share = np.exp(likely - likely.max())
+        best = int(likely.argmax())
+        return self.langs[best], float(share[best] / share.sum()), float(known)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, lang_pred, score for each row, by whole texts.
+    """docs(doc_id, text, ...) -> doc_id, lang_pred, score, known for each row, by whole texts.
 
     Null texts and texts without a letter are ``und`` with score 0. Equal likelihoods go to the first language by name.
-    Repeated rows each get their row, columns beside these two are ignored, an empty table gives an empty result.
+    known is the share of words of which the model knows at least a letter. Repeated rows each get their row, columns
+    beside these two are ignored, an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words words and the grams of gram_words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words and n-grams of the bounded sample
 
     def run(batches):
         predictor = Predictor(shared.value)
         for batch in batches:
             made = [predictor(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "lang_pred": pa.array([m[0] for m in made], pa.string()), "score": pa.array([m[1] for m in made], pa.float64())}
+                {"doc_id": batch.column(0), "lang_pred": pa.array([m[0] for m in made], pa.string()), "score": pa.array([m[1] for m in made], pa.float64()), "known": pa.array([m[2] for m in made], pa.float64())}
             )
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double, known double")
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -145,13 +151,29 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(True))
 
 
+def _taught(docs: DataFrame, fit_rows: int) -> dict:
+    return fit(docs.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text", "lang"), fit_rows)
+
+
 def language_id(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Learn from the rows with lang that aren't held out (crc32 mod 5 is not 0) and predict all of docs(doc_id, text, lang)."""
-    model = fit(docs.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text", "lang"), fit_rows)
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+    return predict(docs, _taught(docs, fit_rows)).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
 
+def with_language(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.3, known: float = 0.5) -> DataFrame:
+    """docs whose language is recognised: with a score of at least ``least`` and at least the share ``known`` of words the
+    model knows something of, as no text of another script has. und documents go.
+
+    Rows are judged one by one, whatever their doc_id: null ids, repeated ids and repeated rows each have their verdict.
+    Columns stay those of docs. Where docs has no row to learn from, nothing is recognised; an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_taught(docs, fit_rows))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        predictor = Predictor(shared.value)
+        for batch in batches:
+            made = [predictor(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([m[0] != UNKNOWN and m[1] >= least and m[2] >= known for m in made], pa.bool_()))
 
-def with_language(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.3) -> DataFrame:
-    """docs whose language is recognised with at least that score; und documents go. Columns stay those of docs."""
-    rejected = language_id(docs, fit_rows).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    return without(docs, rejected)
+    return map_arrow(docs, run, docs.schema)
