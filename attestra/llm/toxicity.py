@@ -10,7 +10,8 @@ one in addition words and word beginnings that significantly more toxic than ord
 trained content of a raw dictionary: segments that pay most lie last, where references are cheapest.
 
 The fit reads a sample of about ``fit_rows`` labelled texts, whole, chosen by a hash of doc_id; all its counts are Spark
-aggregations, and the driver gets the dictionaries' segments, a table of cells and one row of figures for each text.
+aggregations, and the driver gets the dictionaries' segments, a table of cells and one row of figures for each text. The
+sizes of the dictionaries are parameters of the model: ``SEGMENT_BYTES`` of ordinary words, ``MOST_SEGMENTS`` toxic segments.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.language_id import held_out
-from attestra.llm.work import map_arrow, stored
+from attestra.llm.work import map_arrow, sampled, stored
 
 FIT_ROWS, SEGMENT_BYTES, MOST_SEGMENTS, LEAST_Z, CUT = 12_000, 16_384, 2_000, 4.0, 0.3
 ANCHOR = b"01234567"
@@ -155,8 +156,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
     """labelled(doc_id, text, toxic) -> model; None where one of the two classes has no text. Null texts count as empty."""
     rows = labelled.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = rows.where(sampled(F.col("doc_id"), fit_rows / max(1, rows.count()), "toxic"))
     texts = stored(picked.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled").repartition(2 * labelled.sparkSession.sparkContext.defaultParallelism)
     if texts.select("toxic").distinct().count() < 2:
         return None
@@ -213,11 +213,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, cut:
     """docs(doc_id, text) and labels(doc_id, toxic) -> doc_id, held_out, score, predicted for each row of docs.
 
     Learns only from rows whose crc32(doc_id as text) mod 4 is not 2. Null and empty texts have no windows and get the
-    score of that. Repeated rows each get their row; other columns are ignored; an empty table gives an empty result.
+    score of that. A doc_id labelled both 0 and 1 counts as 1. Repeated rows each get their row; other columns are
+    ignored; an empty table gives an empty result.
     """
-    taught = labels.where(~held_out(F.col("doc_id"), 4, 2) & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    share = min(1.0, 2 * fit_rows / max(1, taught.count()))
-    taught = taught.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
+    taught = labels.where(~held_out(F.col("doc_id"), 4, 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taught = taught.where(sampled(F.col("doc_id"), 2 * fit_rows / max(1, taught.count()), "labels"))
     model = fit(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id"), fit_rows)  # about twice fit_rows ids at most
     held = held_out(F.col("doc_id"), 4, 2)
     return scores(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -10,12 +10,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import zstandard
 from pyspark.sql import functions as F
 from tests.llm.test_pairs import words
 
 from attestra.llm import boosted, chat, decontaminate, html_extract, language_id, packing, quality, toxicity, url_filter
 from attestra.llm.dom import Page
 from attestra.llm.html_samples import labelled_pages
+from attestra.llm.work import bound, sampled
 
 SMALL = "/root/testdata/sf0.01"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -270,7 +273,7 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_of_awkward_rows(spark):
     labelled = docs_of(spark, [f"idiot moron word{k}" if k % 2 else f"nice plain word{k}" for k in range(200)] + AWKWARD)
-    labels = labelled.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).where("doc_id < 200").unionByName(spark.createDataFrame([(1, None), (999_999, 1)], "doc_id long, toxic int"))
+    labels = labelled.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).where("doc_id < 200").unionByName(spark.createDataFrame([(1, None), (1, 0), (999_999, 1)], "doc_id long, toxic int"))
     got = {r.doc_id: r for r in toxicity.toxicity(labelled, labels).collect()}
     assert len(got) == 210 and got[1].score > 0.5 > got[2].score
     assert got[1].held_out == (zlib.crc32(b"1") % 4 == 2)
@@ -278,6 +281,34 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.toxicity(labelled.where("false"), labels).count() == 0
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice((3, 4, 5))))
+    texts = [" ".join([word() for _ in range(9)] + (["Idiot!", "moron"] if k % 3 == 0 else ["kindly", "indeed"])) for k in range(60)] + ["", "..."]
+    toxic = [int(k % 3 == 0) for k in range(len(texts))]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, toxic, strict=True))], "doc_id long, text string, toxic int")
+    seen = {0: Counter(), 1: Counter()}
+    for t, y in zip(texts, toxic, strict=True):
+        seen[y].update({f" {w} "[:k] for w in re.findall(r"[^\W\d_]+", t.lower()) for k in range(5, len(w) + 3)})
+    counts = {x.segment: (x.toxic_docs, x.ordinary_docs) for x in toxicity._document_counts(df).collect()}
+    assert counts == {g: (seen[1][g], seen[0][g]) for g in {*seen[0], *seen[1]}}
+
+    model = toxicity.fit(df)
+    ordinary, own = model["contents"]
+    assert own.startswith(ordinary[: -len(toxicity.ANCHOR)]) and b" idiot " in own and b" idiot " not in ordinary
+    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+    squeeze = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for c in (ordinary, own)]
+    got = {x.doc_id: x.score for x in toxicity.scores(df.select("doc_id", "text"), model).collect()}
+    for k, t in enumerate(texts):
+        cells = []
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            a, b = (min(63, len(c.compress(toxicity.ANCHOR + f" {w} ".encode()))) for c in squeeze)
+            cells.append(64 * a + b)
+        x = np.array(toxicity.features(np.array(cells or [65]), model["ratio"]))
+        z = model["weights"][0] + ((x - model["mean"]) / model["scale"]) @ model["weights"][1:]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
 def plain_kn(texts):
     """Interpolated modified Kneser-Ney over four characters, by the book."""
     pad = chr(quality.PAD)
@@ -355,11 +386,74 @@ def test_language_held_out(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
 
 
-def test_language_backs_off_and_knows_nothing_of_no_letters(spark):
-    model = language_id.model_of([("de", "schule", 5), ("en", "school", 5), ("en", "the", 9)])
-    predictor = language_id.Predictor(model, most=2)
-    assert predictor("the")[0] == "en" and predictor("schulen schulung schulhof")[0] == "de"
-    assert predictor("123 !!") == predictor(None) == predictor("") == ("und", 0.0)
+def plain_language(rows, texts):
+    """The model and its predictions in plain Python."""
+    letters = lambda t: regex.findall(r"\p{L}+", t.lower())
+    langs = sorted({lang for _, lang in rows})
+    counts = Counter((w, lang) for t, lang in rows for w in letters(t))
+    grams = Counter()
+    for (w, lang), n in counts.items():
+        for k in range(1, 6):
+            for i in range(len(w) + 3 - k):
+                grams[f"^{w}$"[i : i + k], lang] += 1 + math.log(n)
+
+    def logs(table):
+        keys = {k for k, _ in table}
+        total = {lang: sum(v for (_, x), v in table.items() if x == lang) for lang in langs}
+        return {k: [math.log((table.get((k, lang), 0) + 0.1) / (total[lang] + 0.1 * len(keys))) for lang in langs] for k in keys}
+
+    words, by_size = logs(counts), [logs({(g, x): v for (g, x), v in grams.items() if len(g) == k}) for k in range(6)]
+    out = []
+    for t in texts:
+        own = letters(t or "")
+        total = [0.0] * len(langs)
+        for w in own:
+            found = words.get(w)
+            for k in range(5, 0, -1):
+                if found is None:
+                    kinds = [by_size[k][g] for i in range(len(w) + 3 - k) if (g := f"^{w}$"[i : i + k]) in by_size[k] and (k > 1 or g not in "^$")]
+                    found = [sum(c) / len(c) for c in zip(*kinds, strict=True)] if kinds else None
+            total = [x + y for x, y in zip(total, found or [0.0] * len(langs), strict=True)]
+        share = [math.exp(x - max(total)) for x in total]
+        out.append((langs[total.index(max(total))], max(share) / sum(share)) if own else ("und", 0.0))
+    return out
+
+
+def test_language_equals_a_plain_version(spark):
+    r = random.Random(2)
+    own = {"de": "schule haus straße für und nicht", "en": "school house street for and not", "es": "escuela casa calle año y no"}
+    rows = [(" ".join(r.choice(words.split()) + r.choice(("", "s", "en", "ado")) for _ in range(12)), lang) for lang, words in own.items() for _ in range(6)]
+    texts = [t for t, _ in rows] + ["schulhaus", "Streets!", "añada", "x", "日本語", "½ ² ①", "a½b", "Ⅷ", None, "", "12"]
+    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(language_id.predict(asked, language_id.fit(df)).collect())
+    for x, (lang, score) in zip(got, plain_language(rows, texts), strict=True):
+        assert (x.lang_pred, x.score) == (lang, pytest.approx(score, rel=1e-3)), texts[x.doc_id]
+    assert {got[len(rows) + k].lang_pred for k in (5, 7, 8, 9, 10)} == {"und"} and got[len(rows) + 6].lang_pred != "und"
+    assert got[len(rows) + 4].known == 0 and got[0].known == 1
+
+
+def test_sample_of_any_share(spark):
+    ids = spark.range(200_000)
+    n = ids.where(sampled(F.col("id"), 0.01, "a")).count()
+    assert 1800 < n < 2200
+    both = ids.where(sampled(F.col("id"), 0.01, "a")).where(sampled(F.col("id"), 0.5, "b")).count()
+    assert 0.4 * n < both < 0.6 * n
+    assert ids.where(sampled(F.col("id"), 1.5, "a")).count() == 200_000
+    for share in (9e-7, 1e-9, 1e-17):  # of more rows than a test can hold
+        assert bound(share) + 2**63 == int(share * 2**64) > 0
+
+
+def test_language_stage_judges_rows_one_by_one(spark):
+    own = [(k, t, lang, 1) for k, (t, lang) in enumerate([("the house and the street", "en"), ("das haus und die straße", "de")] * 20)]
+    odd = [(None, "the house and", "en", 2), (None, "12 345", "en", 3), (7, "日本語 テキスト", None, 4), (7, "das haus", None, 5), (8, None, "en", 6)]
+    df = spark.createDataFrame(own + odd, "doc_id long, text string, lang string, known int")
+    kept = language_id.with_language(df)
+    assert kept.columns == df.columns and sorted(r.known for r in kept.collect() if r.known > 1) == [2, 5] and kept.count() == 42
+    assert language_id.with_language(df.where("false")).count() == 0
+
+
+def test_language_of_awkward_texts(spark):
     df = docs_of(spark, AWKWARD)
     got = {r.doc_id: r for r in language_id.language_id(df).collect()}
     assert len(got) == len(AWKWARD) and got[0].lang_pred == got[3].lang_pred == "und" and got[8].lang_pred == "en"
