@@ -21,18 +21,21 @@ from attestra.llm.work import map_arrow
 MOST = 1024
 
 
-def dealt(members: DataFrame, sizes: DataFrame, most: int = MOST) -> DataFrame:
-    """members(grp, id, ...) x sizes(grp, n) -> the members once for each matrix (grp, bi, bj) they take part in; own = their block."""
-    blocks = F.ceil(F.col("n") / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks").cast("long")).cast("int")
+def counted(grouped: DataFrame, most: int = MOST) -> DataFrame:
+    """grouped(.., grp) with blocks: how many blocks of about most members its group has."""
+    sizes = grouped.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks"))
+    return grouped.join(sizes, "grp")
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """members(grp, id, blocks, ...) -> the members once for each matrix (grp, bi, bj) they take part in; own = their block."""
+    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks").cast("long")).cast("int")
     return (
-        members.join(sizes, "grp")
-        .withColumn("_blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        members.withColumn("own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("bi", F.least("own", "_other"))
         .withColumn("bj", F.greatest("own", "_other"))
-        .drop("_other", "n", "_blocks")
+        .drop("_other", "blocks")
     )
 
 
@@ -40,7 +43,8 @@ def links(rows: DataFrame, payload: str, linked: Callable[[list], np.ndarray], p
     """rows(grp, bi, bj, own, id, copies, payload) -> (id, n_links, tied): one row for each member of each matrix.
 
     linked(payloads) gives the square matrix of links as booleans. n_links sums the copies of the linked members;
-    in a matrix of two blocks only links between the blocks count, as those inside have a matrix of their own.
+    in a matrix of two blocks only links between the blocks count, as those inside have a matrix of their own. Repeated
+    rows of an id are one member.
     """
 
     def count(batches):
@@ -61,7 +65,12 @@ def _groups(batches):
     """The rows of one (grp, bi, bj) after the other, across batches."""
     key, own, ids, copies, values = None, [], [], [], []
     for batch in batches:
-        g, i, j = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        g, i, j, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4))
+        again = (m[1:] == m[:-1]) & (g[1:] == g[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+        before = key is not None and len(m) and (g[0], i[0], j[0]) == key and ids[-1][-1] == m[0]
+        if again.any() or before:
+            batch = batch.filter(pa.array(np.r_[not before, ~again]))
+            g, i, j = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), len(g)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:

@@ -263,10 +263,9 @@ def _as_floats(unit: Column) -> Column:
 
 def _components_of(joined: DataFrame, points: DataFrame, threshold: float, partitions: int) -> DataFrame:
     """(id, n_links, component): joined(id, component) are candidate components, inside which all pairs are compared."""
-    grouped = joined.select("id", F.col("component").alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("n"))
+    grouped = blocks.counted(joined.select("id", F.col("component").alias("grp")))
     members = grouped.join(points.select("id", "copies", "unit"), "id")
-    return blocks.summed(stored(blocks.links(blocks.dealt(members, sizes), "unit", _cosine_links(threshold), partitions), "links"))
+    return blocks.summed(stored(blocks.links(blocks.dealt(members), "unit", _cosine_links(threshold), partitions), "links"))
 
 
 __all__ = ["near_duplicates", "units"]

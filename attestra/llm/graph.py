@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from attestra.llm.work import forget, stored
 
 
-#: Tasks that a hub's edges are dealt out to.
-SALTS = 16
+#: Tasks that a hub's edges are dealt out to, the neighbours that make a hub, and half of the hubs there are at most.
+SALTS, HUB, MOST_HUBS = 16, 1024, 250_000
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stored(pairs, "edges")
     digest = _digest(now)
     for _ in range(max_rounds):
-        new = stored(_small_star(_large_star(now)), "edges")
+        new = stored(_small_star(_large_star(now, digest[0])), "edges")
         forget(now)
         now, before, digest = new, digest, _digest(new)
         if digest == before:
@@ -43,16 +43,19 @@ def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     """Every larger neighbour of u is tied to the smallest of u and its neighbours.
 
-    The edges are dealt out by u and a salt of the other end, and the minima are repeated for each salt, so a hub's edges
-    meet its minimum in SALTS tasks instead of one.
+    The edges of a hub, which has more than a bound of neighbours, are dealt out by u and a salt of the other end, and its
+    minimum is repeated for each salt, so they meet in SALTS tasks instead of one. As the bound grows with the edges there
+    are at most 2 * MOST_HUBS hubs to broadcast.
     """
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    salted = both.where("v > u").withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    repeated = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    bound = max(HUB, edges // MOST_HUBS)
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), (F.count("*") > bound).alias("hub"))
+    hubs = F.broadcast(least.where("hub").select("u", "hub"))
+    salted = both.where("v > u").join(hubs, "u", "left").withColumn("s", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hub")
+    repeated = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.when(F.col("hub"), SALTS - 1).otherwise(0))))
     return salted.join(repeated, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 

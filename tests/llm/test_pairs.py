@@ -91,9 +91,50 @@ def test_deduplicated_keeps_one_of_each_class(spark):
 
 
 def test_prefixes_shorten_until_recall():
-    assert ngram_join.prefix_length(0.8, 40, 8, 0.9) == 8
-    assert ngram_join.prefix_length(0.8, 10, 8, 0.999) < 8
-    assert ngram_join.prefix_length(0.1, 1, 8, 0.999) == 1
+    falling = [1.0, 1.0, 1.0, 1.0, 1.0, 0.9999, 0.9995, 0.9992, 0.99, 0.9, 0.5]
+    assert ngram_join.prefix_length(falling, 10_000, 0.8, 32, 0.999, 4) == 7
+    assert ngram_join.prefix_length(falling, 10_000, 0.8, 32, 0.9, 4) == 9
+    assert ngram_join.prefix_length([1.0] * 11, 0, 0.8, 32, 0.999, 4) == 7  # nothing to measure: as theory has it
+    assert ngram_join.prefix_length([1.0] * 11, 10_000, 0.8, 32, 0.999, 4) == 10
+    assert ngram_join.prefix_length([0.5] * 11, 10_000, 0.8, 32, 0.999, 4) == 4
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_forest_ties_are_the_nodes_of_sorted_tries(spark, partitions):
+    r = random.Random(8)
+    labels = {k: bytes(r.choice(b"ab") for _ in range(3 * 6)) for k in range(60)}
+    df = spark.createDataFrame(list(labels.items()), "rep long, labels binary")
+    ties = [(x.a, x.b, x.prefix) for x in ngram_join.forest_ties(df, 3, 6, 2, partitions).collect()]
+    for depth in range(2, 7):
+        nodes = {}
+        for k, v in labels.items():
+            for t in range(3):
+                nodes.setdefault((t, v[6 * t : 6 * t + depth]), []).append(k)
+        want = closure(labels, [(own[0], x) for own in nodes.values() for x in own[1:]])
+        assert closure(labels, [(a, b) for a, b, p in ties if p >= depth]) == want
+
+
+def test_exact_search_equals_brute_force(spark):
+    rows = list(enumerate(near_texts() + EDGES))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = {tuple(sorted(shingle_set(t))) for i, t in rows if i % 10 == 0 and shingle_set(t)}
+    want = sorted(n for a in asked if (n := sum(1 for _, t in rows if (s := shingle_set(t)) and s != set(a) and len(s & set(a)) / len(s | set(a)) >= 0.8)))
+    for block in (300, 2**20):
+        got = ngram_join.exact_search(df, 0.8, 5, 32, 10, 10, block).groupBy("class_hash").agg(F.sum("n").alias("n")).collect()
+        assert sorted(r.n for r in got) == want
+
+
+def test_recalls_by_prefix(spark):
+    truth = spark.createDataFrame([(b"a", 3, 1), (b"a", 1, 1), (b"b", 2, 8)], "class_hash binary, prefix int, n long")
+    measured, queries = ngram_join.recalls(truth, 4)
+    assert queries == 2 and measured == [1.0, 1.0, 0.75, 0.1, 0.0]
+    assert ngram_join.recalls(truth.where("false"), 4) == ([1.0] * 5, 0)
+
+
+def test_ngram_recall_under_target_is_an_error(spark):
+    df = spark.createDataFrame(list(enumerate(near_texts())), "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="recall"):
+        ngram_join.ngram_join(df, recall=2.0, audit_every=10).count()
 
 
 def test_shingles_equal_plain_sets():
@@ -119,9 +160,9 @@ def test_components_equal_plain_closure(spark):
 def test_blocks_cover_each_pair_once(spark):
     n = 50
     members = spark.range(n).select(F.lit(0).cast("long").alias("grp"), "id", F.lit(1).cast("long").alias("copies"), F.col("id").cast("string").cast("binary").alias("value"))
-    sizes = spark.createDataFrame([(0, n)], "grp long, n long")
+    members = blocks.counted(members, most=8)
     every = lambda values: np.ones((len(values), len(values)), bool)
-    got = blocks.summed(blocks.links(blocks.dealt(members, sizes, most=8), "value", every, 4)).collect()
+    got = blocks.summed(blocks.links(blocks.dealt(members.unionByName(members.where("id < 9"))), "value", every, 4)).collect()
     assert {r.n_links for r in got} == {n - 1} and {r.component for r in got} == {0} and len(got) == n
 
 
