@@ -2,12 +2,14 @@
 
 1. Equal unit vectors are one class, whose smallest vec_id stands for it; copies cost one row each.
 2. A neighbour graph starts from the leaves of random-projection trees and is refined by local joins: around each
-   centre its neighbours and those that have it as a neighbour meet, and pairs that improve a list go into it.
+   centre its neighbours and those that have it as a neighbour meet, and pairs that improve a list go into it. Rounds go on
+   until hardly any entry at the threshold is new.
 3. Edges at the threshold join classes into components. Lists that are full of such edges are saturated: vectors that
    have one are searched again for neighbours outside their component, which may join components, until a search finds
    none. Inside a component every pair is compared in double precision (attestra.llm.blocks), in blocks if it is large.
-4. An audit compares the links of some stated query vectors with brute force over all vectors, in blocks; while the
-   recall is under target, further trees and rounds follow, and if it is still after the last, an error.
+4. An audit compares the links of stated query vectors, all whose id is divisible by ``audit_every``, with brute force over
+   all vectors, in blocks; while the recall is under target, further trees and rounds follow, and if it is still after the
+   last, an error.
 
 Leaves and hubs of any size are dealt into parts of bounded size; no list of partners is cut but the K nearest of the
 descent, for which step 3 makes up.
@@ -16,19 +18,25 @@ descent, for which step 3 makes up.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestra.llm import blocks
 from attestra.llm.graph import components
-from attestra.llm.work import map_arrow, stored
+from attestra.llm.work import few, forget, map_arrow, stored
 
 THRESHOLD, NEIGHBOURS, TREES, LEAF, PART, COMMON = 0.9, 10, 8, 128, 256, 16
-AUDIT_ROWS, RECALL, MOST_ROUNDS = 500, 0.995, 4
+AUDIT_EVERY, AUDIT_BYTES, RECALL, MOST_ROUNDS = 100, 32 * 2**20, 0.995, 4
+#: The share of new entries at the threshold under which a round of refinement is the last, and the scatter of 32-bit cosines.
+CHANGED, SCATTER = 0.002, 1e-4
+
+_log = logging.getLogger(__name__)
 
 
 def units(vectors: DataFrame) -> DataFrame:
@@ -84,12 +92,12 @@ def _parted(rows: DataFrame, most: int, seed: int) -> DataFrame:
     Each group is dealt by its own hash, so rows that share several groups don't miss each other in all of them alike, and
     about COMMON rows of a dealt group are in each of its parts, so a tight group keeps a tie between its parts.
     """
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1")
-    parts = F.ceil(F.col("_n") / F.lit(most)).cast("long")
+    large = few(stored(rows.groupBy("grp").agg(F.count("*").alias("_n")).where(F.col("_n") > most), "large"))
+    parts = F.coalesce(F.ceil(F.col("_n") / F.lit(most)).cast("long"), F.lit(1).cast("long"))
     own = F.pmod(F.xxhash64("id", "grp", F.lit(seed)), parts)
     common = (parts > 1) & (F.pmod(F.xxhash64("grp", "id", F.lit(seed)), F.ceil(F.col("_n") / F.lit(COMMON)).cast("long")) == 0)
     part = F.when(common, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
-    return rows.join(sizes, "grp").withColumn("part", F.explode(part)).drop("_n")
+    return rows.join(large, "grp", "left").withColumn("part", F.explode(part)).drop("_n")
 
 
 def _local_joins(rows: DataFrame, partitions: int, keep: int) -> DataFrame:
@@ -141,9 +149,9 @@ def _parts(batches):
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    """edges(id, nbr, sim) -> the k nearest of each id, as rows; sums up in parts before it gathers."""
-    best = F.slice(F.sort_array(F.collect_set(F.struct("sim", "nbr")), asc=False), 1, k)
-    return edges.groupBy("id").agg(best.alias("best")).select("id", F.explode("best").alias("b")).select("id", "b.nbr", "b.sim")
+    """edges(id, nbr, sim) -> the k nearest of each id; each task prunes its own before the shuffle, and a hub's are sorted, not gathered."""
+    rank = F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
+    return edges.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
 
 
 def _refined(graph: DataFrame, points: DataFrame, k: int, part: int, seed: int, partitions: int, inside: DataFrame | None = None) -> DataFrame:
@@ -156,6 +164,18 @@ def _refined(graph: DataFrame, points: DataFrame, k: int, part: int, seed: int,
     return _nearest(graph.unionByName(_local_joins(rows, partitions, k)), k)
 
 
+def _descended(graph: DataFrame, points: DataFrame, near: float, k: int, seed: int, partitions: int) -> DataFrame:
+    """Rounds of refinement until the share of entries from near on that are new is at most CHANGED."""
+    while True:
+        new = stored(_refined(graph, points, k, PART, seed, partitions), "graph")
+        own = new.where(F.col("sim") >= near)
+        added = own.join(graph.select("id", "nbr"), ["id", "nbr"], "left_anti").count()
+        if added <= CHANGED * own.count():
+            return new
+        forget(graph)
+        graph, seed = new, seed + 1
+
+
 def _enlarged(graph: DataFrame, points: DataFrame, threshold: float, k: int, trees: int, seed: int, partitions: int) -> DataFrame:
     """(id, component) for ids with edges at the threshold: the graph's, and those that saturated lists leave out.
 
@@ -163,7 +183,7 @@ def _enlarged(graph: DataFrame, points: DataFrame, threshold: float, k: int, tre
     outside their component, by trees and a local join, and what is found joins components, so each search but the last
     leaves fewer of them.
     """
-    near = threshold - 1e-4
+    near = threshold - SCATTER
     ties = stored(graph.where(F.col("sim") >= near).select(F.col("id").alias("a"), F.col("nbr").alias("b")), "ties")
     joined = stored(components(ties), "groups")
     full = graph.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= k) & (F.col("least") >= near))
@@ -192,39 +212,64 @@ def _cosine_links(threshold: float):
     return linked
 
 
-def _audited(points: DataFrame, judged: DataFrame, threshold: float, audit_rows: int) -> float:
-    """Recall of n_links over at most audit_rows classes (those with id divisible by 100, else any), against all vectors."""
-    some = points.where("id % 100 = 0").orderBy(F.xxhash64("id")).limit(audit_rows)
-    queries = some.join(judged.select("id", "n_links"), "id", "left").select("id", "dims", "unit", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")).collect()
-    if not queries:
-        return 1.0
-    asked = {d: (np.frombuffer(b"".join(bytes(q["unit"]) for q in queries if q["dims"] == d), np.float64).reshape(-1, d)) for d in {q["dims"] for q in queries}}
-    selves = sum(q["copies"] for q in queries)
+def _audited(rows: DataFrame, points: DataFrame, judged: DataFrame, threshold: float, every: int, block_bytes: int = AUDIT_BYTES) -> float:
+    """Recall of the links of all rows(vec_id, digest) whose id is divisible by every, against all vectors: the lower of
+    the share of all links and the mean of each query's share. Queries are broadcast block by block.
+
+    Where no id is divisible, classes are asked by hash, one in so many, or else all (of few). Without links it is 1.
+    """
+    asked = rows.where(F.col("digest").isNotNull() & (F.col("vec_id") % every == 0)).select("digest").distinct()
+    asked = stored(points.join(asked, "digest", "left_semi").join(judged.select("id", "n_links"), "id", "left").select("id", "dims", "unit", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "asked")
+    if asked.isEmpty():
+        by_hash = F.pmod(F.xxhash64("id", F.lit("ask")), F.lit(every)) == 0
+        some = points.where(by_hash) if not points.where(by_hash).isEmpty() else points
+        asked = some.join(judged.select("id", "n_links"), "id", "left").select("id", "dims", "unit", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    parts = (asked.agg(F.sum(F.length("unit").cast("long"))).first()[0] or 0) // block_bytes + 1
+    found = true = shares = linked = 0
+    for part in range(parts):
+        queries = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()  # about block_bytes
+        for dims in sorted({q["dims"] for q in queries}):
+            own = [q for q in queries if q["dims"] == dims]
+            counts = _counted(points.where(F.col("dims") == dims), np.frombuffer(b"".join(bytes(q["unit"]) for q in own), np.float64).reshape(-1, dims), threshold)
+            for q, n in zip(own, counts - np.array([q["copies"] for q in own]), strict=True):
+                if n > 0:
+                    found, true, shares, linked = found + min(q["n_links"], n), true + n, shares + min(1.0, q["n_links"] / n), linked + 1
+    return float(min(found / true, shares / linked)) if linked else 1.0
+
+
+def _counted(points: DataFrame, asked: np.ndarray, threshold: float) -> np.ndarray:
+    """How many rows have at least that cosine with each of the asked vectors, by brute force."""
+    shared = points.sparkSession.sparkContext.broadcast(asked)
 
     def brute(batches):
-        total = 0
+        q = shared.value
+        total = np.zeros(len(q), np.int64)
         for batch in batches:
-            copies = batch.column(2).to_numpy(zero_copy_only=False)
-            for d, q in asked.items():
-                at = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False) == d)
-                for a in range(0, len(at), 4096):
-                    x = np.frombuffer(b"".join(batch.column(1).take(pa.array(at[a : a + 4096])).to_pylist()), np.float64).reshape(-1, d)
-                    total += int(((x @ q.T >= threshold).sum(axis=1) * copies[at[a : a + 4096]]).sum())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
+            copies = batch.column(1).to_numpy(zero_copy_only=False)
+            for a in range(0, batch.num_rows, 1024):
+                x = np.frombuffer(b"".join(batch.column(0).slice(a, 1024).to_pylist()), np.float64).reshape(-1, q.shape[1])
+                for b in range(0, len(q), 4096):
+                    total[b : b + 4096] += copies[a : a + 1024] @ (x @ q[b : b + 4096].T >= threshold)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"q": pa.array(at), "n": pa.array(total[at])})
 
-    true = map_arrow(points.select("dims", "unit", "copies"), brute, "n long").agg(F.sum("n")).first()[0] - selves
-    return 1.0 if true <= 0 else sum(q["n_links"] for q in queries) / true
+    out = np.zeros(len(asked), np.int64)
+    for r in map_arrow(points.select("unit", "copies"), brute, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect():
+        out[r["q"]] = r["n"]
+    return out
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, trees: int = TREES, audit_rows: int = AUDIT_ROWS, recall: float = RECALL, most_rounds: int = MOST_ROUNDS
+    vectors: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, trees: int = TREES, audit_every: int = AUDIT_EVERY, recall: float = RECALL, most_rounds: int = MOST_ROUNDS
 ) -> tuple[DataFrame, float]:
     """vectors(vec_id, embedding, ...) -> ((vec_id, n_links, component_id, kept) for each row, audited recall).
 
     Two vectors are linked if their cosine is at least threshold. n_links counts the other rows linked directly, copies
     included, component_id is the smallest vec_id reachable over links. Null, empty and zero vectors and those with null
     or non-finite components are linked with nothing, and so are rows with null vec_id and vectors of different lengths.
-    Repeated rows are copies of each other; other columns are ignored; an empty table gives an empty result.
+    Repeated rows are copies of each other; other columns are ignored; an empty table gives an empty result. RuntimeError if
+    the audited recall stays under the target. The audit costs the rows times the queries, so audit_every is to rise
+    with very large tables.
     """
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -238,10 +283,11 @@ def near_duplicates(
         fallen = _parted(_leaves(points, trees, bits, r), PART, r).withColumn("worst", F.lit(-1.0)).withColumn("own", F.col("id"))
         edges = _local_joins(fallen, partitions, neighbours)
         graph = stored(_nearest(edges if graph is None else graph.unionByName(edges), neighbours), "graph")
-        graph = stored(_refined(graph, points.withColumn("own", F.col("id")), neighbours, PART, most_rounds + r, partitions), "graph")
+        graph = _descended(graph, points.withColumn("own", F.col("id")), threshold - SCATTER, neighbours, 100 * (most_rounds + r), partitions)
         joined = _enlarged(graph, points, threshold, neighbours, trees, 1000 * (r + 1), partitions)
         judged = stored(_components_of(joined, points, threshold, partitions), "components")
-        found = _audited(points, judged, threshold, audit_rows)
+        found = _audited(rows, points, judged, threshold, audit_every)
+        _log.info("round %d: audited recall %.4f", r, found)
         if found >= recall:
             break
     else:

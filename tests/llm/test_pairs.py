@@ -237,6 +237,27 @@ def test_links_between_saturated_groups(spark):
     assert [r.n_links for r in got] == want and {r.component_id for r in got[:40]} == {0}
 
 
+@pytest.mark.parametrize("first", [0, 1])
+def test_audit_asks_all_rows_in_blocks(spark, first):
+    rng = np.random.default_rng(2)
+    own = rng.standard_normal((500, 8)).round(1)
+    unit = own / np.linalg.norm(own, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    ids = [first + 2 * k for k in range(500)]  # all odd if first is 1: then no id is divisible
+    rows = spark.createDataFrame([(i, str(k).encode()) for k, i in enumerate(ids)], "vec_id long, digest binary")
+    points = spark.createDataFrame([(str(k).encode(), i, 1, v.tobytes(), 8) for k, (i, v) in enumerate(zip(ids, unit, strict=True))], "digest binary, id long, copies long, unit binary, dims int")
+    for lost in (0, 1):
+        links = [(i, int(near[k].sum()) - 1 - (lost if near[k].sum() > 1 else 0)) for k, i in enumerate(ids)]
+        judged = spark.createDataFrame(links, "id long, n_links long")
+        got = embedding_dedup._audited(rows, points, judged, 0.9, 4, 128)
+        asked = [k for k, i in enumerate(ids) if i % 4 == 0 and near[k].sum() > 1]
+        if first == 0:
+            n = [int(near[k].sum()) - 1 for k in asked]
+            assert got == pytest.approx(min((sum(n) - lost * len(n)) / sum(n), sum((x - lost) / x for x in n) / len(n)))
+        else:
+            assert (got == 1) == (lost == 0)
+
+
 def test_recall_under_target_is_an_error(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors())], "vec_id long, embedding array<float>")
     with pytest.raises(RuntimeError, match="recall"):
