@@ -39,7 +39,7 @@ TOKENS = [
 ]
 GROUP = {t: k for k, group in enumerate(TOKENS) for t in group.split()}
 #: Groups of tags, each a feature of the element itself; the first six also of its ancestors.
-TAGS = ["article main", "nav menu", "header", "footer", "aside", "form fieldset", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "div", "section", "table tr td th tbody thead", "blockquote pre", "figure figcaption"]
+TAGS = ["article main", "nav menu", "header", "footer", "aside", "form fieldset", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "div", "section", "table tr td th tbody thead", "blockquote pre", "figure figcaption", "#text"]
 TAG_GROUP = {t: k for k, group in enumerate(TAGS) for t in group.split()}
 ABOVE = 6
 SAMPLES = 900
@@ -132,7 +132,7 @@ def texts_of(pages: list[Page], model: dict) -> list[str]:
     for page, (nodes, _) in zip(pages, found, strict=True):
         kept = decoded(page, nodes, odds[at : at + len(nodes)])
         at += len(nodes)
-        out.append(" ".join(text for k, text, _ in page.runs if kept[k] and k))
+        out.append(" ".join(text for k, text, _ in page.runs if kept[k]))
     return out
 
 
@@ -160,9 +160,9 @@ def model() -> dict:
 def extracted(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html, ...) -> page_id, url, text, n_chars for each row, from the whole html.
 
-    Null or empty html, and pages without main text, give the empty string. Text outside any element but html and body
-    is no main text. Cut-off pages are read as far as they go; an unfinished last tag is dropped. Repeated rows each get
-    their row; extra columns are ignored; an empty table gives an empty result.
+    Null or empty html, and pages without main text, give the empty string. A run of text straight in body, or without any
+    tag, is judged like an element of its own. Cut-off pages are read as far as they go; an unfinished last tag is dropped.
+    Repeated rows each get their row; extra columns are ignored; an empty table gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model())  # a fixed number of trees
 

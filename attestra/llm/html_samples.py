@@ -113,8 +113,34 @@ class _Maker:
             return f"<form{self.attrs('form', 0.5)}>{inner}</form>" if self.r.random() < 0.8 else f"<div{self.attrs('form', 1)}>{inner}</div>"
         return self.part(kind, "div", f"<h4>{self.words(1, 3)}</h4>" + self.links(2, 6))
 
+    def bare(self) -> str:
+        """Main text straight in body, or in no element at all, as old and converted pages have it, with little around it."""
+        r = self.r
+        made = []
+        for _ in range(r.choice((1, 1, 2, 3))):
+            lines = [self.text(*r.choice(((3, 12), (8, 30), (20, 80)))) for _ in range(r.choice((1, 1, 3, 8, 20)))]
+            joint = r.choice(("<br>", "<br>\n", "<br/><br/>", "\n"))
+            self.main.add(" ".join(lines))  # one run of text
+            made.append(joint.join(lines))
+            if r.random() < 0.5:
+                made.append(r.choice(("<hr>", f"<p>{self.text(10, 60)}</p>", f"<h2>{self.text(1, 6)}</h2>")))
+            else:
+                made.append("<hr>")
+        inner = "".join(made)
+        if r.random() < 0.4:
+            return inner
+        head = self.text(2, 8)
+        top = [self.boiler(k) for k, c in (("notice", 0.15), ("nav", 0.4), ("header", 0.2)) if r.random() < c]
+        end = [self.boiler(k) for k, c in (("comments", 0.15), ("aside", 0.2), ("footer", 0.4)) if r.random() < c]
+        if r.random() < 0.5:
+            inner = f"<h1>{head}</h1>" + inner
+        return "".join(["<html><head><title>x</title></head><body>", *top, inner, *end, "</body></html>"])
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.12:
+            self.page_style = self.style = r.choice(("prose", "prose", "plain", "caps"))
+            return self.bare()
         self.page_style = self.style = r.choice(("prose", "prose", "prose", "plain", "caps", "junk"))
         title = self.text(2, 12)
         head = title[: r.choice((60, 200))]
@@ -144,6 +170,11 @@ class _Maker:
             main = f"<div{self.attrs('content', 0.9)}>{inner}</div>"
         if r.random() < 0.3:
             main = f"<{(t := r.choice(('main', 'div', 'section')))}{self.attrs('content', 0.5)}>{main}</{t}>"
+        if r.random() < 0.15:  # bits of boilerplate straight in body, beside an article
+            self.boilerplate = True
+            bits = [f"&copy; {self.words(1, 8)}", f'<a href="/">{self.words(1, 3)}</a> | <a href="/x">{self.words(1, 3)}</a>', self.words(1, 5)]
+            main = r.choice(bits) + main if r.random() < 0.5 else main + r.choice(bits)
+            self.boilerplate = False
         top = [self.boiler(k) for k, c in (("notice", 0.25), ("header", 0.45), ("nav", 0.75), ("form", 0.15), ("ad", 0.5)) if r.random() < c]
         end = [self.boiler(k) for k, c in (("comments", 0.25), ("related", 0.25), ("share", 0.15), ("aside", 0.35), ("ad", 0.2), ("notice", 0.1), ("footer", 0.8)) if r.random() < c]
         if r.random() < 0.2 and end:

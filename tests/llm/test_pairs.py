@@ -249,7 +249,7 @@ def test_audit_asks_all_rows_in_blocks(spark, first):
     for lost in (0, 1):
         links = [(i, int(near[k].sum()) - 1 - (lost if near[k].sum() > 1 else 0)) for k, i in enumerate(ids)]
         judged = spark.createDataFrame(links, "id long, n_links long")
-        got = embedding_dedup._audited(rows, points, judged, 0.9, 4, 128)
+        got = embedding_dedup._audited(rows, points, judged, 0.9, 4, 2048)
         asked = [k for k, i in enumerate(ids) if i % 4 == 0 and near[k].sum() > 1]
         if first == 0:
             n = [int(near[k].sum()) - 1 for k in asked]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -261,6 +262,30 @@ def test_boosting_learns_a_rare_flag():
     assert ((boosted.raw(boosted.fit(x, y, rounds=20), x) > 0) == y).all()
 
 
+LINES = [f"The quick brown fox number {k} jumps over the lazy dog." for k in range(20)]
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<html><body>" + "<br>".join(LINES) + "</body></html>", " ".join(LINES)),
+        ("\n".join(LINES), " ".join(LINES)),
+        ("<body>Prose stands straight in the body of it. <p>An inner paragraph has more of this prose.</p> The rest follows, to its end.</body>", "Prose stands straight in the body of it. An inner paragraph has more of this prose. The rest follows, to its end."),
+        ('<p title="abc>Hello to the world, in a paragraph of words</p><p>and in another one.</p>', "Hello to the world, in a paragraph of words and in another one."),
+        ("<p>if a < b and b > c then all is well in this text of some words</p>", "if a < b and b > c then all is well in this text of some words"),
+    ],
+)
+def test_text_straight_in_body_and_broken_tags(source, want):
+    assert html_extract.texts_of([Page(source)], html_extract.model())[0] == want
+
+
+@pytest.mark.parametrize("source", ["<a title=\"x y'" * 70_000, "<p title='" * 100_000, "<a b='>" * 140_000, "<script>" * 120_000, "<!--" * 250_000, "<" * 1_000_000, "<div>" * 100_000 + "</x>" * 100_000, "<i x=" * 200_000])
+def test_broken_pages_are_read_in_linear_time(source):
+    began = time.perf_counter()
+    Page(source)
+    assert time.perf_counter() - began < 3  # well under a second each, but machines differ
+
+
 # toxicity, quality, language
 
 
