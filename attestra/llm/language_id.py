@@ -16,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,15 +166,17 @@ def with_language(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.3,
     model knows something of, as no text of another script has. und documents go.
 
     Rows are judged one by one, whatever their doc_id: null ids, repeated ids and repeated rows each have their verdict.
-    Columns stay those of docs. Where docs has no row to learn from, nothing is recognised; an empty table stays empty.
+    Columns stay those of docs; a null lang becomes the predicted one. Where docs has no row to learn from, nothing is recognised; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_taught(docs, fit_rows))
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
         predictor = Predictor(shared.value)
         for batch in batches:
             made = [predictor(t.as_py()) for t in batch.column(at)]
+            told = pc.coalesce(batch.column(lang), pa.array([m[0] for m in made], batch.schema.field(lang).type))
+            batch = batch.set_column(lang, batch.schema.field(lang), told)
             yield batch.filter(pa.array([m[0] != UNKNOWN and m[1] >= least and m[2] >= known for m in made], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

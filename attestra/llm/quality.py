@@ -1,7 +1,7 @@
 """Operator 9: quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-The model has order 4 over characters (a gram is four 16-bit codes in one long), trained on trusted text. Tasks count
-their grams in numpy and hand over one row for each kind of gram; Spark sums the shards, and the counts of lower
+The model has order 4 over characters, trained on trusted text. A gram is a pair of longs: g holds its last three code
+points at 21 bits each, b the one before, so that every character has a code of its own. Tasks count their grams in numpy and hand over one row for each kind of gram; Spark sums the shards, and the counts of lower
 orders, contexts and discounts are grouped sums and equi-joins on the gram, so all statistics cover all trusted text
 and no table leaves the cluster. Only the finished probabilities are read by the scoring tasks: by broadcast while they
 have at most ``most_grams`` rows, else by joining each document's own gram counts with them, shard by shard.
@@ -22,25 +22,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import few, map_arrow, stored, without
+from attestra.llm.work import few, map_arrow, stored
 
-ORDER, BITS = 4, 16
+ORDER, BITS = 4, 21
+CODE = (1 << BITS) - 1
 MOST_GRAMS = 4_000_000
 QUANTILE, SLACK, SPREAD, FOLDS, SHORT = 0.99, 1.0, 4.0, 3, 400
 PAD = 2
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts -> their grams, one for each character, and where each text's grams begin. Contexts start with pads."""
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts -> (b, g) of their kinds of grams, which kind each character's gram is, and where each text's grams begin.
+
+    Contexts start with pads.
+    """
     pad = chr(PAD) * (ORDER - 1)
-    codes = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
+    codes = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     at = np.concatenate([[0], np.cumsum(lengths)])
     own = np.arange(at[-1]) + np.repeat((np.arange(len(texts)) + 1) * (ORDER - 1), lengths)
-    out = np.zeros(len(own), np.uint64)
-    for j in range(ORDER):
-        out |= codes[own - j] << np.uint64(BITS * j)
-    return out.view(np.int64), at
+    present = np.zeros(CODE + 1, bool)
+    present[codes] = True
+    kinds = np.flatnonzero(present)
+    if len(kinds) <= 1 << 16:  # numbered anew, the codes of a gram fit into one value
+        number = np.zeros(CODE + 1, np.uint64)
+        number[kinds] = np.arange(len(kinds), dtype=np.uint64)
+        few, packed = number[codes], np.zeros(len(own), np.uint64)
+        for j in range(ORDER):
+            packed |= few[own - j] << np.uint64(16 * j)
+        seen, which = np.unique(packed, return_inverse=True)
+        found = [kinds[((seen >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.int64)] for j in range(ORDER)]
+    else:
+        rows, which = np.unique(np.stack([codes[own - j] for j in range(ORDER)], axis=1), axis=0, return_inverse=True)
+        found = [rows[:, j].astype(np.int64) for j in range(ORDER)]
+    return found[3], found[0] | found[1] << BITS | found[2] << (2 * BITS), which.reshape(-1), at
 
 
 def _runs(column, most: int = 500_000):
@@ -57,29 +72,30 @@ def _runs(column, most: int = 500_000):
 
 
 def gram_counts(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
-    """texts(text, [fold]) -> ([fold], g, c): how often each gram occurs. Each task sums its own before anything is shuffled."""
+    """texts(text, [fold]) -> ([fold], b, g, c): how often each gram occurs. Each task sums its own before anything is shuffled."""
     by = ["fold"] if "fold" in texts.columns else []
 
     def count(batches):
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[int, pa.Table] = {}
         for batch in batches:
             for f, at in _folds(batch.column(1)):
                 for _, run in _runs(batch.column(0).take(pa.array(at))):
-                    keys, counts = sums.get(f, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    k, n = np.unique(grams_of(run)[0], return_counts=True)
-                    both = np.concatenate([keys, k])
-                    keys, where = np.unique(both, return_inverse=True)
-                    sums[f] = keys, np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                    if len(keys) > flush:
-                        yield told(f, *sums.pop(f))
+                    b, g, which, _ = grams_of(run)
+                    own = pa.table({"b": b, "g": g, "c": np.bincount(which, minlength=len(b))})
+                    if f in sums:
+                        own = pa.concat_tables([sums[f], own]).group_by(["b", "g"]).aggregate([("c", "sum")]).rename_columns(["b", "g", "c"])
+                    sums[f] = own
+                    if len(own) > flush:
+                        yield from told(f, sums.pop(f))
         for f, own in sums.items():
-            yield told(f, *own)
+            yield from told(f, own)
 
-    def told(f, keys, counts):
-        return pa.RecordBatch.from_pydict({"fold": pa.array(np.full(len(keys), f, np.int32)), "g": pa.array(keys), "c": pa.array(counts)})
+    def told(f, table):
+        table = table.append_column("fold", pa.array(np.full(len(table), f, np.int32))).select(["fold", "b", "g", "c"])
+        return table.combine_chunks().to_batches()
 
     rows = texts.select("text", F.col("fold").cast("int") if by else F.lit(0).alias("fold"))
-    return map_arrow(rows, count, "fold int, g long, c long").groupBy(*by, "g").agg(F.sum("c").alias("c"))
+    return map_arrow(rows, count, "fold int, b long, g long, c long").groupBy(*by, "b", "g").agg(F.sum("c").alias("c"))
 
 
 def _folds(column) -> list[tuple[int, np.ndarray]]:
@@ -89,38 +105,40 @@ def _folds(column) -> list[tuple[int, np.ndarray]]:
 
 
 def _suffix(g: Column, k: int) -> Column:
-    """The last k codes of a gram."""
-    return g.bitwiseAND(F.lit((1 << (BITS * k)) - 1)) if k < ORDER else g
+    """The last k of at most three codes."""
+    return g.bitwiseAND(F.lit((1 << (BITS * k)) - 1)) if k < ORDER - 1 else g
 
 
-def _context(g: Column) -> Column:
-    return F.shiftrightunsigned(g, BITS)
+def _context(k: int, b: Column, g: Column) -> Column:
+    """What stands before the last code of a gram of order k."""
+    before = F.shiftrightunsigned(_suffix(g, k), BITS)
+    return before.bitwiseOR(F.shiftleft(b, 2 * BITS)) if k == ORDER else before
 
 
 def kneser_ney(counts: DataFrame) -> list[DataFrame]:
-    """counts(g, c) of order 4 -> for each order 1 to 4 the seen grams: (g, p, h, gamma).
+    """counts(b, g, c) of order 4 -> for each order 1 to 4 the seen grams: (b, g, p, h, gamma); b is 0 below order 4.
 
     p is the interpolated probability of the gram's last code after its context h, gamma what h leaves to the lower
     order. Orders below 4 count continuations: the kinds of grams that end so. Discounts are the modified ones, from
     the counts of counts, and what all this leaves over is spread evenly over the known codes and one unknown.
     """
-    levels = {ORDER: counts}
+    levels = {ORDER: counts.select("b", "g", "c")}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = stored(levels[k + 1].groupBy(_suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("c")), f"kn{k}")
+        levels[k] = stored(levels[k + 1].groupBy(F.lit(0).cast("long").alias("b"), _suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("c")), f"kn{k}")
     out: list[DataFrame] = []
     for k in range(1, ORDER + 1):
         n = levels[k].agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)], F.count("*").alias("kinds")).first()
         d = discounts([n[f"n{i}"] for i in range(1, 5)])
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        own = levels[k].select("g", "c", _context(F.col("g")).alias("h"), cut.alias("d"))
+        own = levels[k].select("b", "g", "c", _context(k, F.col("b"), F.col("g")).alias("h"), cut.alias("d"))
         totals = own.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        own = own.join(totals, "h").select("g", "h", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("gamma"))
+        own = own.join(totals, "h").select("b", "g", "h", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("gamma"))
         if k == 1:
-            p = own.select("g", "h", "gamma", (F.col("own") + F.col("gamma") / (n["kinds"] + 1)).alias("p"))
+            p = own.select("b", "g", "h", "gamma", (F.col("own") + F.col("gamma") / (n["kinds"] + 1)).alias("p"))
         else:
             low = out[-1].select(F.col("g").alias("s"), F.col("p").alias("low"))
-            p = own.withColumn("s", _suffix(F.col("g"), k - 1)).join(low, "s").select("g", "h", "gamma", (F.col("own") + F.col("gamma") * F.col("low")).alias("p"))
-        out.append(stored(p.select("g", "p", "h", "gamma"), f"p{k}"))
+            p = own.withColumn("s", _suffix(F.col("g"), k - 1)).join(low, "s").select("b", "g", "h", "gamma", (F.col("own") + F.col("gamma") * F.col("low")).alias("p"))
+        out.append(stored(p.select("b", "g", "p", "h", "gamma"), f"p{k}"))
     return out
 
 
@@ -134,34 +152,39 @@ def discounts(n: list[int]) -> list[float]:
 
 
 class Scorer:
-    """Probabilities of any gram from the seen ones: sorted arrays for each order, and what each context leaves."""
+    """Probabilities of any gram from the seen ones: for each order sorted contexts, and sorted (context, code) pairs."""
 
     def __init__(self, tables: list[tuple[np.ndarray, ...]]):
-        self.grams, self.contexts = [], []
+        self.contexts, self.grams = [], []
         for g, p, h, gamma in tables:
-            order = np.argsort(g)
-            self.grams.append((g[order], p[order]))
-            kinds, first = np.unique(h, return_index=True)
+            kinds, first, where = np.unique(h, return_index=True, return_inverse=True)
+            keys = where.reshape(-1) << BITS | (g & CODE)
+            order = np.argsort(keys)
             self.contexts.append((kinds, gamma[first]))
-        unknown = self.contexts[0][1][0] / (len(self.grams[0][0]) + 1) if len(self.contexts[0][1]) else 1.0
-        self.unknown = float(unknown)
+            self.grams.append((keys[order], p[order]))
+        left = self.contexts[0][1]
+        self.unknown = float(left[0] / (len(self.grams[0][0]) + 1)) if len(left) else 1.0
 
     @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where x stands among sorted keys, and whether it does."""
         if not len(keys):
-            return np.zeros(len(x), bool), np.zeros(len(x))
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         k = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return keys[k] == x, values[k]
+        return k, keys[k] == x
 
-    def log_p(self, grams: np.ndarray) -> np.ndarray:
-        p = np.full(len(grams), self.unknown)
+    def log_p(self, b: np.ndarray, g: np.ndarray) -> np.ndarray:
+        p = np.full(len(g), self.unknown)
         for k in range(1, ORDER + 1):
-            part = grams & np.int64((1 << (BITS * k)) - 1) if k < ORDER else grams
-            seen, value = self._find(*self.grams[k - 1], part)
-            if k > 1:
-                known, gamma = self._find(*self.contexts[k - 1], (part.view(np.uint64) >> np.uint64(BITS)).view(np.int64))
-                p = np.where(known, gamma * p, p)
-            p = np.where(seen, value, p)
+            part = g & np.int64((1 << (BITS * k)) - 1) if k < ORDER - 1 else g
+            h = part >> BITS | b << (2 * BITS) if k == ORDER else part >> BITS
+            (kinds, gamma), (keys, values) = self.contexts[k - 1], self.grams[k - 1]
+            at, known = self._find(kinds, h)
+            place, seen = self._find(keys, at << BITS | (g & CODE))
+            if k > 1 and len(kinds):
+                p = np.where(known, gamma[at] * p, p)
+            if len(keys):
+                p = np.where(known & seen, values[place], p)
         return np.log(p)
 
 
@@ -191,9 +214,8 @@ def _by_folds(docs: DataFrame, models: list[list[DataFrame]], most_grams: int) -
             for f, own in _folds(batch.column(1)):
                 scorer = shared.value[f]
                 for begin, run in _runs(batch.column(0).take(pa.array(own))):
-                    grams, at = grams_of(run)
-                    kinds, where = np.unique(grams, return_inverse=True)
-                    logs = np.concatenate([[0.0], np.cumsum(scorer.log_p(kinds)[where])])
+                    b, g, which, at = grams_of(run)
+                    logs = np.concatenate([[0.0], np.cumsum(scorer.log_p(b, g)[which])])
                     n = np.diff(at)
                     with np.errstate(invalid="ignore", divide="ignore"):
                         out[own[begin : begin + len(run)]] = np.exp(-(logs[at[1:]] - logs[at[:-1]]) / n)
@@ -216,21 +238,22 @@ def _by_joins(docs: DataFrame, model: list[DataFrame]) -> DataFrame:
     def own(batches):
         for batch in batches:
             for row, v in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
-                kinds, n = np.unique(grams_of([v.as_py() or ""])[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"_row": pa.array(np.full(len(kinds), row)), "g": pa.array(kinds), "n": pa.array(n)})
+                b, g, which, _ = grams_of([v.as_py() or ""])
+                yield pa.RecordBatch.from_pydict({"_row": pa.array(np.full(len(b), row)), "b": pa.array(b), "g": pa.array(g), "n": pa.array(np.bincount(which, minlength=len(b)))})
 
     base = stored(docs.select("_row", *others, "text"), "docs")
-    counts = map_arrow(base.select("_row", "text"), own, "_row long, g long, n long")
-    kinds = stored(counts.select("g").distinct(), "kinds")
+    counts = map_arrow(base.select("_row", "text"), own, "_row long, b long, g long, n long")
+    kinds = stored(counts.select("b", "g").distinct(), "kinds")
     first = model[0].agg((F.first("gamma") / (F.count("*") + 1)).alias("u")).first()["u"] or 1.0
     p = kinds.withColumn("p", F.lit(first))
     for k in range(1, ORDER + 1):
-        seen = model[k - 1].select(F.col("g").alias("part"), F.col("p").alias("seen"))
+        seen = model[k - 1].select(F.col("b").alias("b_part"), F.col("g").alias("part"), F.col("p").alias("seen"))
         left = model[k - 1].groupBy("h").agg(F.first("gamma").alias("gamma"))
-        p = p.withColumn("part", _suffix(F.col("g"), k)).withColumn("h", _context(F.col("part"))).join(seen, "part", "left")
+        p = p.withColumn("part", _suffix(F.col("g"), k)).withColumn("b_part", F.col("b") if k == ORDER else F.lit(0).cast("long")).withColumn("h", _context(k, F.col("b"), F.col("g")))
+        p = p.join(seen, ["part", "b_part"], "left")
         p = p.join(left, "h", "left") if k > 1 else p.withColumn("gamma", F.lit(1.0))
-        p = stored(p.select("g", F.coalesce("seen", F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p")), "p")
-    sums = counts.join(p, "g").groupBy("_row").agg((-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("bits"))
+        p = stored(p.select("b", "g", F.coalesce("seen", F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p")), "p")
+    sums = counts.join(p, ["b", "g"]).groupBy("_row").agg((-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("bits"))
     return base.join(sums, "_row", "left").select(*others, F.exp("bits").alias("perplexity"))
 
 
@@ -244,13 +267,19 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sla
     trusted text there is nothing to judge by: thresholds are null and all other documents are accepted. Repeated rows
     each get their row; extra columns are ignored.
     """
+    judged = _judged(docs.select("doc_id", "text", "lang"), trusted, quantile, slack, spread, most_grams)
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "accepted")
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, quantile: float, slack: float, spread: float, most_grams: int) -> DataFrame:
+    """docs with perplexity, threshold and accepted; what stands in its columns beside doc_id, text and lang goes along."""
     ids = few(stored(trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct(), "trusted"))
-    marked = docs.select("doc_id", "text", "lang").join(ids, F.col("doc_id") == F.col("_trusted"), "left").withColumn("_trusted", F.col("_trusted").isNotNull())
+    marked = docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left").withColumn("_trusted", F.col("_trusted").isNotNull())
     marked = marked.withColumn("fold", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int"))
     counts = stored(gram_counts(marked.where("_trusted and length(text) > 0").select("text", "fold")), "counts")
     folds = counts.select("fold").distinct().count()
     learnt = [counts.where(F.col("fold") != f) if folds > 1 else counts for f in range(FOLDS if folds > 1 else 1)]
-    models = [kneser_ney(stored(c.groupBy("g").agg(F.sum("c").alias("c")), "counts")) for c in learnt]
+    models = [kneser_ney(stored(c.groupBy("b", "g").agg(F.sum("c").alias("c")), "counts")) for c in learnt]
     scored = stored(_by_folds(marked if folds > 1 else marked.withColumn("fold", F.lit(0)), models, most_grams), "scored")
     good = scored.where("_trusted and perplexity is not null")
     long_ones = F.when(F.col("n_codes") >= SHORT, F.col("perplexity"))
@@ -261,13 +290,18 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sla
     return (
         scored.join(F.broadcast(each.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left")  # a row for each language
         .withColumn("threshold", level)
-        .select("doc_id", "lang", "perplexity", "threshold", (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("accepted"))
+        .withColumn("accepted", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     )
 
 
-def accepted(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    """docs that quality() accepts, with the columns of docs."""
-    return without(docs, quality(docs, trusted, **options).where("not accepted"))
+def accepted(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, spread: float = SPREAD, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """The rows of docs that quality() accepts, with the columns of docs, whatever their names.
+
+    Rows are judged one by one: null ids, repeated ids and repeated rows each have their verdict. Null and empty texts go;
+    without trusted texts all others stay.
+    """
+    whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_doc"))
+    return _judged(whole, trusted, quantile, slack, spread, most_grams).where("accepted").select("_doc.*")
 
 
 __all__ = ["accepted", "discounts", "gram_counts", "kneser_ney", "perplexities", "quality"]
