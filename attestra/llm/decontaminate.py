@@ -1,12 +1,12 @@
 """Operator 6: benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
-A test window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one window. Each
-window is filed under its anchor, its longest word. The anchors form the hash set that every document word is
-tested against, inside the scan; only at those places are the windows filed there looked up (a hash join with the
-anchor table) and compared word by word, so no window of the documents is ever built, exploded or shuffled.
+A test window is ``size`` consecutive words of an item; an item of fewer words, but not none, is one window. The hash set
+holds every window under its anchor, its longest word. It is broadcast once, and the words of all documents probe it in one
+scan; only where an anchor stands are the windows filed there compared word by word with the words around it, so no window
+of the documents is ever built or shuffled, and what moves on is one row for each document and each verified hit.
 
-Only DataFrame functions are used. Test sets of more than ``max_windows`` windows are dealt by hash into parts of about
-that size, each scanned for on its own, so that neither the set in the plan nor the broadcast grows beyond that bound.
+Only DataFrame functions are used. The set is broadcast while its windows take at most ``max_bytes``; larger test sets are
+dealt by hash into parts of about that size, with a scan for each.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.words import WORD, words
-from attestra.llm.work import without
+from attestra.llm.work import few, stored
 
-SIZE, MAX_WINDOWS = 10, 100_000
+SIZE, MAX_BYTES = 10, 64 * 2**20
 
 
 def test_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -32,18 +32,29 @@ def test_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return grams.select("item_id", "gram", F.size("gram").alias("length"), F.element_at("gram", at).alias("anchor"), (at - 1).alias("before"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs(doc_id, text) x items(item_id, text) -> doc_id, n_words, n_hit, n_items, item_ids, spans, for each row of docs.
 
     n_hit counts the words inside any occurrence of a window, item_ids the items (as sorted strings) with occurring
     windows, spans the hit word places (start from 1, length). Null or empty texts have no words and no hits. Repeated
-    rows each keep their row. With no items, or none with words, nothing is hit. Very long texts are scanned whole.
+    rows each keep their row. With no items, or none with words, nothing is hit. Very long texts are scanned whole. Other
+    columns of either table are ignored.
     """
-    windows = test_windows(items.select("item_id", "text"), size)
-    parts = max(1, -(-windows.count() // max_windows))
-    windows = windows.withColumn("part", F.pmod(F.xxhash64("gram", "item_id"), F.lit(parts)))
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words(F.col("text")).alias("_w"))
-    scans = [_scan(base, windows.where(F.col("part") == k)) for k in range(parts)]
+    return _found(_numbered(docs.select("doc_id", "text")), items, size, max_bytes).drop("_row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that whatever reads it, again or after a loss, finds the same numbers."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _found(docs: DataFrame, items: DataFrame, size: int, max_bytes: int) -> DataFrame:
+    """contamination() of docs(_row, doc_id, text), with _row."""
+    windows = stored(test_windows(items.select("item_id", "text"), size), "windows")
+    total = windows.agg(F.sum(32 + F.length(F.array_join("gram", " ")) + 16 * F.size("gram"))).first()[0] or 0
+    parts = int(total // max_bytes) + 1
+    base = docs.select("_row", "doc_id", words(F.col("text")).alias("_w"))
+    scans = [_scan(base, windows.where(F.pmod(F.xxhash64("gram", "item_id"), F.lit(parts)) == k)) for k in range(parts)]
     return (
         reduce(DataFrame.unionByName, scans)
         .groupBy("_row", "doc_id", "n_words")
@@ -52,7 +63,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windo
         .withColumn("item_ids", F.sort_array("item_ids"))
         .withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("spans", _places)))).cast("long"))
         .withColumn("n_items", F.size("item_ids").cast("long"))
-        .drop("_row")
     )
 
 
@@ -62,13 +72,11 @@ def _places(span: Column) -> Column:
 
 def _scan(base: DataFrame, windows: DataFrame) -> DataFrame:
     """One row without item for each document, and one for each occurrence of a window."""
-    anchors = [r[0] for r in windows.select("anchor").distinct().orderBy("anchor").collect()]
     filed = windows.groupBy("anchor").agg(F.collect_list(F.struct("item_id", "gram", "length", "before")).alias("filed"))
-    n = F.size("_w")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get("_w", i - 1).isin(anchors)) if anchors else F.array().cast("array<int>")
-    probed = base.select("_row", "doc_id", "_w", n.cast("long").alias("n_words"), F.explode(F.concat(F.array(F.lit(0)), at)).alias("_at"))
-    probed = probed.withColumn("_anchor", F.when(F.col("_at") > 0, F.get("_w", F.col("_at") - 1)))
-    joined = probed.join(F.broadcast(filed), F.col("_anchor") == F.col("anchor"), "left")  # at most about max_windows windows
+    # a null before the words stands for the document itself
+    each = F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "_w")).alias("_at", "_word")
+    probed = base.select("_row", "doc_id", "_w", F.size("_w").cast("long").alias("n_words"), each)
+    joined = probed.join(F.broadcast(filed), F.col("_word") == F.col("anchor"), "left").where("_at = 0 OR anchor IS NOT NULL")  # of at most about max_bytes
     start = F.col("_at")
 
     def occurs(x: Column) -> Column:
@@ -87,19 +95,24 @@ def _scan(base: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, remove: str = "documents", max_windows: int = MAX_WINDOWS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, remove: str = "documents", max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs without contaminated documents, or with the hit words cut out of their texts (remove='spans').
 
-    Columns stay those of docs. doc_id must identify a text; repeated rows of one doc_id share its verdict.
+    Columns stay those of docs, whatever their names. Rows are judged one by one: null ids, repeated ids and repeated rows
+    each have their verdict, null texts stay.
     """
-    found = contamination(docs, items, size, max_windows).where("n_hit > 0")
+    rows = _numbered(docs.select(F.struct(*docs.columns).alias("_doc"))).select("_row", "_doc", "_doc.doc_id", "_doc.text")
+    found = _found(rows, items, size, max_bytes).where("n_hit > 0")
     if remove == "documents":
-        return without(docs, found)
-    spans = found.groupBy("doc_id").agg(F.first("spans").alias("_spans"))
+        gone = few(stored(found.select("_row"), "gone"))
+        return rows.select("_row", "_doc").join(gone, "_row", "left_anti").select("_doc.*")
+    spans = found.select("_row", F.array_distinct(F.flatten(F.transform("spans", _places))).alias("_hit"))
     pattern = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the words of the text as written, capitals too
     gaps, own = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    hit = F.array_distinct(F.flatten(F.transform("_spans", _places)))
-    kept = F.transform(own, lambda w, i: F.concat(F.when(F.array_contains(F.col("_hit"), i + 1), F.lit("")).otherwise(w), F.get(F.col("_gaps"), i + 1)))
+    # the words by place, the hit ones marked: sorted, a mark stands right before its word
+    placed = F.sort_array(F.concat(F.transform(F.col("_hit"), lambda p: F.struct(p.alias("p"), F.lit(0).alias("k"))), F.transform(F.sequence(F.lit(1), F.size(own)), lambda p: F.struct(p.alias("p"), F.lit(1).alias("k")))))
+    marks = F.transform(F.filter(F.transform("_placed", lambda x, i: F.struct(x.alias("x"), (F.get(F.col("_placed"), i - 1)["p"] == x["p"]).alias("hit"))), lambda x: x["x"]["k"] == 1), lambda x: F.coalesce(x["hit"], F.lit(False)))
+    kept = F.transform(own, lambda w, i: F.concat(F.when(F.get(F.col("_marks"), i), F.lit("")).otherwise(w), F.get(F.col("_gaps"), i + 1)))
     cut = F.concat(F.get("_gaps", F.lit(0)), F.array_join(kept, ""))
-    joined = docs.join(spans, "doc_id", "left").withColumn("_gaps", gaps).withColumn("_hit", hit)
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
+    joined = rows.join(spans, "_row", "left").withColumn("_gaps", gaps).withColumn("_placed", F.when(F.col("_hit").isNotNull(), placed)).withColumn("_marks", marks)
+    return joined.select(F.col("_doc").withField("text", F.when(F.col("_hit").isNotNull(), cut).otherwise(F.col("text"))).alias("_doc")).select("_doc.*")
