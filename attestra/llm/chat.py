@@ -64,34 +64,39 @@ def branches(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise ValueError("the reply links hold a cycle")
 
 
-def conversations(nodes: DataFrame) -> DataFrame:
+def distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """One row for each (tree, node): of repeated ones the greatest by score, then role, text and parent."""
+    best = F.max(F.struct(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)).alias("score"), "role", "text", "parent")).alias("n")
+    return nodes.groupBy("tree", "node").agg(best).select("tree", "node", "n.parent", "n.role", "n.text", "n.score")
+
+
+def conversations(nodes: DataFrame, unique: bool = False) -> DataFrame:
     """One row for each root-to-leaf path: tree, leaf, branch_rank (1: best mean score; ties: smaller leaf), formatted, loss_spans.
 
     loss_spans are the (start from 0, length) code points of formatted that belong to assistant texts, as escaped.
-    Null text or role is the empty string, null score 0. Nodes without a tree are left out: they belong to no
-    conversation. Empty input gives an empty result; columns beside the named ones are ignored.
+    Null text or role is the empty string, null or NaN score 0. Nodes without a tree or an id are left out: they belong to
+    no path. Of rows that repeat a node one counts (distinct_nodes); unique says that there are none. Empty input gives
+    an empty result; columns beside the named ones are ignored.
     """
-    nodes = nodes.where("tree is not null")
-    turns = branches(nodes).join(
-        nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")),
-        ["tree", "node"],
-    )
-    parts = F.struct((-F.col("up")).alias("at"), escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("loss"))
-    paths = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(parts)).alias("turns"), F.avg("score").alias("score"))
+    nodes = nodes.where("tree is not null AND node is not null").withColumn("score", F.col("score").cast("double"))
+    nodes = nodes if unique else stored(distinct_nodes(nodes), "nodes")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    own = nodes.select("tree", "node", escaped(text("role")).alias("role"), escaped(text("text")).alias("text"), F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)).alias("score"))
+    turns = branches(nodes).join(own, ["tree", "node"])
     fixed = len(START) + len(SEP) + len(END)
-    place = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + fixed + F.length(t["role"]) + F.length(t["text"])).alias("at"),
-            F.when(t["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + len(START) + F.length(t["role"]) + len(SEP)).alias("start"), F.length(t["text"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
+    ahead = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(fixed + F.length("role") + F.length("text")).over(ahead), F.lit(0)).cast("int")
+    parts = F.struct((-F.col("up")).alias("at"), "role", "text", "before")
+    paths = turns.withColumn("before", before).groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(parts)).alias("turns"), F.avg("score").alias("score"))
+    spans = F.transform(
+        F.filter("turns", lambda t: t["role"] == "assistant"),
+        lambda t: F.struct((t["before"] + len(START) + F.length(t["role"]) + len(SEP)).alias("start"), F.length(t["text"]).alias("length")),
     )
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     return paths.select(
         "tree", "leaf", rank.alias("branch_rank"), "score",
         F.array_join(F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit(SEP), t["text"], F.lit(END))), "").alias("formatted"),
-        place["spans"].alias("loss_spans"),
+        spans.alias("loss_spans"),
     )
 
 

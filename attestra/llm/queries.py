@@ -54,7 +54,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    made = chat.conversations(chat.linear_nodes(rows.unionByName(extra)))
+    made = chat.conversations(chat.linear_nodes(rows.unionByName(extra)), unique=True)
     made = made.select("tree", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select(
