@@ -20,6 +20,10 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
             WHEN starts_with(path, '/') AND regexp_matches(host, '(^|[.])(ads-track[.]example[.]com|adult-x[.]example[.]com|casino-win[.]example[.]net|cheap-pills[.]example[.]net|free-bets[.]example[.]net|spam-farm[.]example[.]org)$') THEN 'block'
+            WHEN TRY_CAST(regexp_extract(host, '(^|[.])listed-([0-9]{1,6})[.]example[.]com$', 2) AS INTEGER) < 300000
+                 AND regexp_extract(host, '(^|[.])listed-([0-9]{1,6})[.]example[.]com$', 2) = CAST(TRY_CAST(regexp_extract(host, '(^|[.])listed-([0-9]{1,6})[.]example[.]com$', 2) AS INTEGER) AS VARCHAR)
+                 AND starts_with(path, CASE WHEN TRY_CAST(regexp_extract(host, '(^|[.])listed-([0-9]{1,6})[.]example[.]com$', 2) AS INTEGER) % 2 = 0 THEN '/'
+                                            ELSE '/p' || regexp_extract(host, '(^|[.])listed-([0-9]{1,6})[.]example[.]com$', 2) || '/' END) THEN 'block'
             ELSE 'allow' END AS verdict
 FROM judged
 """

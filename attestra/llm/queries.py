@@ -10,14 +10,19 @@ from attestra.llm import chat, decontaminate, embedding_dedup, html_extract, lan
 from attestra.llm.oracles import ORACLE_SQL  # noqa: F401
 from attestra.session import table
 
-#: The rules of the URL contract, and the hosts that the query's block list holds.
+#: The rules of the URL contract, and hosts that the query's block list holds beside MADE made-up entries.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 LISTED_HOSTS = ["ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
 
+MADE = 300_000
+
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame([(h, "/") for h in LISTED_HOSTS], "host string, path string")
+    hosts = spark.createDataFrame([(h, "/") for h in LISTED_HOSTS], "host string, path string")
+    k = F.col("id").cast("string")
+    made = spark.range(MADE).select(F.concat(F.lit("listed-"), k, F.lit(".example.com")).alias("host"), F.when(F.col("id") % 2 == 0, "/").otherwise(F.concat(F.lit("/p"), k, F.lit("/"))).alias("path"))
+    listed = hosts.unionByName(made)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
 

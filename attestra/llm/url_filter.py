@@ -19,6 +19,8 @@ from attestra.llm.words import ascii_lower
 
 WORDS = 8
 BITS_PER_KEY = 16
+#: Tasks that the rows of one URL, and those without one, are dealt out to.
+SALTS, NULLS = 8, 4096
 
 
 def _after_scheme(url: Column) -> Column:
@@ -60,7 +62,7 @@ def listed_matches(urls: DataFrame, listed: DataFrame, max_filter_mb: int = 64)
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array_distinct(F.array(*[F.substring("path", 1, n) for n in facts["lengths"] or [0]])), lambda p: p.isNotNull())
+    prefixes = F.transform(F.filter(F.lit(facts["lengths"] or [0]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.array_distinct(F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))
     probes = (
         urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -104,7 +106,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame, max_filter
     judged = found.groupBy(F.col("url").alias("_url")).agg(
         F.max(F.when(F.col("_rule") == 1, longest)).alias("_r"), F.max(F.when(F.col("_rule") == 0, longest)).alias("_l")
     )
-    return pages.join(judged, F.col("url") == F.col("_url"), "left").select(
+    # a URL that a third of all rows may have is dealt out by a salt, and null ones, which match nothing, by another
+    at = F.monotonically_increasing_id()
+    dealt = pages.withColumn("_salt", F.pmod(at, F.lit(SALTS)).cast("int")).withColumn("_key", F.coalesce("url", F.concat(F.lit("\0"), F.pmod(at, F.lit(NULLS)))))
+    repeated = judged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("_url", "_key")
+    return dealt.join(repeated, ["_key", "_salt"], "left").select(
         *pages.columns,
         host_of(F.col("url")).alias("host"),
         path_of(F.col("url")).alias("path"),

@@ -58,6 +58,15 @@ def test_url_filter_equals_brute_force(spark):
     assert got == [judge(u, RULES, listed) for u in URLS]
 
 
+def test_url_filter_with_hot_and_null_urls_and_many_path_lengths(spark):
+    listed = [(f"h{k % 9}.net", "/" + "x" * k) for k in range(0, 400, 7)]
+    urls = ["https://h0.net/" + "x" * 63] * 300 + [None] * 300 + [f"http://sub.h{k}.net/{'x' * (5 * k)}" for k in range(9)]
+    pages = spark.createDataFrame([(k, u, "t") for k, u in enumerate(urls)], "page_id long, url string, block string")
+    df = url_filter.url_filter(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), spark.createDataFrame(listed, "host string, path string"))
+    got = [(r.host, r.path, r.rule, r.verdict) for r in df.orderBy("page_id").collect()]
+    assert got == [judge(u, RULES, listed) for u in urls]
+
+
 def test_url_filter_without_lists(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
@@ -120,6 +129,9 @@ def test_cleaning(spark):
     passage = " ".join(f"w{k}" for k in range(12))
     df = docs_of(spark, [f"Before, {passage}! After", "clean text", None])
     items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    odd = spark.createDataFrame([(None, passage, 1, "a"), (None, "clean", 2, "b"), (5, passage, 3, "c"), (5, "other text", 4, "d"), (6, None, 5, "e"), (6, None, 5, "e")], "doc_id long, text string, _row int, _doc string")
+    assert [sorted(r._row for r in decontaminate.clean(odd, items).collect()), decontaminate.clean(odd, items).columns] == [[2, 4, 5, 5], odd.columns]
+    assert sorted((r._row, r.text or "") for r in decontaminate.clean(odd, items, remove="spans").collect())[2] == (3, " " * 11)
     assert sorted(r.doc_id for r in decontaminate.clean(df, items).collect()) == [1, 2]
     cut = {r.doc_id: r.text for r in decontaminate.clean(df, items, remove="spans").collect()}
     assert words(cut[0]) == ["before", "after"] and cut[0].startswith("Before,") and cut[0].endswith("! After") and cut[1] == "clean text" and cut[2] is None
@@ -146,7 +158,19 @@ def test_trees_give_ranked_paths(spark):
     nodes = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 3.0), ("t", 3, 1, "assistant", "b", 9.0), ("t", 4, 2, "user", "c", 0.0), ("t", 5, 99, "user", "lost", 1.0)]
     df = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
     got = [(r.leaf, r.branch_rank, [x.text for x in r.t]) for r in chat.conversations(df).withColumn("t", chat.read_back(F.col("formatted"))).orderBy("branch_rank").collect()]
-    assert got == [(3, 1, ["q", "b"]), (4, 2, ["q", "a", "c"]), (5, 3, ["lost"])] or sorted(got) == sorted([(3, 1, ["q", "b"]), (4, 2, ["q", "a", "c"]), (5, 3, ["lost"])])
+    assert got == [(3, 1, ["q", "b"]), (4, 2, ["q", "a", "c"]), (5, 3, ["lost"])]
+
+
+def test_repeated_and_odd_nodes_count_once(spark):
+    nan = float("nan")
+    nodes = [("t", 1, None, "user", "hi", 0.0)] * 2 + [("t", 2, 1, "assistant", "a", nan), ("t", 2, 1, "assistant", "b", None), ("t", None, 1, "user", "no id", 1.0), (None, 1, None, "user", "no tree", 1.0)]
+    nodes += [("t", 3, 1, "assistant", "low", 1.0), ("t", 3, 1, "assistant", "high", 2.0)]
+    df = spark.createDataFrame([(*n, 7) for n in nodes], "tree string, node long, parent long, role string, text string, score double, before int")
+    got = [(r.leaf, r.branch_rank, r.score, [x.text for x in r.t], r.l) for r in chat.conversations(df).withColumn("t", chat.read_back(F.col("formatted"))).withColumn("l", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).orderBy("branch_rank").collect()]
+    assert got == [(3, 1, 1.0, ["hi", "high"], "high"), (2, 2, 0.0, ["hi", "b"], "b")]
+    cycle = spark.createDataFrame([("t", 1, 2, "user", "x", 0.0), ("t", 2, 1, "user", "y", 0.0)], "tree string, node long, parent long, role string, text string, score double")
+    with pytest.raises(ValueError, match="cycle"):
+        chat.conversations(cycle)
 
 
 def test_long_chain_and_empty(spark):
