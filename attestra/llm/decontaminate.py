@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from attestra.llm.words import WORD, words
 from attestra.llm.work import few, stored
 
-SIZE, MAX_BYTES = 10, 64 * 2**20
+SIZE, MAX_BYTES, CHUNK = 10, 64 * 2**20, 256
 
 
 def test_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -54,7 +54,7 @@ def _found(docs: DataFrame, items: DataFrame, size: int, max_bytes: int) -> Data
     total = windows.agg(F.sum(32 + F.length(F.array_join("gram", " ")) + 16 * F.size("gram"))).first()[0] or 0
     parts = int(total // max_bytes) + 1
     base = docs.select("_row", "doc_id", words(F.col("text")).alias("_w"))
-    scans = [_scan(base, windows.where(F.pmod(F.xxhash64("gram", "item_id"), F.lit(parts)) == k)) for k in range(parts)]
+    scans = [_scan(base, windows.where(F.pmod(F.xxhash64("gram", "item_id"), F.lit(parts)) == k), size) for k in range(parts)]
     return (
         reduce(DataFrame.unionByName, scans)
         .groupBy("_row", "doc_id", "n_words")
@@ -70,18 +70,27 @@ def _places(span: Column) -> Column:
     return F.sequence(span["start"], span["start"] + span["length"] - 1)
 
 
-def _scan(base: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row without item for each document, and one for each occurrence of a window."""
+def _scan(base: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """One row without item for each document, and one for each occurrence of a window.
+
+    Documents are cut into chunks of CHUNK words with size - 1 more at either end, so that what goes along with a word is of
+    bounded length however long its document is.
+    """
     filed = windows.groupBy("anchor").agg(F.collect_list(F.struct("item_id", "gram", "length", "before")).alias("filed"))
-    # a null before the words stands for the document itself
-    each = F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "_w")).alias("_at", "_word")
-    probed = base.select("_row", "doc_id", "_w", F.size("_w").cast("long").alias("n_words"), each)
-    joined = probed.join(F.broadcast(filed), F.col("_word") == F.col("anchor"), "left").where("_at = 0 OR anchor IS NOT NULL")  # of at most about max_bytes
-    start = F.col("_at")
+    n, more = F.size("_w"), size - 1
+    firsts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK))  # words before each chunk
+    chunk = lambda i: F.struct(i.alias("first"), F.slice("_w", F.greatest(i - more + 1, F.lit(1)), CHUNK + more + F.least(i, F.lit(more))).alias("part"))
+    chunks = base.select("_row", "doc_id", n.cast("long").alias("n_words"), F.explode(F.transform(firsts, chunk)).alias("c"))
+    chunks = chunks.select("_row", "doc_id", "n_words", "c.first", "c.part", F.least("c.first", F.lit(more)).alias("_lead"))
+    # a null before the words of the first chunk stands for the document itself
+    each = F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.slice("part", F.col("_lead") + 1, F.lit(CHUNK)))).alias("_at", "_word")
+    probed = chunks.select("_row", "doc_id", "n_words", "first", "part", "_lead", each)
+    joined = probed.join(F.broadcast(filed), F.col("_word") == F.col("anchor"), "left").where("(_at = 0 AND first = 0) OR anchor IS NOT NULL")  # of at most about max_bytes
+    start, place = F.col("first") + F.col("_at"), F.col("_lead") + F.col("_at")
 
     def occurs(x: Column) -> Column:
-        first = start - x["before"]
-        return (first >= 1) & (F.slice("_w", F.greatest(first, F.lit(1)), x["length"]) == x["gram"])
+        ahead = place - x["before"]
+        return (ahead >= 1) & (F.slice("part", F.greatest(ahead, F.lit(1)), x["length"]) == x["gram"])
 
     here = F.transform(
         F.filter(F.coalesce("filed", F.array().cast(filed.schema["filed"].dataType)), occurs),

@@ -118,7 +118,7 @@ def test_contamination_equals_brute_force(spark, most):
     r = random.Random(1)
     make = lambda n: " ".join(r.choice("aa bb cc dddd ee ff gg".split()) for _ in range(n))
     items = [(k, make(r.choice((1, 3, 10, 11, 25)))) for k in range(12)] + [(50, None), (51, ""), (52, "!!"), (10, "aa aa aa aa aa aa aa aa aa aa aa")]
-    texts = [make(r.choice((0, 5, 40, 300))) for _ in range(30)] + [f"X {t}. {make(5)}" for _, t in items if t] + AWKWARD + ["aa " * 40]
+    texts = [make(r.choice((0, 5, 40, 255, 256, 257, 300, 2000))) for _ in range(30)] + [f"X {t}. {make(5)}" for _, t in items if t] + AWKWARD + ["aa " * 40]
     df = spark.createDataFrame([(k % 40, t, 9) for k, t in enumerate(texts)], "doc_id long, text string, item_ids int")
     got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"), max_bytes=most).collect()
     rows = sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in got)
