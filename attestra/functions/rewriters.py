@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import urls
@@ -19,6 +19,14 @@ def register(name: str, rewriter: Callable[[Column], Column]) -> None:
     REWRITERS[name] = rewriter
 
 
+def loaded(files: DataFrame) -> dict[str, Callable[[Column], Column]]:
+    """files(path, raw), as sources.documents.read_whole reads a folder of configuration: <name>.json with {rules: [{match,
+    replace}]} -> rewriters by name. A file that is no such JSON gives none. Rules are data: no code is loaded."""
+    rows = files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("name"), F.from_json("raw", "rules array<struct<match:string,replace:string>>")["rules"].alias("rules"))
+    made = {r["name"]: [(x["match"], x["replace"]) for x in r["rules"]] for r in rows.where("name <> '' AND rules IS NOT NULL").collect()}  # configuration
+    return {name: (lambda c, own=rules: urls.rewritten(c, own)) for name, rules in made.items()}
+
+
 def rewrite(name: str, url: Column) -> Column:
     """The named rewriter's result; an unknown name leaves the URL as it is."""
     return REWRITERS.get(name, lambda c: c)(url)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestra.functions import numbers, text
+from attestra.session import written
 
 #: How severe a verification class is.
 SEVERITY = ["source_confirmed", "source_indirect", "source_absent"]
@@ -128,10 +129,11 @@ def pass_rates(df: DataFrame, dimension: str, passed: Column, priority: Column,
 def next_ids(existing: DataFrame, new: DataFrame, id_column: str, order: list[str]) -> DataFrame:
     """New rows numbered on from the largest id there is.
 
-    Rows are numbered within their range partition and partitions by running totals, so no task sorts all rows.
+    Rows are numbered within their range partition and partitions by running totals, so no task sorts all rows. The ranged
+    rows are written first: a range partition is sampled, and both the totals and the numbers must see the same one.
     """
     top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = written(new.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = local.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

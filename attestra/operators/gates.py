@@ -274,9 +274,14 @@ def deep_dive_targets(classified: DataFrame, tensions: DataFrame, indirect: floa
     return every.withColumn("target", F.row_number().over(Window.partitionBy("ws").orderBy("o", "sec"))).drop("o")
 
 
-def deep_dive_gates(scopes: DataFrame, targets: DataFrame, classified: DataFrame) -> DataFrame:
-    """The plan's gates: it exists, its targets are done or skipped for a reason, done ones found three sources, and no
-    claim of a targeted section stays absent. targets(ws, sec, status, skip_reason, new_sources)."""
+#: Fixed value: the rounds that a plan may take if it names no number.
+MAX_ROUNDS = 3
+
+
+def deep_dive_gates(scopes: DataFrame, targets: DataFrame, classified: DataFrame, plans: DataFrame) -> DataFrame:
+    """The plan's gates: it exists, its targets are done or skipped for a reason, done ones found three sources, no claim of
+    a targeted section stays absent, and, which never fail, whether it declares convergence and the rounds it has used.
+    targets(ws, sec, status, skip_reason, new_sources), plans(ws, round, max_rounds, convergence)."""
     done = F.col("status") == "completed"
     plan = judged(scopes, _count(targets), "deep_dive_plan_exists", "BLOCKER", F.col("m") >= 1, 1)
     unfinished = targets.where(~(done | ((F.col("status") == "skipped") & (F.trim(F.coalesce("skip_reason", F.lit(""))) != ""))))
@@ -285,7 +290,15 @@ def deep_dive_gates(scopes: DataFrame, targets: DataFrame, classified: DataFrame
     named = targets.where("sec <> ''").select("ws", "sec").distinct()
     aimed = classified.join(named, ["ws", "sec"], "left_semi").unionByName(classified.join(named.select("ws").distinct(), "ws", "left_anti"))
     left = judged(scopes, _count(aimed.where("sv = 'source_absent'")), "deep_dive_verification", "BLOCKER", F.col("m") == 0, 0)
-    return plan.unionByName(completion).unionByName(shallow).unionByName(left)
+    on = scopes.select("ws").join(plans.select("ws", "round", "max_rounds", "convergence", F.lit(True).alias("_plan")), "ws", "left")
+    open_ = F.col("_plan") & F.col("convergence").isNull()
+    used, most = F.coalesce("round", F.lit(0)), F.coalesce("max_rounds", F.lit(MAX_ROUNDS))
+    declared = row("convergence_declared", F.col("ws"), "WARN", F.lit(True), F.when(F.coalesce(open_, F.lit(False)), 0.0).otherwise(1.0))
+    declared[6] = F.when(open_, "not yet declared").otherwise("").alias("detail")
+    budget = row("round_budget", F.col("ws"), "INFO", F.lit(True), F.when(F.col("_plan"), used))
+    budget[5] = F.when(F.col("_plan"), most).cast("double").alias("threshold")
+    budget[6] = F.when(F.col("_plan"), F.concat_ws("/", used.cast("string"), most.cast("string"))).otherwise("").alias("detail")
+    return plan.unionByName(completion).unionByName(shallow).unionByName(left).unionByName(on.select(*declared)).unionByName(on.select(*budget))
 
 
 def convergence(round_: Column, max_rounds: Column, targets: Column, new_sources: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestra.functions import text, urls
+from attestra.functions import urls
 
 
 def keep_last(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -53,14 +53,17 @@ def prefix_suggestions(wanted: DataFrame, known: DataFrame, length: int = 40, mo
 
     A known URL begins with the first characters of a wanted one, or the wanted begins with those of the known one. Both
     long enough: an equi-join on the prefix. One of them shorter: its whole self is a prefix of the other, which is an
-    equi-join on that length; there are at most ``length`` such lengths.
+    equi-join on that length; there are at most ``length`` such lengths. A prefix that many known URLs have keeps its
+    first ``most`` before the join, as no more of them can be suggested.
     """
     a = wanted.select("url").distinct()
     b = known.select("known").distinct()
     pa = a.select("url", F.explode(_prefixes(F.col("url"), length)).alias("p"))
     pb = b.select("known", F.explode(_prefixes(F.col("known"), length)).alias("p"))
+    first = F.row_number().over(Window.partitionBy("p").orderBy("known"))
+    leading = lambda df: df.withColumn("_r", first).where(F.col("_r") <= most).drop("_r")
     whole_a, whole_b = a.select("url", F.left("url", F.lit(length)).alias("p")), b.select("known", F.left("known", F.lit(length)).alias("p"))
-    pairs = whole_a.join(pb, "p").select("url", "known").union(pa.join(whole_b, "p").select("url", "known")).distinct()
+    pairs = whole_a.join(leading(pb), "p").select("url", "known").union(pa.join(leading(whole_b), "p").select("url", "known")).distinct()
     w = Window.partitionBy("url").orderBy("known")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -97,7 +100,11 @@ def overlap_ratio(body: Column, snippet: Column) -> Column:
     cjk = low_s.rlike(r"[一-鿿]")
 
     def share(b: Column, s: Column) -> Column:
-        pair = F.struct(b.alias("b"), F.array_distinct(s).alias("s"))
-        return text.bound(pair, lambda p: F.size(F.filter(p["b"], lambda x: F.array_contains(p["s"], x))) / F.nullif(F.size(p["b"]), F.lit(0)))
+        """Both sorted together, the snippet's words ahead of equal ones of the body, and counted in one pass."""
+        tagged = lambda words, own: F.transform(words, lambda x: F.struct(x.alias("w"), F.lit(own).alias("own")))
+        both = F.sort_array(F.concat(tagged(F.array_distinct(s), 0), tagged(b, 1)))
+        start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"))
+        step = lambda acc, x: F.when(x["own"] == 0, F.struct(x["w"].alias("w"), acc["n"].alias("n"))).when(x["w"] == acc["w"], F.struct(acc["w"].alias("w"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+        return F.aggregate(both, start, step, lambda acc: acc["n"]) / F.nullif(F.size(b), F.lit(0))
 
     return F.when((low_s == "") | (low_b == ""), 0.0).otherwise(F.coalesce(F.when(cjk, share(chars(low_b), chars(low_s))).otherwise(share(words(low_b), words(low_s))), F.lit(0.0)))

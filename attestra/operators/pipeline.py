@@ -24,6 +24,17 @@ def phase(state: Column, has_scope: Column, has_collected: Column, has_analysis:
     return F.when(state.isin(PHASES), state).when(~has_scope, "scope").when(~has_collected, "search").when(~has_analysis, "analysis").otherwise("review")
 
 
+#: What a phase-state file may name.
+STATES = ["pre_scope", "post_scope", "post_search", "post_analysis", "post_deep_dive", "post_review", "post_final"]
+
+
+def recorded_phase(state: Column, has_scope: Column, has_collected: Column, has_analysis: Column, has_review: Column) -> Column:
+    """What the phase-state file (its raw text) records, if that is a state; else what the artifacts tell that are there."""
+    named = F.get_json_object(F.when(F.call_function("try_parse_json", state).isNotNull(), state), "$.current_phase")
+    found = F.when(~has_scope, "pre_scope").when(~has_collected, "post_scope").when(~has_analysis, "post_search").when(~has_review, "post_analysis").otherwise("post_review")
+    return F.when(named.isin(STATES), named).otherwise(found)
+
+
 def legal(source: Column, target: Column) -> Column:
     return F.concat_ws(">", source, target).isin([f"{a}>{b}" for a, b in TRANSITIONS])
 

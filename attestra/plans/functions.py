@@ -189,12 +189,25 @@ def f22(t: Tables):
     return t.documents.select("doc_id", text.open_fence(fenced).alias("open_fence"))
 
 
-@query("F25_straight_quotes", "SELECT doc_id, '''' || substr(text, 1, 20) || '''' AS quoted FROM documents")
+@query("F25_straight_quotes", "SELECT doc_id, sha256(chr(39) || replace(replace(text, '“', chr(39)), '”', chr(39)) || chr(39)) AS digest FROM documents")
 def f25(t: Tables):
-    return t.documents.select("doc_id", text.straight_quotes(F.concat(F.lit("“"), F.left("text", F.lit(20)), F.lit("”"))).alias("quoted"))
+    return t.documents.select("doc_id", F.sha2(text.straight_quotes(F.concat(F.lit("“"), "text", F.lit("”"))).cast("binary"), 256).alias("digest"))
 
 
-@query("F26_numbers")
+# The dialect has no look-around: each character that is no part of a word is doubled, so that a match may take one at either end.
+_W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+_PLAIN = rf"(?:^|[^{_W}])(\d{{1,3}}(?:,,\d{{3}})*|\d+)(?:\s*(?:%|ms|req//s|req//sec|MB|GB|x|times\s+faster))?(?:$|[^{_W}])"
+_BIG, _SPAN = r"\$?(\d+(?:\.\d+)?)\s*[Bb](?:illion)?", r"(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)\s*%"
+
+
+@query(
+    "F26_numbers",
+    rf"""WITH f AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '([^{_W}])', '\1\1', 'g'), '{_PLAIN}', 1), lambda x: replace(x, ',', '')) AS p,
+      regexp_extract_all(text, '{_BIG}', 1) AS b, regexp_extract_all(text, '{_SPAN}', 1) AS lo, regexp_extract_all(text, '{_SPAN}', 2) AS hi FROM documents),
+    n AS (SELECT doc_id, list_distinct(list_concat(list_transform(p, lambda x: regexp_replace(x, '^0+(\d)', '\1')), p, list_transform(b, lambda x: CAST(CAST(CAST(x AS DOUBLE) * 1000000000 AS DECIMAL(38, 0)) AS VARCHAR)),
+      list_transform(b, lambda x: CAST(CAST(x AS DOUBLE) AS VARCHAR) || 'B'), lo, hi)) AS l FROM f)
+    SELECT doc_id, CAST(len(l) AS BIGINT) AS n, coalesce(array_to_string(list_sort(l), ' '), '') AS numbers FROM n""",
+)
 def f26(t: Tables):
     found = numbers.number_set(F.col("text"))
     return t.documents.select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(F.sort_array(found), " ").alias("numbers"))
@@ -355,15 +368,25 @@ def p02(t: Tables):
     return aliased(made, {"text": "summary"}).select("event_id", "summary")
 
 
-_ALIASES = "CASE s WHEN 'O' THEN 'third_party_estimate' WHEN 'official_data' THEN s ELSE 'qualitative_trend' END"
+#: Raw values of a claim's enumerations, and what each becomes.
+_ENUM_ROWS = {
+    "evidence_type": "official_data official_data independent_benchmark independent_benchmark third_party_estimate third_party_estimate qualitative_trend qualitative_trend expert_opinion expert_opinion blog third_party_estimate post third_party_estimate article third_party_estimate opinion expert_opinion commentary expert_opinion independent_test independent_benchmark rumour qualitative_trend Blog qualitative_trend",
+    "confidence": "high high medium medium low low sure medium HIGH medium",
+    "precision": "exact exact range range qualitative qualitative about qualitative",
+    "source_type": "official_report official_report independent_test independent_test production_case production_case survey survey vendor_benchmark vendor_benchmark analyst_forecast analyst_forecast vendor_survey vendor_survey vendor_blog vendor_blog independent_benchmark independent_test benchmark independent_test official official_report production production_case peer_reviewed_study official_report peer_reviewed_paper official_report peer_reviewed_technical_report official_report academic_paper official_report technical_report official_report research_paper official_report industry_analysis analyst_forecast industry_guide analyst_forecast news_report analyst_forecast government_media analyst_forecast expert_quoted_in_media analyst_forecast official_repository vendor_blog official_documentation vendor_blog official_pricing_page vendor_blog company_disclosure_via_journalist vendor_blog encyclopedia survey platform_data survey international_organization_report survey tweet survey",
+}
+
+
+def _nth(words: list[str], k: str = "o_orderkey") -> str:
+    return "list_value(" + ", ".join(f"'{w}'" for w in words) + f")[{k} % {len(words)} + 1]"
 
 
-@query("P03_enum_coerce", f"SELECT o_orderkey, {_ALIASES} AS evidence_type FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'official_data' ELSE o_orderstatus END AS s FROM orders)")
+@query("P03_enum_coerce", "SELECT o_orderkey, " + ", ".join(f"{_nth(v.split()[1::2])} AS {c}" for c, v in _ENUM_ROWS.items()) + " FROM orders")
 def p03(t: Tables):
-    from attestra.operators.verification import EVIDENCE
+    from attestra.operators.sanitize import enumerated
 
-    raw = F.when(F.col("o_orderkey") % 4 == 0, "official_data").otherwise(F.col("o_orderstatus"))
-    return t.orders.select("o_orderkey", jsons.coerced(raw, EVIDENCE, {"O": "third_party_estimate"}, "qualitative_trend").alias("evidence_type"))
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (F.col("o_orderkey") % len(words)).cast("int"))
+    return enumerated(t.orders.select("o_orderkey", *[pick(v.split()[::2]).alias(c) for c, v in _ENUM_ROWS.items()]))
 
 
 @query(

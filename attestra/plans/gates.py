@@ -47,6 +47,8 @@ class Workspaces:
         self.answered = self.cites.join(self.claims.where("sec = 'overview'").select("ws", "cid"), ["ws", "cid"]).join(good, ["ws", "src"]).select("ws", (F.col("cid") % 2).alias("question")).distinct()
         self.tensions = self.claims.where("ev = 'expert_opinion'").select("ws", "sec", (F.col("pr") == "exact").alias("resolved"))
         q = self.classified.where("ev = 'qualitative_trend'")
+        plan = t.customer.where(w % 6 != 0)
+        self.plans = plan.select(w.alias("ws"), (w % 4).alias("round"), F.when(w % 5 != 0, 2 + w % 3).alias("max_rounds"), F.when(w % 2 == 0, "natural").alias("convergence"))
         self.targets = q.select("ws", "sec", pick(["completed", "skipped", "pending"], F.col("cid") % 3).alias("status"), F.when(F.col("cid") % 2 == 0, "no source").alias("skip_reason"), F.col("n_sources").alias("new_sources"))
 
 
@@ -68,6 +70,7 @@ classed AS (SELECT g.ws, g.cid, g.sec, g.ev, g.pr, g.summary, cls.sv, cls.n_sour
 questions AS (SELECT c_custkey AS ws, unnest([0, 1]) AS question FROM customer),
 answered AS (SELECT DISTINCT ws, cid % 2 AS question FROM cites JOIN g USING (ws, cid) JOIN collected USING (ws, src) WHERE sec = 'overview' AND tier <= 2),
 tensions AS (SELECT ws, sec, pr = 'exact' AS resolved FROM g WHERE ev = 'expert_opinion'),
+plans AS (SELECT c_custkey AS ws, c_custkey % 4 AS round, CASE WHEN c_custkey % 5 <> 0 THEN 2 + c_custkey % 3 END AS max_rounds, CASE WHEN c_custkey % 2 = 0 THEN 'natural' END AS convergence FROM customer WHERE c_custkey % 6 <> 0),
 targets AS (SELECT ws, sec, list_value('completed', 'skipped', 'pending')[cid % 3 + 1] AS status, CASE WHEN cid % 2 = 0 THEN 'no source' END AS skip_reason, n_sources AS new_sources FROM classed WHERE ev = 'qualitative_trend')
 """
 
@@ -396,13 +399,17 @@ _DD = [
     gate_sql("target_completion", "BLOCKER", _N.format("targets WHERE NOT (status = 'completed' OR (status = 'skipped' AND skip_reason IS NOT NULL))"), "m = 0"),
     gate_sql("deep_dive_source_depth", "BLOCKER", _N.format("targets WHERE status = 'completed' AND new_sources < 3"), "m = 0"),
     gate_sql("deep_dive_verification", "BLOCKER", _N.format("classed WHERE sv = 'source_absent' AND ((ws, sec) IN (SELECT ws, sec FROM targets) OR ws NOT IN (SELECT ws FROM targets))"), "m = 0"),
+    """SELECT 'convergence_declared', CAST(s.ws AS VARCHAR), 'WARN', true, CASE WHEN p.ws IS NOT NULL AND convergence IS NULL THEN 0.0 ELSE 1.0 END, CAST(NULL AS DOUBLE),
+       CASE WHEN p.ws IS NOT NULL AND convergence IS NULL THEN 'not yet declared' ELSE '' END FROM scope s LEFT JOIN plans p ON p.ws = s.ws""",
+    """SELECT 'round_budget', CAST(s.ws AS VARCHAR), 'INFO', true, CAST(round AS DOUBLE), CASE WHEN p.ws IS NOT NULL THEN CAST(coalesce(max_rounds, 3) AS DOUBLE) END,
+       CASE WHEN p.ws IS NOT NULL THEN round || '/' || coalesce(max_rounds, 3) ELSE '' END FROM scope s LEFT JOIN plans p ON p.ws = s.ws""",
 ]
 
 
 @gate("Q33_deep_dive_gates", " UNION ALL ".join(_DD))
 def q33(t: Tables):
     w = Workspaces(t)
-    return gates.deep_dive_gates(w.scopes, w.targets, w.classified.select("ws", "sec", "sv"))
+    return gates.deep_dive_gates(w.scopes, w.targets, w.classified.select("ws", "sec", "sv"), w.plans)
 
 
 @gate(

@@ -8,6 +8,7 @@ from attestra.functions import diffs, rewriters
 from attestra.operators import gates, joins, sanitize, schemas
 from attestra.plans.gates import GSQL, Workspaces, gate_sql
 from attestra.plans.registry import Tables, query
+from attestra.session import new_path
 from attestra.sources import documents
 
 
@@ -21,11 +22,8 @@ def s01(t: Tables):
 
 @query("S02_write_json", "SELECT event_type AS kind, count(*) AS rows FROM events GROUP BY 1")
 def s02(t: Tables):
-    """Rows written as JSON and read again."""
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/attestra-out"
-    path = f"{base}/json-{uuid.uuid4().hex}"
+    """Rows written as JSON, where every executor can write, and read again."""
+    path = new_path(t.spark, "json")
     t.events.select(F.col("event_type").alias("kind")).write.json(path)
     return t.spark.read.schema("kind string").json(path).groupBy("kind").agg(F.count("*").alias("rows"))
 
@@ -37,6 +35,23 @@ def s03(t: Tables):
     return documents.artifact_state(found, expected)
 
 
+@query(
+    "S04_read_with_repair",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'say "' || event_type || '" twice' WHEN 2 THEN chr(39) || event_type || chr(39) END AS topic,
+       event_id % 4 = 0 AS valid, event_id % 4 <> 3 AS readable FROM events""",
+)
+def s04(t: Tables):
+    """Whole JSON artifacts: sound ones, ones with bare quotes inside a string, with curly quotes, and broken ones."""
+    from attestra.functions import jsons
+
+    made = lambda a, b: F.concat(F.lit(a), "event_type", F.lit(b))
+    shapes = F.array(made('{"topic":"', '"}'), made('{"topic":"say "', '" twice"}'), made('{"topic":"“', '”"'), F.lit("{broken"))
+    raw = F.get(shapes, (F.col("event_id") % 4).cast("int"))
+    raw = F.when(F.col("event_id") % 4 == 2, F.concat(raw, F.lit(', "x": "a "b" c"}'))).otherwise(raw)
+    doc = jsons.parsed_or_repaired(raw, documents.SCOPE)
+    return t.events.select("event_id", doc["topic"].alias("topic"), F.call_function("try_parse_json", raw).isNotNull().alias("valid"), doc["topic"].isNotNull().alias("readable"))
+
+
 @query("S05_merge_shards", "SELECT o_orderpriority AS sec, max(o_orderkey) AS last FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1")
 def s05(t: Tables):
     raw = F.when(F.col("o_orderkey") % 11 == 0, "broken").otherwise(F.to_json(F.struct(F.col("o_orderpriority").alias("id"))))
@@ -76,6 +91,17 @@ def s10(t: Tables):
     return files.select("event_id", F.trim(F.regexp_extract("part", r"^## \[[^\]]*\]\s*(?:Task:\s*(.*))?", 1)).alias("task"), F.regexp_extract("part", r"\n(.*)", 1).alias("body"))
 
 
+@query("S11_append_only", "SELECT event_type, 2 * count(*) AS lines, CAST(sum(event_id) AS BIGINT) + count(*) * 1000000 + CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
+def s11(t: Tables):
+    """Two appends to one log: the second leaves the lines of the first as they are."""
+    path = new_path(t.spark, "log")
+    rows = t.events.select("event_type", "event_id")
+    documents.append(rows, path)
+    documents.append(rows.withColumn("event_id", F.col("event_id") + 1_000_000), path)
+    log = t.spark.read.schema("event_type string, event_id long").json(path)
+    return log.groupBy("event_type").agg(F.count("*").alias("lines"), F.sum("event_id").alias("total"))
+
+
 @query("S12_catalogue", "SELECT tier, count(*) AS domains FROM (VALUES (1, 'a'), (1, 'b'), (2, 'c')) v(tier, d) GROUP BY tier")
 def s12(t: Tables):
     config = {"sources": {"1": {"sources": [{"name": "a", "domain": "a.org"}, {"name": "b", "domain": "b.org"}]}, "2": {"sources": [{"name": "c", "domain": "c.org"}]}}}
@@ -109,6 +135,20 @@ def s15(t: Tables):
     return t.part.select("p_partkey", documents.report_name(F.col("p_name"), taken, F.lit("2024-01-31").cast("date")).alias("file"))
 
 
+@query(
+    "S16_phase_state",
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'post_deep_dive' WHEN event_id % 5 = 0 THEN 'pre_scope' WHEN event_id % 3 = 0 THEN 'post_scope' WHEN event_id % 2 = 0 THEN 'post_search'
+       WHEN event_id % 11 = 0 THEN 'post_analysis' ELSE 'post_review' END AS phase FROM events""",
+)
+def s16(t: Tables):
+    """A state that the file names wins; a broken file, an unknown name or none leaves it to the artifacts."""
+    from attestra.operators.pipeline import recorded_phase
+
+    e = F.col("event_id")
+    state = F.when(e % 7 == 0, '{"current_phase":"post_deep_dive"}').when(e % 13 == 0, "{broken").when(e % 17 == 0, '{"current_phase":"elsewhere"}')
+    return t.events.select("event_id", recorded_phase(state, e % 5 != 0, e % 3 != 0, e % 2 != 0, e % 11 != 0).alias("phase"))
+
+
 @query("P01_whitelist", "SELECT o_orderkey AS id, o_orderstatus AS title FROM orders")
 def p01(t: Tables):
     made = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), "o_totalprice", "o_orderpriority")
@@ -186,6 +226,24 @@ def u01(t: Tables):
     return t.documents.select("doc_id", rewriters.routed(made, strategies, [(r"^https://old\.example/(.*)$", "https://new.example/$1")]).alias("url_new"))
 
 
+@query(
+    "U02_loaded_rewriters",
+    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://mirror.example/' || doc_id WHEN 1 THEN 'https://b.example/' || doc_id ELSE 'https://c.example/' || doc_id || '?plain' END AS url FROM documents",
+)
+def u02(t: Tables):
+    """Rewriters of a folder, one JSON file of rules each, by name; a broken file and a missing name leave the URL as it is."""
+    files = t.spark.createDataFrame(
+        [("file:/x/mirror.json", '{"rules":[{"match":"^https://nowhere/","replace":"x"},{"match":"^https://a\\\\.example/","replace":"https://mirror.example/"}]}'), ("file:/x/broken.json", "{"), ("file:/x/plain.json", '{"rules":[{"match":"$","replace":"?plain"}]}')],
+        "path string, raw string",
+    )
+    found = rewriters.loaded(files)
+    k = F.col("doc_id")
+    url = F.concat(F.get(F.array(*[F.lit(f"https://{h}.example/") for h in "abc"]), (k % 3).cast("int")), k)
+    names = ["mirror", "broken", "plain"]
+    out = F.coalesce(*[F.when(k % 3 == i, found.get(name, lambda c: c)(url)) for i, name in enumerate(names)])
+    return t.documents.select("doc_id", out.alias("url"))
+
+
 @query("U04_platform_table", "SELECT platform, count(*) AS n FROM (SELECT CASE WHEN contains(url, '.html') THEN 'article' WHEN contains(url, '?page=') THEN 'list' ELSE 'generic' END AS platform FROM pages) GROUP BY 1")
 def u04(t: Tables):
     """A site is a row of configuration: its patterns become one CASE."""

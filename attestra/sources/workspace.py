@@ -53,6 +53,19 @@ def load(spark: SparkSession, root: str) -> Workspace:
     return Workspace(scope, directions, collected, sections.select("ws", "sec", "sec_idx", "title", "content"), flat, cites, markers, tensions)
 
 
+def phases(spark: SparkSession, root: str) -> DataFrame:
+    """(ws, phase) of the workspaces under root that have any file, by their phase-state file or else by their artifacts."""
+    from attestra.operators.pipeline import recorded_phase
+
+    files = spark.read.option("pathGlobFilter", "*.{json,md}").text(f"{root}/*/*", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    named = files.select(_key().alias("ws"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "value")
+    has = lambda name: F.max(F.when(F.col("name") == name, 1).otherwise(0)) == 1
+    on = named.groupBy("ws").agg(
+        F.max(F.when(F.col("name") == "pipeline_state.json", F.col("value"))).alias("state"), has("scope.json").alias("a"), has("collected.json").alias("b"), has("analysis.json").alias("c"), has("review_report.md").alias("d")
+    )
+    return on.select("ws", recorded_phase(F.col("state"), F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("phase"))
+
+
 def verified(w: Workspace, ruleset: str = "v2") -> DataFrame:
     """The claims of all workspaces with n_sources and source_verification, by numbers in the sources' texts."""
     from attestra.functions.numbers import number_set, supported

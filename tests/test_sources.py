@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from attestra.functions import rewriters
 from attestra.operators import gates
 from attestra.sources import documents, logs, workspace
 from attestra.streaming import append_log
@@ -85,6 +86,23 @@ def test_keyed_stream(spark, tmp_path):
     run()
     got = append_log.latest(spark, str(tmp_path / "out"))
     assert sorted(r.title for r in got.collect()) == ["b", "two"]
+    for k in range(3, 6):  # the bucket of b stays as it was written first, those that are left behind go
+        put(tmp_path / "in" / f"{k}.json", f'{{"url":"https://e.com/a","ts":"2024-01-0{k}T00:00:00","title":"v{k}"}}')
+        run()
+    assert sorted(r.title for r in append_log.latest(spark, str(tmp_path / "out")).collect()) == ["b", "v5"]
+    assert set(append_log.newest(spark, str(tmp_path / "out")).values()) == {0, 4}
+    assert sum(1 for _ in (tmp_path / "out").glob("v=*/bucket=*")) <= 3
+
+
+def test_phase_states_and_loaded_rewriters(spark, tmp_path):
+    for name, files in {"a": {"pipeline_state.json": '{"current_phase":"post_final"}'}, "b": {"pipeline_state.json": "{", "scope.json": "{}"}, "c": {"scope.json": "{}", "collected.json": "[]", "analysis.json": "{}", "review_report.md": "x"}, "d": {"other.md": "x"}}.items():
+        for file, body in files.items():
+            put(tmp_path / "ws" / name / file, body)
+    assert {r.ws: r.phase for r in workspace.phases(spark, str(tmp_path / "ws")).collect()} == {"a": "post_final", "b": "post_scope", "c": "post_review", "d": "pre_scope"}
+    put(tmp_path / "r" / "one.json", {"rules": [{"match": "^http:", "replace": "https:"}]})
+    put(tmp_path / "r" / "two.json", "import os")
+    found = rewriters.loaded(documents.read_whole(spark, str(tmp_path / "r")))
+    assert set(found) == {"one"} and spark.range(1).select(found["one"](F.lit("http://e.com"))).first()[0] == "https://e.com"
 
 
 def test_windowed_counts(spark, tmp_path):
