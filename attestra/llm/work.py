@@ -5,42 +5,19 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.session import new_path, own_dir
+
 #: Bytes of ids that are broadcast at most; beyond it a join is left to shuffle.
 BROADCAST_BYTES = 32 * 2**20
-#: Folders of the applications of this process, and the tables that each block of scratch() has seen written.
-_DIRS: dict[str, str] = {}
+#: The tables that each block of scratch() has seen written.
 _SCRATCH: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only a local master, as in tests, may do without: it gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _DIRS.setdefault("local", "file://" + tempfile.mkdtemp(prefix="attestra-"))
-
-
-def _own_dir(spark: SparkSession) -> str:
-    """The application's folder, which goes when the application ends, whatever of it is left by then."""
-    app = spark.sparkContext.applicationId
-    if app not in _DIRS:
-        _DIRS[app] = f"{shared_dir(spark)}/attestra-{app}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(_DIRS[app])
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-    return _DIRS[app]
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -48,7 +25,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has stored, once nothing reads their results any more."""
-    _delete(spark, _own_dir(spark))
+    _delete(spark, own_dir(spark))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -58,7 +35,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     for paths in _SCRATCH:
         paths.append(path)
     df.write.parquet(path)

@@ -9,7 +9,8 @@ from tests.conftest import SF, same
 from tests.llm.test_pairs import brute
 from tests.llm.test_texts import contaminated
 
-from attestra.llm import queries, work
+from attestra.llm import queries
+from attestra.session import own_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,5 +80,5 @@ def test_run_is_registered(spark, folder):
     assert e.queries()["pipeline"] is corpus_pipeline.run
     out = corpus_pipeline.run(spark, folder)
     assert out.where("offset = 0").count() > 0
-    left = Path(work._own_dir(spark).removeprefix("file:")).glob("stage-*")
+    left = Path(own_dir(spark).removeprefix("file:")).glob("stage-*")
     assert len(list(left)) == 1  # what stages store goes with them
