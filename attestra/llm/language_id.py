@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.work import map_arrow, sampled, stored
 
-FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 60_000_000, 5
+FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 20_000_000, 5
 WORDS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
@@ -60,10 +60,10 @@ def _logs(counts: DataFrame, langs: list[str], by_length: bool = False):
     keys, lang, n = (rows.column(k) for k in range(3))
     if not len(keys):
         return {}, np.zeros((0, len(langs)), np.float32)
-    coded = keys.combine_chunks().dictionary_encode()
+    coded, told = keys.combine_chunks().dictionary_encode(), lang.combine_chunks().dictionary_encode()
     table = np.zeros((len(coded.dictionary), len(langs)))
-    at = {name: k for k, name in enumerate(langs)}
-    np.add.at(table, (coded.indices.to_numpy(), np.array([at[x] for x in lang.to_pylist()])), n.to_numpy().astype(float))
+    column = np.array([langs.index(x) for x in told.dictionary.to_pylist()])[told.indices.to_numpy()]
+    np.add.at(table, (coded.indices.to_numpy(), column), n.to_numpy().astype(float))
     names = coded.dictionary.to_pylist()
     kinds = np.array([len(x) for x in names]) if by_length else np.zeros(len(names), int)
     out = np.zeros(table.shape, np.float32)
