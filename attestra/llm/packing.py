@@ -136,7 +136,11 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int,
 
 
 def _fill(left: np.ndarray, gap: int) -> list[int]:
-    """The best next pieces for a gap: one, two or three that close it, else the longest one that fits."""
+    """The best next pieces for a gap: one, two or three that close it, else the longest one that fits.
+
+    Three are looked for among the 64 longest first pieces and 4 second ones for each: that bounds the search for a good
+    pattern, and leaves no piece out.
+    """
     if left[gap]:
         return [gap]
     lengths = np.flatnonzero(left[:gap])
@@ -234,14 +238,29 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
             used[length] += n
             offset += length
         sequence += n
-    places = spark.createDataFrame(runs, "length long, first long, last long, sequence long, offset long")
+    shifts, places = _bucketed(runs)
+    lengths = spark.createDataFrame(list(shifts.items()), "length long, shift int")
+    places = spark.createDataFrame(places, "length long, bucket long, first long, last long, sequence long, offset long")
     ranked = cut.join(before, ["length", "part"]).withColumn("_rank", F.col("rank") + F.col("before"))
     # the places are as many as the patterns have lengths, which the number of lengths bounds, not the input
-    return ranked.join(F.broadcast(places), ["length"]).where("_rank >= first AND _rank < last").select(
+    found = ranked.join(F.broadcast(lengths), "length").withColumn("bucket", F.expr("shiftright(_rank, shift)")).join(F.broadcast(places), ["length", "bucket"])
+    return found.where("_rank >= first AND _rank < last").select(
         *[c for c in cut.columns if c not in ("part", "rank")], (F.col("sequence") + F.col("_rank") - F.col("first")).alias("sequence_id"), "offset"
     )
 
 
+def _bucketed(runs: list[tuple[int, int, int, int, int]]) -> tuple[dict[int, int], list[tuple[int, int, int, int, int, int]]]:
+    """Runs (length, first, last, sequence, offset) of ranks, filed under buckets of 2 ** shift[length] ranks, about as wide
+    as that length's runs are on average: so a rank meets a few runs however many its length has, and the files are at
+    most a few times as many as the runs."""
+    total, number = Counter(), Counter()
+    for length, first, last, _, _ in runs:
+        total[length] += last - first
+        number[length] += 1
+    shifts = {n: int(total[n] // number[n]).bit_length() for n in total}
+    return shifts, [(n, k, first, last, sequence, offset) for n, first, last, sequence, offset in runs for k in range(first >> shifts[n], (last - 1 >> shifts[n]) + 1)]
+
+
 def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack docs(doc_id, text). The pieces are written once, so that their ranks stay as they are."""
     return pack(stored(pieces(docs, tokenizer, size, with_ids), "pieces"), size)

@@ -231,6 +231,23 @@ def test_local_search_empties_bins():
     assert sum(c for _, c in packing.local_search(before, 10)) == 2
 
 
+def test_runs_are_filed_under_few_buckets():
+    r = random.Random(3)
+    runs, used = [], Counter()
+    for k in range(3000):
+        length, n = r.choice((5, 6, 7)), r.choice((1, 1, 2, 50, 4000))
+        runs.append((length, used[length], used[length] + n, k, 0))
+        used[length] += n
+    shifts, places = packing._bucketed(runs)
+    assert len(places) < 4 * len(runs)
+    filed = defaultdict(list)
+    for length, bucket, first, last, sequence, _ in places:
+        filed[length, bucket].append((first, last, sequence))
+    for length, first, last, sequence, _ in runs:
+        for rank in {first, last - 1, (first + last) // 2}:
+            assert [s for a, b, s in filed[length, rank >> shifts[length]] if a <= rank < b] == [sequence]
+
+
 # HTML extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="x">
