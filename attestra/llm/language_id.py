@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm.work import map_arrow, sampled, stored
 
-FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 20_000_000, 5
+FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 8_000_000, 5
 WORDS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
