@@ -16,12 +16,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import map_arrow, sampled, stored
+from attestra.llm.work import few, map_arrow, numbered, remaining, sampled, stored
 
 FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 8_000_000, 5
 WORDS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
@@ -168,15 +167,10 @@ def with_language(docs: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.3,
     Rows are judged one by one, whatever their doc_id: null ids, repeated ids and repeated rows each have their verdict.
     Columns stay those of docs; a null lang becomes the predicted one. Where docs has no row to learn from, nothing is recognised; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_taught(docs, fit_rows))
-    at, lang = docs.columns.index("text"), docs.columns.index("lang")
-
-    def run(batches):
-        predictor = Predictor(shared.value)
-        for batch in batches:
-            made = [predictor(t.as_py()) for t in batch.column(at)]
-            told = pc.coalesce(batch.column(lang), pa.array([m[0] for m in made], batch.schema.field(lang).type))
-            batch = batch.set_column(lang, batch.schema.field(lang), told)
-            yield batch.filter(pa.array([m[0] != UNKNOWN and m[1] >= least and m[2] >= known for m in made], pa.bool_()))
-
-    return map_arrow(docs, run, docs.schema)
+    rows = numbered(docs)
+    told = predict(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), _taught(docs, fit_rows)).withColumnRenamed("doc_id", "_row")
+    told = stored(told, "told")
+    kept = remaining(rows, told.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least) | (F.col("known") < known)))
+    named = stored(told.join(rows.where("_doc.lang is null").select("_row"), "_row").select("_row", "lang_pred"), "named")
+    filled = kept.join(few(named), "_row", "left").withColumn("_doc", F.col("_doc").withField("lang", F.coalesce("_doc.lang", "lang_pred")))
+    return filled.select("_doc.*").select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import few, map_arrow, stored
+from attestra.llm.work import few, map_arrow, numbered, remaining, stored
 
 ORDER, BITS = 4, 21
 CODE = (1 << BITS) - 1
@@ -58,7 +58,7 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return found[3], found[0] | found[1] << BITS | found[2] << (2 * BITS), which.reshape(-1), at
 
 
-def _runs(column, most: int = 500_000):
+def _runs(column, most: int = 250_000):
     run, begin, total = [], 0, 0
     for i, v in enumerate(column):
         text = v.as_py() or ""
@@ -83,7 +83,7 @@ def gram_counts(texts: DataFrame, flush: int = 1_000_000) -> DataFrame:
                     b, g, which, _ = grams_of(run)
                     own = pa.table({"b": b, "g": g, "c": np.bincount(which, minlength=len(b))})
                     if f in sums:
-                        own = pa.concat_tables([sums[f], own]).group_by(["b", "g"]).aggregate([("c", "sum")]).rename_columns(["b", "g", "c"])
+                        own = pa.concat_tables([sums[f], own]).group_by(["b", "g"], use_threads=False).aggregate([("c", "sum")]).rename_columns(["b", "g", "c"])
                     sums[f] = own
                     if len(own) > flush:
                         yield from told(f, sums.pop(f))
@@ -300,8 +300,9 @@ def accepted(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     Rows are judged one by one: null ids, repeated ids and repeated rows each have their verdict. Null and empty texts go;
     without trusted texts all others stay.
     """
-    whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_doc"))
-    return _judged(whole, trusted, quantile, slack, spread, most_grams).where("accepted").select("_doc.*")
+    rows = numbered(docs)
+    judged = _judged(rows.select("_row", "_doc.doc_id", "_doc.text", "_doc.lang"), trusted, quantile, slack, spread, most_grams)
+    return remaining(rows, judged.where("not accepted")).select("_doc.*")
 
 
 __all__ = ["accepted", "discounts", "gram_counts", "kneser_ney", "perplexities", "quality"]

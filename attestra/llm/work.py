@@ -124,3 +124,13 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in gone. Rows with null doc_id stay."""
     ids = stored(gone.select("doc_id").where("doc_id is not null").distinct(), "gone")
     return docs.join(few(ids), "doc_id", "left_anti").select(*docs.columns)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, _doc): docs' rows as structs, written with a number each, so that verdicts can be given row by row."""
+    return stored(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def remaining(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """What is left of numbered() rows without those whose _row is in gone, still numbered."""
+    return rows.select("_row", "_doc").join(few(stored(gone.select("_row"), "gone")), "_row", "left_anti")
