@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from attestra.llm import blocks
 from attestra.llm.graph import components
-from attestra.llm.work import few, forget, map_arrow, stored
+from attestra.llm.work import few, forget, map_arrow, shared, stored
 
 THRESHOLD, NEIGHBOURS, TREES, LEAF, PART, COMMON = 0.9, 10, 8, 128, 256, 16
 AUDIT_EVERY, AUDIT_BYTES, RECALL, MOST_ROUNDS = 100, 32 * 2**20, 0.995, 4
@@ -239,10 +239,10 @@ def _audited(rows: DataFrame, points: DataFrame, judged: DataFrame, threshold: f
 
 def _counted(points: DataFrame, asked: np.ndarray, threshold: float) -> np.ndarray:
     """How many rows have at least that cosine with each of the asked vectors, by brute force."""
-    shared = points.sparkSession.sparkContext.broadcast(asked)
+    told = shared(points.sparkSession, asked)
 
     def brute(batches):
-        q = shared.value
+        q = told.value
         total = np.zeros(len(q), np.int64)
         for batch in batches:
             copies = batch.column(1).to_numpy(zero_copy_only=False)

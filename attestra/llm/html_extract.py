@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from attestra.llm import boosted
 from attestra.llm.dom import Page
-from attestra.llm.work import map_arrow
+from attestra.llm.work import map_arrow, shared
 
 #: Groups of attribute tokens, each a feature.
 TOKENS = [
@@ -164,13 +164,13 @@ def extracted(pages: DataFrame) -> DataFrame:
     tag, is judged like an element of its own. Cut-off pages are read as far as they go; an unfinished last tag is dropped.
     Repeated rows each get their row; extra columns are ignored; an empty table gives an empty result.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model())  # a fixed number of trees
+    told = shared(pages.sparkSession, model())  # a fixed number of trees
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                texts = texts_of([Page(h.as_py()) for h in part.column(2)], shared.value)
+                texts = texts_of([Page(h.as_py()) for h in part.column(2)], told.value)
                 yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
     return map_arrow(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), run, "page_id long, url string, text string, n_chars long")

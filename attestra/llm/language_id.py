@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import few, map_arrow, numbered, remaining, sampled, stored
+from attestra.llm.work import few, map_arrow, numbered, remaining, sampled, shared, stored
 
 FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 8_000_000, 5
 WORDS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
@@ -133,10 +133,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     known is the share of words of which the model knows at least a letter. Repeated rows each get their row, columns
     beside these two are ignored, an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # words and n-grams of the bounded sample
+    told = shared(docs.sparkSession, model)  # words and n-grams of the bounded sample
 
     def run(batches):
-        predictor = Predictor(shared.value)
+        predictor = Predictor(told.value)
         for batch in batches:
             made = [predictor(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict(

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from attestra.llm import blocks
 from attestra.llm.graph import components
 from attestra.llm.shingles import SIZE, in_chunks, shingle_hashes
-from attestra.llm.work import few, map_arrow, stored, without
+from attestra.llm.work import few, map_arrow, shared, stored, without
 
 THRESHOLD, TREES, DEPTH, LEAST_DEPTH, RECALL = 0.8, 32, 10, 4, 0.999
 #: What the share of equal MinHash bytes may be under the threshold: four times its scatter for 320 of them.
@@ -208,10 +208,10 @@ def _searched(docs: DataFrame, rows: list, threshold: float, size: int, trees: i
     order = np.argsort(value, kind="stable")
     labels = np.frombuffer(b"".join(bytes(r["labels"]) for r in rows), np.uint8).reshape(len(rows), trees, depth)
     names = [bytes(r["class_hash"]) for r in rows]
-    shared = docs.sparkSession.sparkContext.broadcast((sets, sizes, value[order], owner[order], labels, names))
+    told = shared(docs.sparkSession, (sets, sizes, value[order], owner[order], labels, names))
 
     def search(batches):
-        sets, sizes, value, owner, labels, names = shared.value
+        sets, sizes, value, owner, labels, names = told.value
         hasher, counts = Hasher(trees, depth), np.zeros((len(sets), depth + 1), np.int64)
         for batch in batches:
             for _, run in in_chunks(_texts(batch.column(0))):

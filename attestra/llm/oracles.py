@@ -98,6 +98,50 @@ n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM documents d JOIN least ON least.a = d.doc_id LEFT JOIN n ON n.a = d.doc_id
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank,
+       s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) <= 5
+"""
+
+# Letters beyond ASCII become one byte each, as the distance is counted in bytes; crc32 goes by a table made from its polynomial.
+_LATIN, _BYTES = "".join(map(chr, range(0xC0, 0x100))), "".join(chr(c) for c in range(33, 127) if not chr(c).islower() and chr(c) not in "'\\")[:64]
+
+_OP13 = f"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda ch:
+           CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)] ELSE [CAST(192 + (ord(ch) >> 6) AS BIGINT), CAST(128 + (ord(ch) & 63) AS BIGINT)] END))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM runs, tab),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) + 2 AS INTEGER)) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+coded AS (SELECT word, n, length(word) AS size, translate(word, '{_LATIN}', '{_BYTES}') AS code FROM words),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM coded a JOIN coded b ON a.word <> b.word AND abs(a.size - b.size) <= 1 AND levenshtein(a.code, b.code) = 1),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word),
+chain AS (SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT o.word, o.form, c.at AS root, o.n, o.n_near, o.form_n
+FROM formed o JOIN chain c ON c.word = o.word JOIN formed f ON f.word = c.at AND f.form IS NULL
+"""
+
 ORACLE_SQL = {
     "op1_url_filter": _OP1,
     "op2_embedding_near_dedup": _OP2,
@@ -105,4 +149,6 @@ ORACLE_SQL = {
     "op5_ngram_jaccard_join": _OP5,
     "op6_benchmark_decontamination": _OP6,
     "op7_chat_formatting": _OP7,
+    "op11_hard_negatives": _OP11,
+    "op13_spelling_variants": _OP13,
 }

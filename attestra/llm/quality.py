@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.work import few, map_arrow, numbered, remaining, stored
+from attestra.llm.work import few, map_arrow, numbered, remaining, shared, stored
 
 ORDER, BITS = 4, 21
 CODE = (1 << BITS) - 1
@@ -206,13 +206,13 @@ def _by_folds(docs: DataFrame, models: list[list[DataFrame]], most_grams: int) -
             rows = m.toArrow() if hasattr(m, "toArrow") else pa.Table.from_pandas(m.toPandas())
             tables.append(tuple(rows.column(c).to_numpy() for c in ("g", "p", "h", "gamma")))
         scorers.append(Scorer(tables))
-    shared = docs.sparkSession.sparkContext.broadcast(scorers)  # at most most_grams rows
+    told = shared(docs.sparkSession, scorers)  # at most most_grams rows
 
     def score(batches):
         for batch in batches:
             out = np.full(batch.num_rows, np.nan)
             for f, own in _folds(batch.column(1)):
-                scorer = shared.value[f]
+                scorer = told.value[f]
                 for begin, run in _runs(batch.column(0).take(pa.array(own))):
                     b, g, which, at = grams_of(run)
                     logs = np.concatenate([[0.0], np.cumsum(scorer.log_p(b, g)[which])])

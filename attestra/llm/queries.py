@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm import chat, decontaminate, embedding_dedup, html_extract, language_id, ngram_join, packing, quality, toxicity, url_filter
+from attestra.llm import chat, decontaminate, embedding_dedup, hard_negatives, html_extract, language_id, ngram_join, packing, quality, simhash, spelling, toxicity, url_filter
 from attestra.llm.oracles import ORACLE_SQL  # noqa: F401
+from attestra.llm.work import stored
 from attestra.session import table
 
 #: The rules of the URL contract, and hosts that the query's block list holds beside MADE made-up entries.
@@ -85,6 +86,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    return hard_negatives.hard_negatives(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near(stored(simhash.fingerprinted(table(spark, sf_dir, "documents")), "prints"))
+
+
+#: Fixed value: the divisor of the contract's noise.
+NOISE = 97
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), noise=NOISE)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -96,4 +115,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_spelling_variants": op13_spelling_variants,
 }

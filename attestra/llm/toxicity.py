@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.language_id import held_out
-from attestra.llm.work import map_arrow, sampled, stored
+from attestra.llm.work import map_arrow, sampled, shared, stored
 
 FIT_ROWS, SEGMENT_BYTES, MOST_SEGMENTS, LEAST_Z, CUT = 12_000, 16_384, 2_000, 4.0, 0.3
 ANCHOR = b"01234567"
@@ -193,10 +193,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> dict | None:
 
 def scores(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, score for each row, by all windows of its whole text; without a model 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and two small tables
+    told = shared(docs.sparkSession, model)  # two dictionaries and two small tables
 
     def run(batches):
-        m = shared.value
+        m = told.value
         meter = Meter(m["contents"]) if m else None
         for batch in batches:
             out = [0.0] * batch.num_rows

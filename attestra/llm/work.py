@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,19 @@ from attestra.session import new_path, own_dir
 
 #: Bytes of ids that are broadcast at most; beyond it a join is left to shuffle.
 BROADCAST_BYTES = 32 * 2**20
-#: The tables that each block of scratch() has seen written.
-_SCRATCH: list[list[str]] = []
+
+
+@dataclass
+class _Block:
+    """What a block of scratch() has seen made."""
+
+    paths: list[str] = field(default_factory=list)
+    lasting: set[str] = field(default_factory=set)
+    broadcasts: list[Broadcast] = field(default_factory=list)
+
+
+#: The open blocks of scratch(), of this thread alone.
+_SCRATCH: contextvars.ContextVar[tuple[_Block, ...]] = contextvars.ContextVar("scratch", default=())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -36,8 +50,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, label)
-    for paths in _SCRATCH:
-        paths.append(path)
+    for block in _SCRATCH.get():
+        block.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -48,28 +62,38 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, top)
 
 
+def shared(spark: SparkSession, value) -> Broadcast:
+    """value at all executors; it goes with the innermost open block of scratch(), else once nothing refers to it."""
+    made = spark.sparkContext.broadcast(value)
+    if blocks := _SCRATCH.get():
+        blocks[-1].broadcasts.append(made)
+    return made
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Delete the tables stored inside the block at its end, but those stored by the function that it yields.
+    """Delete the tables stored inside the block, and the values shared in it, at its end, but those stored by the function
+    that it yields. Blocks of other threads are not concerned.
 
     with scratch(spark) as keep: out = keep(query(...), "result")
     """
-    paths: list[str] = []
-    lasting: set[str] = set()
+    block = _Block()
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         out, path = _stored(df, label)
-        lasting.add(path)
+        block.lasting.add(path)
         return out
 
-    _SCRATCH.append(paths)
+    token = _SCRATCH.set((*_SCRATCH.get(), block))
     try:
         yield keep
     finally:
-        _SCRATCH[:] = [x for x in _SCRATCH if x is not paths]
-        for path in paths:
-            if path not in lasting:
+        _SCRATCH.reset(token)
+        for path in block.paths:
+            if path not in block.lasting:
                 _delete(spark, path)
+        for made in block.broadcasts:
+            made.destroy()
 
 
 def sampled(key: Column, share: float, seed: str) -> Column:
