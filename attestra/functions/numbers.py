@@ -16,14 +16,30 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
+def written(c: Column) -> Column:
+    """A double of zero or more as plain text: 0.5, 90433955.0; with an exponent from 1e16 on (1e+16) and under 0.0001 (5e-05)."""
+    text = c.cast("string")
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), r"0+$", "")
+    size = exponent + 1
+    whole = F.concat(F.rpad(F.left(digits, size), size, F.lit("0")), F.lit("."), F.coalesce(F.nullif(F.substring(digits, size + 1, F.length(digits)), F.lit("")), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    short = F.concat(F.left(digits, F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
+    return F.when(~text.contains("E"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).when((exponent >= 0) & (exponent < 16), whole).when((exponent < 0) & (exponent >= -4), small).otherwise(short)
+
+
 def number_set(c: Column) -> Column:
-    """The numbers of a text as strings: integers without commas, billions both ways, both ends of per cent ranges."""
+    """The numbers of a text as strings: integers without commas, billions both ways, both ends of per cent ranges.
+
+    Billions of more than 38 digits are there only as they are written.
+    """
     plain = F.transform(_all(c, PRECISE), lambda x: F.replace(x, F.lit(","), F.lit("")))
     whole = F.transform(plain, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, r"^0+(?=\d)", ""), F.lit("")), x))
     big = _all(c, BILLIONS)
-    billions = F.transform(big, lambda x: (x.cast("double") * 1_000_000_000).cast("decimal(38,0)").cast("string"))
-    written = F.transform(big, lambda x: F.concat(x.cast("double").cast("string"), F.lit("B")))
-    return F.array_distinct(F.concat(whole, plain, billions, written, _all(c, PERCENTS, 1), _all(c, PERCENTS, 2)))
+    billions = F.array_compact(F.transform(big, lambda x: (x.cast("double") * 1_000_000_000).try_cast("decimal(38,0)").cast("string")))
+    as_written = F.transform(big, lambda x: F.concat(written(x.cast("double")), F.lit("B")))
+    return F.array_distinct(F.concat(whole, plain, billions, as_written, _all(c, PERCENTS, 1), _all(c, PERCENTS, 2)))
 
 
 def values(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestra.functions import urls
+from attestra.functions.text import bound
 
 
 def keep_last(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -93,18 +94,25 @@ def upsert(base: DataFrame, updates: DataFrame, on: str, columns: list[str], kee
 
 
 def overlap_ratio(body: Column, snippet: Column) -> Column:
-    """Share of the body's words (characters, if the snippet has CJK) that the snippet has too; 0 without either."""
-    low_b, low_s = (F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")) for c in (body, snippet))
+    """Share of the body's words (characters, if the snippet has CJK) that the snippet has too; 0 without either.
+
+    Both are split once. Each word that both have is counted by one search of the body, its words written between marks.
+    """
+    trimmed = lambda c: F.lower(F.regexp_replace(F.replace(c, F.lit("\x00"), F.lit("\ufdd0")), r"(?U)^\s+|\s+$", ""))
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
     chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"(?U)\s+", ""), ""), lambda w: w != "")
-    cjk = low_s.rlike(r"[一-鿿]")
+    mark = F.lit("\x00")
+
+    def split(x: Column) -> Column:
+        cjk = x["s"].rlike(r"[一-鿿]")
+        return F.struct(F.when(cjk, chars(x["b"])).otherwise(words(x["b"])).alias("b"), F.when(cjk, chars(x["s"])).otherwise(words(x["s"])).alias("s"))
+
+    def met(x: Column) -> Column:
+        return F.struct(F.concat(mark, F.array_join(x["b"], "\x00\x00"), mark).alias("text"), F.array_intersect(x["b"], x["s"]).alias("both"), F.size(x["b"]).alias("n"))
 
-    def share(b: Column, s: Column) -> Column:
-        """Both sorted together, the snippet's words ahead of equal ones of the body, and counted in one pass."""
-        tagged = lambda words, own: F.transform(words, lambda x: F.struct(x.alias("w"), F.lit(own).alias("own")))
-        both = F.sort_array(F.concat(tagged(F.array_distinct(s), 0), tagged(b, 1)))
-        start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"))
-        step = lambda acc, x: F.when(x["own"] == 0, F.struct(x["w"].alias("w"), acc["n"].alias("n"))).when(x["w"] == acc["w"], F.struct(acc["w"].alias("w"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-        return F.aggregate(both, start, step, lambda acc: acc["n"]) / F.nullif(F.size(b), F.lit(0))
+    def share(x: Column) -> Column:
+        size = F.octet_length
+        times = lambda w: ((size(x["text"]) - size(F.replace(x["text"], F.concat(mark, w, mark), F.lit("")))) / (size(w) + 2)).cast("long")
+        return F.coalesce(F.aggregate(x["both"], F.lit(0).cast("long"), lambda n, w: n + times(w)) / F.nullif(x["n"], F.lit(0)), F.lit(0.0))
 
-    return F.when((low_s == "") | (low_b == ""), 0.0).otherwise(F.coalesce(F.when(cjk, share(chars(low_b), chars(low_s))).otherwise(share(words(low_b), words(low_s))), F.lit(0.0)))
+    return bound(bound(bound(F.struct(trimmed(body).alias("b"), trimmed(snippet).alias("s")), split), met), share)

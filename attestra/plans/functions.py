@@ -327,13 +327,13 @@ def _markdown_sql(c: str) -> str:
 
 @query("F42_html_to_md", f"SELECT page_id, {_markdown_sql('html')} AS markdown FROM pages")
 def f42(t: Tables):
-    return t.pages.select("page_id", html.to_markdown(F.col("html")).alias("markdown"))
+    return html.with_markdown(t.pages, "html", "markdown").select("page_id", "markdown")
 
 
 @query("F43_image", """SELECT page_id, '![a](https://i.example/' || page_id || '.png){width="600"}' || chr(10) || chr(10) || 'x' AS markdown FROM pages""")
 def f43(t: Tables):
     made = F.concat(F.lit('<p><img alt="a" src="data:image/svg" data-src="https://i.example/'), F.col("page_id"), F.lit('.png?w=3"></p><img src="data:x"><p>x</p>'))
-    return t.pages.select("page_id", html.to_markdown(made).alias("markdown"))
+    return html.with_markdown(t.pages.select("page_id", made.alias("html")), "html", "markdown").select("page_id", "markdown")
 
 
 @query(
@@ -343,7 +343,7 @@ def f43(t: Tables):
 )
 def f44(t: Tables):
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return t.pages.select("page_id", html.article(title, F.col("url"), html.to_markdown(F.col("html"))).alias("article"))
+    return html.with_markdown(t.pages, "html", "markdown").select("page_id", html.article(title, F.col("url"), F.col("markdown")).alias("article"))
 
 
 @query(

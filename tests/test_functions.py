@@ -140,6 +140,23 @@ def test_markdown(spark):
         assert g == want, page
 
 
+def test_markdown_of_a_table(spark):
+    """The same, each step once in the plan, and Python only for the bodies of pre elements with character references."""
+    df = html.with_markdown(spark.createDataFrame([(k, p) for k, (p, _) in enumerate(PAGES)], "k int, page string"), "page", "md")
+    assert [r.md for r in df.orderBy("k").collect()] == [want for _, want in PAGES]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mp_profile_popup") == 1 and plan.count("</strong>") == 1 and df.columns == ["k", "page", "md"]
+
+
+def test_numbers_as_written(spark):
+    values = [0.0, 0.5, 1.0, 12.25, 9999999.9, 1e7, 90433955.0, 123456789.125, 1e15, 999999999999999.9, 1e16, 1.25e16, 1e22, 1.5e300, 0.001, 0.00099, 0.0001, 0.00005, 1.5e-7, 2.0**-40]
+    assert column(spark, values, numbers.written, "double") == [repr(v) for v in values]
+    got = column(spark, ["costs 90433955 B", "$1.5 billion", "7" * 60 + "B"], lambda c: F.sort_array(numbers.number_set(c)))
+    assert got[0] == sorted(["90433955", "90433955000000000", "90433955.0B"])
+    assert got[1] == sorted(["1", "5", "1500000000", "1.5B"])  # whole numbers are split at the dot
+    assert got[2] == [repr(float("7" * 60)) + "B"]
+
+
 def test_image_lines_and_sections_of_long_texts(spark):
     image = '![a](https://i/%d){width="600"}'
     rows = ["\n".join([image % (k % 7) for k in range(3000)] + ["", "x", image % 99]), None, "", "no"]
