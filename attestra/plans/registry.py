@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from attestra.plans import functions, gates, relational, reports, sources  # noqa: F401
+    from attestra.plans import functions, gates, host_floor, relational, reports, sources  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

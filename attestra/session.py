@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders of the applications of this process.
 _DIRS: dict[str, str] = {}
@@ -62,3 +63,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(rows: DataFrame, row_bytes: int | None = None, most: int = 32 * 2**20) -> DataFrame:
+    """rows, a written table, marked for broadcast while it takes at most ``most`` bytes; beyond that joins shuffle it.
+
+    row_bytes: what a row takes; by default that of fixed-width columns.
+    """
+    return F.broadcast(rows) if rows.count() * (row_bytes or 16 + 8 * len(rows.columns)) <= most else rows
