@@ -13,7 +13,7 @@ from attestra.functions.text import bound
 def keep_last(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """The last row of each key; blank or null keys go. The window's rank filter prunes before the shuffle."""
     w = Window.partitionBy("_key").orderBy(*[o.desc_nulls_last() for o in order])
-    rows = df.withColumn("_key", key).where("_key IS NOT NULL AND _key <> ''")
+    rows = df.withColumn("_key", key).where("_key IS NOT NULL AND CAST(_key AS STRING) <> ''")
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_key")
 
 

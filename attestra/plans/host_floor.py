@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestra.operators import temporal
 from attestra.plans.registry import Tables, query
+from attestra.session import new_path
+from attestra.streaming import append_log, events
 
 
 @query(
@@ -48,3 +50,81 @@ def h02(t: Tables):
     met = temporal.overlapping(spans.where("event_type = 'purchase'"), spans.where("event_type = 'error'"), ("s", "e"), ("s", "e"), ["team"])
     micros = F.unix_micros(F.least("l.e", "r.e")) - F.greatest(F.unix_micros(F.col("l.s").cast("timestamp")), F.unix_micros(F.col("r.s").cast("timestamp")))
     return met.groupBy("l.event_id").agg(F.count("*").alias("met"), F.sum(micros).alias("micros"))
+
+
+# Streams. The events come in three batches of files, each read by a run of its own that goes on from the checkpoint: up to the 11th, the 21st, and
+# the rest. One in 50 is repeated in its batch, and the last hour of a batch again in the next one, one in 89 of it only there. One in 97 of the first
+# batch comes in the third, ten days late.
+
+FEED = "event_id long, us long, user_id long, event_type string, value double"
+LATE, GAP = "2 hours", "30 minutes"
+_FED = "fed AS (SELECT * FROM events WHERE NOT (event_id % 97 = 0 AND ts < TIMESTAMP '2024-01-11')), mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR AS wm FROM fed)"
+
+
+def _batches(t: Tables):
+    rows = t.events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value")
+    cuts = [F.unix_micros(F.lit(d).cast("timestamp")) for d in ("2024-01-11", "2024-01-21")]
+    k, us = F.col("event_id"), F.col("us")
+    own = F.when(us < cuts[0], 0).when(us < cuts[1], 1).otherwise(2)
+    last_hour = ((us < cuts[0]) & (us >= cuts[0] - 3_600_000_000)) | ((us < cuts[1]) & (us >= cuts[1] - 3_600_000_000))
+    late = (k % 97 == 0) & (own == 0)
+    times = F.when(late, F.array(F.lit(2))).when(last_hour & (k % 89 == 0), F.array(own + 1)).when(last_hour, F.array(own, own + 1)).when(k % 50 == 0, F.array(own, own)).otherwise(F.array(own))
+    fed = rows.withColumn("batch", F.explode(times))
+    return [fed.where(F.col("batch") == b).drop("batch") for b in range(3)]
+
+
+def _streamed(t: Tables, transform, kind: str = "stream"):
+    """What transform(the stream of the feed) has given after all batches."""
+    root = new_path(t.spark, kind)
+    out = None
+    for b, batch in enumerate(_batches(t)):
+        batch.write.json(f"{root}/in/{b}")
+        fed = events.read(t.spark, f"{root}/in", FEED).withColumn("ts", F.timestamp_micros("us")).drop("us")
+        out = events.caught_up(transform(fed), f"{root}/out", f"{root}/checkpoint")
+    return out
+
+
+@query("H03_stream_once", f"WITH {_FED} SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM fed GROUP BY event_type")
+def h03(t: Tables):
+    once = _streamed(t, lambda s: events.once(s, ["event_id"], "ts", LATE))
+    return once.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    "H03_stream_sessions",
+    f"""WITH {_FED}, starts AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM fed WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    numbered AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM starts),
+    closed AS (SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS total FROM numbered GROUP BY user_id, n)
+    SELECT user_id, epoch_us(began) AS began, epoch_us(ended) AS ended, events, total FROM closed, mark WHERE ended <= wm""",
+)
+def h03b(t: Tables):
+    """Sessions over a stream without its repeats: two stateful steps in one query. Those that the last watermark hasn't passed stay open."""
+    closed = _streamed(t, lambda s: events.sessions(events.once(s, ["event_id"], "ts", LATE), "user_id", "ts", GAP, value="event_id"))
+    return closed.select("user_id", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "events", "total")
+
+
+@query(
+    "H03_stream_followed",
+    f"WITH {_FED} SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM fed c JOIN fed p ON c.user_id = p.user_id AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'",
+)
+def h03c(t: Tables):
+    """Clicks and the purchases that follow them within six hours: a join of two streams."""
+
+    def pairs(s):
+        own = events.once(s, ["event_id"], "ts", LATE)
+        clicks = own.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("clicked"))
+        bought = own.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("bought"))
+        return events.followed(clicks, bought, "user_id", "clicked", "bought", "6 HOURS")
+
+    return _streamed(t, pairs).select("click_id", "purchase_id")
+
+
+@query("S11_keyed_stream", "SELECT user_id, max(event_id) AS last_id, max_by(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def s11b(t: Tables):
+    """The last row of each user of the same feed, late or not, kept in a keyed table that each batch rewrites in part."""
+    root = new_path(t.spark, "keyed")
+    for b, batch in enumerate(_batches(t)):
+        batch.write.json(f"{root}/in/{b}")
+        fed = events.read(t.spark, f"{root}/in", FEED)
+        append_log.keyed_sink(fed, f"{root}/table", f"{root}/checkpoint", key="user_id", order="event_id").awaitTermination()
+    return append_log.latest(t.spark, f"{root}/table").select("user_id", F.col("event_id").alias("last_id"), F.col("event_type").alias("last_type"))
