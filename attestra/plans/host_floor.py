@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.operators import temporal
+from attestra.operators import keywords, temporal, totals
+from attestra.plans import fixture
 from attestra.plans.registry import Tables, query
-from attestra.session import new_path
+from attestra.session import new_path, written
 from attestra.streaming import append_log, events
 
 
@@ -128,3 +129,102 @@ def s11b(t: Tables):
         fed = events.read(t.spark, f"{root}/in", FEED)
         append_log.keyed_sink(fed, f"{root}/table", f"{root}/checkpoint", key="user_id", order="event_id").awaitTermination()
     return append_log.latest(t.spark, f"{root}/table").select("user_id", F.col("event_id").alias("last_id"), F.col("event_type").alias("last_type"))
+
+
+# Large keyword lists: every run of three words of the benchmark texts is a pattern.
+
+_PATTERNS = """w AS (SELECT list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(w[i:i + 2], ' ') AS pattern FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+d AS (SELECT doc_id, lower(text) AS t FROM documents)"""
+
+
+def _patterns(t: Tables):
+    w = F.filter(F.split(F.regexp_replace(F.lower("text"), r"\s+", " "), " "), lambda x: x != "")
+    runs = t.benchmark.select(w.alias("w")).where(F.size("w") >= 3).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))).alias("pattern"))
+    return runs.distinct()
+
+
+@query(
+    "H04_keyword_matches",
+    f"WITH {_PATTERNS} SELECT doc_id, pattern, (length(t) - length(replace(t, pattern, ''))) // length(pattern) AS times, CAST(strpos(t, pattern) - 1 AS INTEGER) AS first FROM d JOIN p ON contains(t, pattern)",
+)
+def h04(t: Tables):
+    """Where the patterns stand in the documents: how often each, and its first place."""
+    hits = keywords.matches(t.documents, _patterns(t), "doc_id", "text", overlapping=False)
+    return hits.groupBy("doc_id", "pattern").agg(F.count("*").alias("times"), F.min("start").alias("first"))
+
+
+@query("P10_keyword_any_large", f"WITH {_PATTERNS}, hit AS (SELECT DISTINCT doc_id FROM d JOIN p ON contains(t, pattern)) SELECT source, count(*) FILTER (doc_id IN (SELECT doc_id FROM hit)) AS n FROM documents GROUP BY source")
+def p10b(t: Tables):
+    marked = keywords.any_of(t.documents.select("doc_id", "source", "text"), _patterns(t), "doc_id", "text", "hit")
+    return marked.groupBy("source").agg(F.count(F.when(F.col("hit"), 1)).alias("n"))
+
+
+@query(
+    "A17_phrase_density_large",
+    f"""WITH {_PATTERNS}, n AS (SELECT doc_id, sum((length(t) - length(replace(t, pattern, ''))) // length(pattern)) AS times FROM d JOIN p ON contains(t, pattern) GROUP BY doc_id)
+    SELECT documents.doc_id, coalesce(times, 0) / nullif(len(regexp_extract_all(text, '[^\\s　-〿＀-￯]+')), 0) AS density FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id""",
+)
+def a17b(t: Tables):
+    from attestra.functions.text import word_count
+
+    counted = keywords.times(t.documents, _patterns(t), "doc_id", "text")
+    words = t.documents.select("doc_id", word_count(F.col("text")).alias("words"))
+    return words.join(counted, "doc_id").select("doc_id", (F.col("times") / F.nullif("words", F.lit(0))).alias("density"))
+
+
+# Totals on several levels, over each claim and each of its sources.
+
+_CITED = f"WITH {fixture.SQL}, cited AS (SELECT section, tier, sv, supports FROM cls JOIN edge USING (cid) JOIN src USING (s_suppkey))"
+_TOTALS = "count(*) AS n, count(*) FILTER (supports) AS supporting, CAST(grouping(section) * 4 + grouping(tier) * 2 + grouping(sv) AS INTEGER) AS level"
+_DIMS = ["section", "tier", "sv"]
+
+
+def _cited(t: Tables, sets):
+    claims = fixture.classified(t).select("cid", "section", F.col("source_verification").alias("sv"))
+    rows = claims.join(fixture.edges(t).select("cid", "tier", "supports"), "cid")
+    return totals.totals(rows, _DIMS, sets, [F.count("*").alias("n"), F.count(F.when(F.col("supports"), 1)).alias("supporting")])
+
+
+@query("H05_rollup", f"{_CITED} SELECT section, tier, sv, {_TOTALS} FROM cited GROUP BY ROLLUP (section, tier, sv)")
+def h05(t: Tables):
+    return _cited(t, totals.rollup(_DIMS))
+
+
+@query("H05_cube", f"{_CITED} SELECT section, tier, sv, {_TOTALS} FROM cited GROUP BY CUBE (section, tier, sv)")
+def h05b(t: Tables):
+    return _cited(t, totals.cube(_DIMS))
+
+
+@query("H05_grouping_sets", f"{_CITED} SELECT section, tier, sv, {_TOTALS} FROM cited GROUP BY GROUPING SETS ((section, sv), (tier), ())")
+def h05c(t: Tables):
+    return _cited(t, [["section", "sv"], ["tier"], []])
+
+
+# Sketches: one for each type and day, stored; what is asked later is answered from these.
+
+
+def _days(t: Tables):
+    return t.events.select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+
+
+@query("H06_distinct_sketches", "SELECT event_type, count(DISTINCT user_id) AS users, true AS within FROM events GROUP BY event_type UNION ALL SELECT 'all', count(DISTINCT user_id), true FROM events")
+def h06(t: Tables):
+    """Users of each type and of all: the exact figure, and whether the estimate from the stored sketches is within its error."""
+    kept = written(totals.distinct_sketches(_days(t), ["event_type", "day"], "user_id"), "sketches")
+    told = totals.distinct_estimate(kept, ["event_type"]).unionByName(totals.distinct_estimate(kept.withColumn("event_type", F.lit("all")), ["event_type"]))
+    both = _days(t).withColumn("event_type", F.explode(F.array("event_type", F.lit("all"))))
+    exact = both.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(told, "event_type").select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * totals.DISTINCT_ERROR)).alias("within"))
+
+
+@query("H06_quantile_sketches", "SELECT event_type, q, count(*) AS n, true AS within FROM events, (SELECT unnest([0.1, 0.5, 0.9, 0.99]) AS q) GROUP BY event_type, q")
+def h06b(t: Tables):
+    """Quantiles of each type's values from the stored sketches: whether the rank of each estimate is within its error."""
+    kept = written(totals.quantile_sketches(_days(t), ["event_type", "day"], "value"), "sketches")
+    told = totals.quantile_estimates(kept, ["event_type"], [0.1, 0.5, 0.9, 0.99])
+    ranks = _days(t).join(F.broadcast(told), "event_type").groupBy("event_type", "q").agg(  # a row for each type and quantile
+        F.count("*").alias("n"), F.avg((F.col("value") < F.col("estimate")).cast("int")).alias("under"), F.avg((F.col("value") <= F.col("estimate")).cast("int")).alias("upto")
+    )
+    error = totals.RANK_ERROR
+    return ranks.select("event_type", F.col("q").cast("decimal(4,2)").alias("q"), "n", ((F.col("under") <= F.col("q") + error) & (F.col("upto") >= F.col("q") - error)).alias("within"))
