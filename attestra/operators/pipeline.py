@@ -39,6 +39,12 @@ def legal(source: Column, target: Column) -> Column:
     return F.concat_ws(">", source, target).isin([f"{a}>{b}" for a, b in TRANSITIONS])
 
 
+def removed_by_reset(phase: Column) -> Column:
+    """The artifacts that a reset to the phase removes, none for any other word."""
+    known = F.coalesce(*[F.when(phase == p, F.array(*map(F.lit, files))) for p, files in RESET.items()])
+    return F.coalesce(known, F.array().cast("array<string>"))
+
+
 def depth_allows(depth: Column, target: Column) -> Column:
     """quick research has no deep dive."""
     return ~((target == "deep_dive") & (depth == "quick"))

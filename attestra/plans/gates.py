@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestra.operators import gates, pipeline, render, schemas
 from attestra.plans import fixture
@@ -484,11 +485,21 @@ def q51(t: Tables):
 # orchestration
 
 
-@query("Q52_transitions", "SELECT a || '>' || b AS step, a || '>' || b IN ('scope>search', 'search>analysis', 'analysis>deep_dive', 'analysis>review', 'deep_dive>search', 'deep_dive>review', 'review>final', 'review>review') AS legal FROM (SELECT unnest(['scope', 'search', 'analysis', 'deep_dive', 'review', 'final']) AS a) CROSS JOIN (SELECT unnest(['scope', 'search', 'analysis', 'deep_dive', 'review', 'final']) AS b)")
+_PHASES = "list_value(" + ", ".join(f"'{p}'" for p in pipeline.PHASES) + ")"
+
+
+@query(
+    "Q52_transitions",
+    f"""WITH seen AS (SELECT {_PHASES}[event_id * 7 % 6 + 1] AS b, lag({_PHASES}[event_id * 7 % 6 + 1]) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events)
+    SELECT a || '>' || b AS step, a || '>' || b IN ('scope>search', 'search>analysis', 'analysis>deep_dive', 'analysis>review', 'deep_dive>search', 'deep_dive>review', 'review>final', 'review>review') AS legal, count(*) AS n
+    FROM seen WHERE a IS NOT NULL GROUP BY a, b""",
+)
 def q52(t: Tables):
-    phases = F.array(*map(F.lit, pipeline.PHASES))
-    pairs = t.spark.range(1).select(F.explode(phases).alias("a")).select("a", F.explode(phases).alias("b"))
-    return pairs.select(F.concat_ws(">", "a", "b").alias("step"), pipeline.legal(F.col("a"), F.col("b")).alias("legal"))
+    """The steps that each user's events take from phase to phase, and which of them are legal."""
+    now = F.get(F.array(*map(F.lit, pipeline.PHASES)), (F.col("event_id") * 7 % 6).cast("int"))
+    before = F.lag("b").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    seen = t.events.withColumn("b", now).withColumn("a", before).where("a IS NOT NULL")
+    return seen.groupBy("a", "b").agg(F.count("*").alias("n")).select(F.concat_ws(">", "a", "b").alias("step"), pipeline.legal(F.col("a"), F.col("b")).alias("legal"), "n")
 
 
 @gate("Q53_named_blockers", f"SELECT count(*) AS blocked FROM ({gate_sql('min_sources', 'BLOCKER', _N.format('collected'), f'm >= {_LEAST}', _LEAST)}) WHERE NOT passed")
@@ -509,10 +520,14 @@ def q55(t: Tables):
     return t.orders.select("o_orderkey", pipeline.verdict(body).alias("verdict"))
 
 
-@query("Q56_reset", "SELECT phase, count(*) AS files FROM (VALUES ('scope', 1), ('scope', 2), ('scope', 3), ('scope', 4), ('scope', 5), ('search', 1), ('search', 2), ('search', 3), ('analysis', 1), ('analysis', 2), ('deep_dive', 1), ('review', 1), ('final', 1)) v(phase, k) GROUP BY phase")
+_RESETS = ", ".join(f"('{p}', '{f}')" for p, files in pipeline.RESET.items() for f in files)
+
+
+@query("Q56_reset", f"SELECT o_orderpriority, file, count(*) AS removals FROM orders JOIN (VALUES {_RESETS}) v(phase, file) ON phase = {_PHASES}[o_orderkey % 6 + 1] GROUP BY o_orderpriority, file")
 def q56(t: Tables):
-    rows = [(p, f) for p, files in pipeline.RESET.items() for f in files]
-    return t.spark.createDataFrame(rows, "phase string, file string").groupBy("phase").agg(F.count("*").alias("files"))
+    """How often each artifact goes when every order is reset to its phase."""
+    phase = F.get(F.array(*map(F.lit, pipeline.PHASES)), (F.col("o_orderkey") % 6).cast("int"))
+    return t.orders.select("o_orderpriority", F.explode(pipeline.removed_by_reset(phase)).alias("file")).groupBy("o_orderpriority", "file").agg(F.count("*").alias("removals"))
 
 
 @query("Q57_source_recommendation", f"WITH {fixture.SQL}, r AS (SELECT unnest([2, 3, 4, 1]) AS tier, generate_subscripts([2, 3, 4, 1], 1) AS step) SELECT step, tier, count(*) AS sources, array_to_string(list_sort(list(DISTINCT host)), ',') AS hosts FROM r JOIN src USING (tier) GROUP BY step, tier")

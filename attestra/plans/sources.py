@@ -6,18 +6,30 @@ from pyspark.sql import functions as F
 
 from attestra.functions import diffs, rewriters
 from attestra.operators import gates, joins, sanitize, schemas
+from attestra.plans import fixture
 from attestra.plans.gates import GSQL, Workspaces, gate_sql
 from attestra.plans.registry import Tables, query
 from attestra.session import new_path
-from attestra.sources import documents
+from attestra.sources import documents, logs
 
 
-@query("S01_read_json", "SELECT event_id, event_id % 3 <> 0 AS valid, CASE WHEN event_id % 3 <> 0 THEN event_type END AS topic FROM events")
+def _artifacts(t: Tables) -> str:
+    """A folder of JSON artifacts, one for each supplier but one in four, with a byte-order mark; one in three is broken."""
+    root = new_path(t.spark, "artifacts")
+    k = F.col("s_suppkey")
+    raw = F.when(k % 3 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("s_name").alias("topic"))))
+    rows = t.supplier.where(k % 4 != 0).select(F.concat(F.lit("n"), k % 7, F.lit("__ws"), k).alias("name"), F.concat(F.lit("\ufeff"), raw).alias("raw"))
+    documents.write_texts(rows, root, "name", "raw", ".json")
+    return root
+
+
+_WS = F.regexp_extract("path", r"ws(\d+)\.json$", 1).cast("long")
+
+
+@query("S01_read_json", "SELECT s_suppkey AS ws, s_suppkey % 3 <> 0 AS valid, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS topic FROM supplier WHERE s_suppkey % 4 <> 0")
 def s01(t: Tables):
-    raw = F.when(F.col("event_id") % 3 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_type").alias("topic"))))
-    made = t.events.select("event_id", F.regexp_replace(F.concat(F.lit("﻿"), raw), "^﻿", "").alias("raw"))
-    valid = F.call_function("try_parse_json", F.col("raw")).isNotNull()
-    return made.select("event_id", valid.alias("valid"), F.when(valid, F.from_json("raw", documents.SCOPE))["topic"].alias("topic"))
+    """Files read by a glob; what is no JSON is a row with an error."""
+    return documents.read_json(t.spark, f"{_artifacts(t)}/*/*.json", documents.SCOPE).select(_WS.alias("ws"), "valid", F.col("doc.topic").alias("topic"))
 
 
 @query("S02_write_json", "SELECT event_type AS kind, count(*) AS rows FROM events GROUP BY 1")
@@ -28,10 +40,14 @@ def s02(t: Tables):
     return t.spark.read.schema("kind string").json(path).groupBy("kind").agg(F.count("*").alias("rows"))
 
 
-@query("S03_artifact_state", "SELECT name, name <> 'b' AS readable, name <> 'b' OR true AS passed FROM (VALUES ('a'), ('b'), ('c')) v(name)")
+@query(
+    "S03_artifact_state",
+    "SELECT 'ws' || s_suppkey AS name, s_suppkey % 4 <> 0 AND s_suppkey % 3 <> 0 AS readable, s_suppkey % 2 <> 0 OR s_suppkey % 4 <> 0 AND s_suppkey % 3 <> 0 AS passed FROM supplier",
+)
 def s03(t: Tables):
-    expected = t.spark.createDataFrame([("a", True), ("b", False), ("c", True)], "name string, required boolean")
-    found = t.region.select(F.when(F.col("r_regionkey") == 0, "a").when(F.col("r_regionkey") == 1, "c").alias("name"), F.lit(True).alias("valid")).where("name IS NOT NULL")
+    """Which of the suppliers' artifacts are there and sound; those of odd suppliers may be missing or broken."""
+    found = documents.read_json(t.spark, f"{_artifacts(t)}/*/*.json", documents.SCOPE).select(F.concat(F.lit("ws"), _WS).alias("name"), "valid")
+    expected = t.supplier.select(F.concat(F.lit("ws"), "s_suppkey").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("required"))
     return documents.artifact_state(found, expected)
 
 
@@ -52,11 +68,15 @@ def s04(t: Tables):
     return t.events.select("event_id", doc["topic"].alias("topic"), F.call_function("try_parse_json", raw).isNotNull().alias("valid"), doc["topic"].isNotNull().alias("readable"))
 
 
-@query("S05_merge_shards", "SELECT o_orderpriority AS sec, max(o_orderkey) AS last FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1")
+@query("S05_merge_shards", "SELECT n_name AS id, max_by(s_name, s_suppkey) AS content FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 11 <> 0 GROUP BY n_name")
 def s05(t: Tables):
-    raw = F.when(F.col("o_orderkey") % 11 == 0, "broken").otherwise(F.to_json(F.struct(F.col("o_orderpriority").alias("id"))))
-    shards = t.orders.select("o_orderkey", F.from_json(raw, "id string")["id"].alias("sec")).where("sec IS NOT NULL")
-    return joins.keep_last(shards, F.col("sec"), [F.col("o_orderkey")]).select("sec", F.col("o_orderkey").alias("last"))
+    """Section shards in files of their own, read by a glob: broken ones are left out, of a section's the last one counts."""
+    root = new_path(t.spark, "shards")
+    k = F.col("s_suppkey")
+    named = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    raw = F.when(k % 11 == 0, "broken").otherwise(F.to_json(F.struct(F.col("n_name").alias("id"), F.lit("t").alias("title"), F.col("s_name").alias("content"))))
+    documents.write_texts(named.select(F.concat(F.lit("section-"), F.lpad(k.cast("string"), 12, "0")).alias("name"), raw.alias("raw")), root, "name", "raw", ".json")
+    return documents.merge_shards(t.spark, f"{root}/section-*.json").select("id", "content")
 
 
 @query(
@@ -84,11 +104,21 @@ def s09(t: Tables):
     return t.documents.select("doc_id", F.sha2(documents.source_text(body, F.lit("Fetched"), F.col("source")).cast("binary"), 256).alias("digest"))
 
 
-@query("S10_log_entries", "SELECT event_id, event_type AS task, 'body ' || event_id AS body FROM events")
+_PADS = ["learnings", "decisions", "issues", "problems", "conventions"]
+
+
+@query(
+    "S10_log_entries",
+    f"""SELECT user_id % 20 AS pad, list_value({', '.join(f"'{p}'" for p in _PADS)})[event_id % 5 + 1] AS category, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS at, event_type AS task, 'body ' || event_id AS body FROM events""",
+)
 def s10(t: Tables):
-    part = F.format_string("## [%s] Task: %s\nbody %d\n", F.date_format("ts", "yyyy-MM-dd HH:mm"), "event_type", "event_id")
-    files = t.events.select("event_id", F.explode(F.split(F.concat(F.lit("# Log\n"), part), r"(?m)^(?=## \[)")).alias("part")).where(F.col("part").startswith("## ["))
-    return files.select("event_id", F.trim(F.regexp_extract("part", r"^## \[[^\]]*\]\s*(?:Task:\s*(.*))?", 1)).alias("task"), F.regexp_extract("part", r"\n(.*)", 1).alias("body"))
+    """Notepads in folders of their own, found by a scan below the root and split into entries."""
+    root = new_path(t.spark, "notepads")
+    pad = F.concat(F.lit("u"), F.col("user_id") % 20, F.lit("__"), F.get(F.array(*map(F.lit, _PADS)), (F.col("event_id") % 5).cast("int")))
+    entry = F.format_string("## [%s] Task: %s\nbody %d\n", F.date_format("ts", "yyyy-MM-dd HH:mm"), "event_type", "event_id")
+    documents.write_texts(t.events.select(pad.alias("name"), entry.alias("text")), root, "name", "text", ".md")
+    found = logs.entries(t.spark, root)
+    return found.select(F.regexp_extract("path", r"/u(\d+)/", 1).cast("long").alias("pad"), "category", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "task", "body")
 
 
 @query("S11_append_only", "SELECT event_type, 2 * count(*) AS lines, CAST(sum(event_id) AS BIGINT) + count(*) * 1000000 + CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
@@ -102,16 +132,32 @@ def s11(t: Tables):
     return log.groupBy("event_type").agg(F.count("*").alias("lines"), F.sum("event_id").alias("total"))
 
 
-@query("S12_catalogue", "SELECT tier, count(*) AS domains FROM (VALUES (1, 'a'), (1, 'b'), (2, 'c')) v(tier, d) GROUP BY tier")
+@query(
+    "S12_catalogue",
+    f"""WITH {fixture.SQL} SELECT host AS ws, CAST(row_number() OVER (PARTITION BY host ORDER BY tier, s_suppkey) - 1 AS INTEGER) AS ord, tier, lower(s_name) || '.org' AS domain, CASE WHEN s_suppkey % 2 = 0 THEN 'zh' ELSE 'en' END AS language FROM src""",
+)
 def s12(t: Tables):
-    config = {"sources": {"1": {"sources": [{"name": "a", "domain": "a.org"}, {"name": "b", "domain": "b.org"}]}, "2": {"sources": [{"name": "c", "domain": "c.org"}]}}}
-    return documents.catalogue(t.spark, config).groupBy("tier").agg(F.count("*").alias("domains"))
+    """A configuration file for each nation, with its suppliers by tier, read back as one table of sources."""
+    root = new_path(t.spark, "configs")
+    rows = fixture.sources(t).select("host", F.col("tier").cast("string").alias("tier"), "s_suppkey", F.struct(F.col("s_name").alias("name"), F.concat(F.lower("s_name"), F.lit(".org")).alias("domain"), F.when(F.col("s_suppkey") % 2 == 0, "zh").alias("language")).alias("source"))
+    tiers = rows.groupBy("host", "tier").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "source"))).alias("s")).select("host", "tier", F.struct(F.transform("s", lambda x: x["source"]).alias("sources")).alias("entry"))
+    configs = tiers.groupBy("host").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tier", "entry")))).alias("sources"))
+    documents.write_texts(configs.select("host", F.to_json(F.struct("sources")).alias("raw")), root, "host", "raw", ".json")
+    files = documents.read_whole(t.spark, f"{root}/*.json").withColumn("ws", F.regexp_extract("path", r"([^/]+)\.json$", 1))
+    return documents.catalogues(files, "ws", "raw").select("ws", "ord", "tier", "domain", "language")
 
 
-@query("S12_routes", "SELECT * FROM (VALUES ('fact_check', '1,2,4'), ('other', '2,3,1,4')) v(goal_type, path)")
+@query(
+    "S12_routes",
+    f"""WITH {fixture.SQL}, own AS (SELECT host, array_to_string(list_sort(list(DISTINCT tier)), ',') AS path FROM src GROUP BY host)
+    SELECT host AS ws, 'fact_check' AS goal_type, path, 2 AS optional FROM own UNION ALL SELECT host, 'other', '2,3,1,4', 0 FROM own""",
+)
 def s12b(t: Tables):
-    config = {"routes": {"fact_check": {"entry_tier": 1, "path": [1, 2, 4]}, "other": "auto"}}
-    return documents.routes(t.spark, config, gates.ROUTES["other"]).select("goal_type", F.array_join("path", ",").alias("path"))
+    """The routes of each nation's configuration: one is a list of the tiers that it has, the other is left to the default."""
+    tiers = fixture.sources(t).groupBy(F.col("host").alias("ws")).agg(F.sort_array(F.collect_set("tier")).alias("path"))
+    route = F.to_json(F.struct(F.lit(1).alias("entry_tier"), "path", F.array(F.lit(5), F.lit(6)).alias("optional_tiers")))
+    configs = tiers.select("ws", F.concat(F.lit('{"routes":{"fact_check":'), route, F.lit(',"other":"auto"}}')).alias("raw"))
+    return documents.routes(configs, "ws", "raw", gates.ROUTES["other"]).select("ws", "goal_type", F.array_join("path", ",").alias("path"), F.size("optional").alias("optional"))
 
 
 @query(

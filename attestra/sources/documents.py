@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestra.functions import jsons, urls
 
@@ -84,6 +85,23 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_texts(rows: DataFrame, root: str, name: str, text: str, kind: str) -> None:
+    """A file root/<name><kind> for each name, with the texts of its rows one below the other, as users keep such folders.
+
+    Names are of letters, digits, - and _; two _ in a row make a folder. Null names go. Tasks write the files, the driver only renames them.
+    """
+    spark, parts = rows.sparkSession, f"{root}-parts"
+    rows.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("_name"), F.col(text).alias("value")).repartition("_name").write.partitionBy("_name").text(parts)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(root))
+    for found in fs.globStatus(path(f"{parts}/_name=*/part-*")) or []:
+        to = path(f"{root}/{found.getPath().getParent().getName().split('=', 1)[1].replace('__', '/')}{kind}")
+        fs.mkdirs(to.getParent())
+        fs.rename(found.getPath(), to)
+    fs.delete(path(parts), True)
+
+
 def source_text(body: Column, fetched: Column, snippet: Column) -> Column:
     """What claims are compared with: the stored body, else the fetched text, and always the snippet, in lower case."""
     return F.lower(F.concat_ws(" ", F.coalesce(F.nullif(body, F.lit("")), fetched, F.lit("")), F.coalesce(snippet, F.lit(""))))
@@ -107,13 +125,21 @@ def report_name(topic: Column, existing: Column, asof: Column) -> Column:
     return F.concat(base, F.when(taken, F.concat(F.lit("_"), F.date_format(asof, "yyyyMMdd"))).otherwise(F.lit("")), F.lit(".md"))
 
 
-def catalogue(spark: SparkSession, config: dict) -> DataFrame:
-    """A tier -> sources configuration as (ord, tier, name, domain, site_query, language), in its order."""
-    rows = [(s.get("name"), s.get("domain"), s.get("site_query"), s.get("language", "en"), int(tier)) for tier, entry in config.get("sources", {}).items() for s in entry.get("sources", [])]
-    return spark.createDataFrame([(k, r[4], *r[:4]) for k, r in enumerate(rows)], "ord int, tier int, name string, domain string, site_query string, language string")
-
-
-def routes(spark: SparkSession, config: dict, default: list[int]) -> DataFrame:
-    """goal_type -> path and optional tiers; the path "auto" is the default one."""
-    rows = [(g, r["path"] if isinstance(r, dict) and isinstance(r.get("path"), list) else default, r.get("optional_tiers", []) if isinstance(r, dict) else []) for g, r in config.get("routes", {}).items()]
-    return spark.createDataFrame(rows, "goal_type string, path array<int>, optional array<int>")
+def catalogues(configs: DataFrame, key: str, raw: str) -> DataFrame:
+    """configs(key, raw): JSON of tier -> sources -> (key, ord, tier, name, domain, site_query, language), a row for each source in its
+    order. What isn't JSON, or has no sources, has no rows; a tier that is no number is null."""
+    entry = "struct<name:string,domain:string,site_query:string,language:string>"
+    parsed = F.from_json(raw, f"sources map<string,struct<sources:array<{entry}>>>")["sources"]
+    tiers = configs.select(key, F.posexplode(F.map_entries(parsed)).alias("_t", "_e"))
+    rows = tiers.select(key, "_t", F.col("_e.key").try_cast("int").alias("tier"), F.posexplode(F.col("_e.value.sources")).alias("_k", "_s"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_t", "_k")) - 1
+    return rows.select(key, place.alias("ord"), "tier", "_s.name", "_s.domain", "_s.site_query", F.coalesce("_s.language", F.lit("en")).alias("language"))
+
+
+def routes(configs: DataFrame, key: str, raw: str, default: list[int]) -> DataFrame:
+    """configs(key, raw): JSON of routes by goal type -> (key, goal_type, path, optional). A route without a path, as "auto", takes the default one."""
+    parsed = F.from_json(raw, "routes map<string,string>")["routes"]
+    each = configs.select(key, F.explode(F.map_entries(parsed)).alias("_e"))
+    route = F.from_json(F.col("_e.value"), "path array<int>, optional_tiers array<int>")
+    none = F.array().cast("array<int>")
+    return each.select(key, F.col("_e.key").alias("goal_type"), F.coalesce(route["path"], F.array(*map(F.lit, default))).alias("path"), F.coalesce(route["optional_tiers"], none).alias("optional"))
