@@ -3,12 +3,16 @@ sketches, SQL functions, logs with several writers, and a source for Markdown fo
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
-from attestra.operators import keywords, temporal, totals
+from attestra.functions import registered
+from attestra.operators import keywords, render, temporal, totals
 from attestra.plans import fixture
 from attestra.plans.registry import Tables, query
 from attestra.session import new_path, written
+from attestra.sources import documents, manifest, markdown
 from attestra.streaming import append_log, events
 
 
@@ -228,3 +232,102 @@ def h06b(t: Tables):
     )
     error = totals.RANK_ERROR
     return ranks.select("event_type", F.col("q").cast("decimal(4,2)").alias("q"), "n", ((F.col("under") <= F.col("q") + error) & (F.col("upto") >= F.col("q") - error)).alias("within"))
+
+
+# Functions and views for SQL text.
+
+
+@query(
+    "H07_sql_rewriter",
+    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://mirror.example/' || doc_id WHEN 1 THEN 'https://b.example/it''s/' || doc_id ELSE 'https://c.example/' || doc_id END AS url FROM documents",
+)
+def h07(t: Tables):
+    registered.register_rewriter(t.spark, "attestra_mirror", [(r"^https://a\.example/", "https://mirror.example/"), (r"^(https://b\.example)/(\d+)$", "$1/it's/$2")])
+    t.documents.createOrReplaceTempView("attestra_documents")
+    return t.spark.sql("SELECT doc_id, attestra_mirror(concat('https://', substr('abc', CAST(doc_id % 3 + 1 AS INT), 1), '.example/', doc_id)) AS url FROM attestra_documents")
+
+
+@query(
+    "H07_sql_sections",
+    """WITH heads AS (SELECT conv_id, turn, 1 + length(text) % 6 AS level, lead(turn) OVER w AS next, lag(1 + length(text) % 6) OVER w AS previous, e
+      FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) + 1 AS e FROM conversations) WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn AS pos, CAST(level AS INTEGER) AS level, 'turn ' || turn AS title, coalesce(level > previous + 1, false) AS skipped, coalesce(next, e) - turn - 1 AS body_rows FROM heads""",
+)
+def h07b(t: Tables):
+    """Turns as lines, users' as headings: a table function with a state machine over each conversation."""
+    registered.register_sections(t.spark, "attestra_sections")
+    line = F.when(F.col("role") == "user", F.concat(F.repeat(F.lit("#"), (1 + F.length("text") % 6).cast("int")), F.lit(" turn "), F.col("turn"))).otherwise("text below")
+    t.conversations.select("conv_id", F.col("turn").alias("pos"), line.alias("line")).createOrReplaceTempView("attestra_lines")
+    return t.spark.sql(
+        "SELECT CAST(doc AS BIGINT) AS conv_id, pos, level, title, skipped, body_rows FROM attestra_sections(TABLE(SELECT conv_id AS doc, pos, line FROM attestra_lines) PARTITION BY doc ORDER BY pos)"
+    )
+
+
+@query(
+    "H10_catalog_summary",
+    f"WITH {fixture.SQL} SELECT sv AS source_verification, count(*) AS n, count(*) / (SELECT count(*) FROM cls) AS ratio FROM cls GROUP BY sv",
+)
+def h10(t: Tables):
+    """The verification histogram as SQL text over the views."""
+    registered.register_views(t.spark, fixture.claims(t), fixture.edges(t), fixture.sources(t), "attestra_")
+    return t.spark.sql(
+        """WITH flag AS (SELECT e.cid, bool_or(s.tier >= 3) AS low, bool_or(e.supports) AS hit FROM attestra_edges e JOIN attestra_sources s ON s.s_suppkey = e.s_suppkey GROUP BY e.cid),
+        cls AS (SELECT CASE WHEN (ev IN ('official_data', 'third_party_estimate') OR st IN ('vendor_benchmark', 'vendor_survey', 'vendor_blog') AND pr IN ('exact', 'range')) AND coalesce(low, false) THEN 'source_indirect'
+                            WHEN coalesce(hit, false) THEN 'source_confirmed' ELSE 'source_absent' END AS source_verification FROM attestra_claims c LEFT JOIN flag ON flag.cid = c.cid)
+        SELECT source_verification, count(*) AS n, count(*) / sum(count(*)) OVER () AS ratio FROM cls GROUP BY source_verification"""
+    )
+
+
+@query("H10_claims_of_section", f"WITH {fixture.SQL} SELECT section, num, count(*) AS n FROM claim WHERE section IN ('1-URGENT', '5-LOW') GROUP BY section, num")
+def h10b(t: Tables):
+    registered.register_views(t.spark, fixture.claims(t), fixture.edges(t), fixture.sources(t), "attestra_")
+    return t.spark.sql("SELECT '1-URGENT' AS section, num, count(*) AS n FROM attestra_claims_of('1-URGENT') GROUP BY num UNION ALL SELECT '5-LOW', num, count(*) FROM attestra_claims_of('5-LOW') GROUP BY num")
+
+
+# A log with several writers.
+
+
+@query("H08_manifest_log", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, true AS whole FROM events WHERE event_id % 4 < 3 GROUP BY event_type")
+def h08(t: Tables):
+    """Two writers append at the same time while a third drops one row in four: nothing is lost, and each version that was read is whole."""
+    table = new_path(t.spark, "log")
+    rows = t.events.select("event_id", "event_type")
+    k = F.col("event_id")
+    sizes = {r["p"]: r["n"] for r in rows.groupBy((k % 8).alias("p")).agg(F.count("*").alias("n")).collect()}
+
+    def write(parts):
+        for p in parts:
+            manifest.append(rows.where(k % 8 == p), table)
+
+    def drop():
+        manifest.rewrite(t.spark, table, lambda now: rows.limit(0) if now is None else now.where(k % 4 < 3))
+
+    with ThreadPoolExecutor(3) as pool:
+        jobs = [pool.submit(write, [0, 1, 2, 3]), pool.submit(write, [4, 5, 6, 7]), pool.submit(drop)]
+        for job in jobs:
+            job.result()
+    manifest.rewrite(t.spark, table, lambda now: now.where(k % 4 < 3))
+    whole = True
+    for v in manifest.versions(t.spark, table):  # of each part a version has all rows or none, but for those dropped
+        seen = {r["p"]: r["n"] for r in manifest.snapshot(t.spark, table, v).groupBy((k % 8).alias("p")).agg(F.count("*").alias("n")).collect()}
+        whole = whole and all(n == sizes[p] for p, n in seen.items())
+    return manifest.snapshot(t.spark, table).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).withColumn("whole", F.lit(whole))
+
+
+# A folder of Markdown files.
+
+
+@query(
+    "H09_markdown_source",
+    "SELECT 'supplier ' || s_suppkey AS topic, '2024-01-' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') AS date, length('# ' || s_name || chr(10) || 'text' || chr(10)) AS chars FROM supplier WHERE s_suppkey % 3 = 1",
+)
+def h09(t: Tables):
+    """Reports with front matter, written as files and read as a table: the filter on a field is the source's own work."""
+    root = new_path(t.spark, "reports")
+    k = F.col("s_suppkey")
+    fields = [("topic", F.concat(F.lit("supplier "), k)), ("goal_type", F.get(F.array(F.lit("other"), F.lit("fact_check"), F.lit("market")), (k % 3).cast("int"))), ("date", F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")))]
+    text = F.concat(render.front_matter(fields), F.lit("\n# "), "s_name", F.lit("\ntext"))
+    documents.write_texts(t.supplier.select(F.concat(F.lit("r"), k).alias("name"), text.alias("text")), root, "name", "text", ".md")
+    markdown.register(t.spark)
+    found = t.spark.read.format(markdown.NAME).schema("topic string, goal_type string, date string, body string").load(root)
+    return found.where(F.col("goal_type") == "fact_check").select("topic", "date", F.length("body").cast("long").alias("chars"))
