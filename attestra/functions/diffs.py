@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -28,6 +29,11 @@ def _decoded(raw: bytes | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def decoded(raw: pd.Series) -> pd.Series:
-    """Bytes as UTF-8, else in the first charset that fits, else UTF-8 with replacement characters."""
+def _repaired(raw: pd.Series) -> pd.Series:
     return raw.map(_decoded)
+
+
+def decoded(raw: Column) -> Column:
+    """Bytes as UTF-8, else in the first charset that fits, else UTF-8 with replacement characters. Only bytes that aren't UTF-8 go to Python."""
+    valid = F.is_valid_utf8(raw.cast("string"))
+    return F.when(valid, raw.cast("string")).otherwise(_repaired(F.when(~valid, raw)))

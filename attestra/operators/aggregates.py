@@ -92,15 +92,15 @@ def line_quality(df: DataFrame, body: Column, padding: str, template: str) -> Da
     )
 
 
-def fidelity(sources: DataFrame, failed: Column, chars: Column, overlap: Column, shallow: int = 2000, thin: int = 5000) -> DataFrame:
-    """One row: counts of failed, missing, shallow, thin and overlapping sources, their shares and the verdict.
+def fidelity(sources: DataFrame, failed: Column, chars: Column, overlap: Column, shallow: int = 2000, thin: int = 5000, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each group of ``by``: counts of failed, missing, shallow, thin and overlapping sources, their shares and the verdict.
 
     chars is null where no body is stored. The verdicts are tried in order; the shares are of the sources that didn't
     fail, the exempt one of all.
     """
     ok = ~failed
     count = lambda c: F.count(F.when(c, 1))
-    counts = sources.agg(
+    counts = sources.groupBy(*(by or [])).agg(
         F.count("*").alias("total"), count(failed).alias("failed"), count(ok & (F.coalesce(chars, F.lit(0)) == 0)).alias("missing"),
         count(ok & (chars > 0) & (chars < shallow)).alias("shallow"), count(ok & (chars >= shallow) & (chars < thin)).alias("thin"),
         count(ok & (chars >= shallow) & (overlap > 0.8)).alias("overlapping"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestra.operators.aggregates import fidelity
 from attestra.operators.reports import row
 from attestra.operators.verification import EVIDENCE, PRECISIONS, WEAK_EVIDENCE
 
@@ -62,12 +63,38 @@ def tier_coverage(scopes: DataFrame, collected: DataFrame) -> DataFrame:
 
 
 def source_fidelity(scopes: DataFrame, collected: DataFrame) -> DataFrame:
-    """The share of sources without a stored body among those that didn't fail; the deeper verdicts are in aggregates.fidelity."""
+    """The share of sources without a stored body among those that didn't fail; fidelity_verdicts() judges all there is to judge."""
     ok = ~F.col("failed")
     m = collected.groupBy("ws").agg((F.count(F.when(ok & (F.coalesce("chars", F.lit(0)) == 0), 1)) / F.nullif(F.count(F.when(ok, 1)), F.lit(0))).alias("m"))
     return judged(scopes, m, "source_fidelity", "BLOCKER", F.col("m") <= 0.3, 0.3)
 
 
+#: The shares beyond which a workspace is blocked or warned.
+FIDELITY = {"block_missing": 0.30, "block_shallow": 0.30, "block_overlap": 0.30, "warn_exempt": 0.50}
+
+
+def fidelity_verdicts(scopes: DataFrame, collected: DataFrame) -> DataFrame:
+    """The whole ladder for each workspace, from collected(ws, failed, chars, overlap): the first rung that it fails on tells level, metric and threshold.
+
+    Bodies are missing, shallow or little more than their snippet for too many sources: a blocker each. Too many sources are
+    exempt, any body is missing, or any is shallow or thin: a warning each. A workspace without sources, or whose
+    sources have all failed, passes. detail is the rung's name, empty where all is well; on the last two rungs metric counts sources.
+    """
+    found = fidelity(collected, F.col("failed"), F.col("chars"), F.col("overlap"), by=["ws"])
+    overlapping = F.coalesce(F.col("overlapping") / F.nullif(F.col("total") - F.col("failed"), F.lit(0)), F.lit(0.0))
+    metrics = {
+        "block_missing": F.col("missing_ratio"), "block_shallow": F.col("shallow_ratio"), "block_overlap": overlapping, "warn_exempt": F.col("exempt_ratio"),
+        "warn_missing": F.col("missing").cast("double"), "warn_depth": (F.col("shallow") + F.col("thin")).cast("double"),
+    }
+    told = scopes.select("ws").join(found, "ws", "left").withColumn("verdict", F.coalesce("verdict", F.lit("pass")))
+    of = lambda values: F.coalesce(*[F.when(F.col("verdict") == name, v) for name, v in values.items()], F.lit(0.0))
+    failing = F.col("verdict") != "pass"
+    level = F.when(F.col("verdict").startswith("warn"), "WARN").otherwise("BLOCKER")
+    gate = row("source_fidelity", F.col("ws"), "BLOCKER", ~failing, of(metrics), None, F.when(failing, F.col("verdict")))
+    gate[2], gate[5] = level.alias("level"), of({k: F.lit(v) for k, v in FIDELITY.items()}).alias("threshold")
+    return told.select(*gate)
+
+
 def direction_tagging(scopes: DataFrame, directions: DataFrame, collected: DataFrame, level: str = "BLOCKER") -> DataFrame:
     """No source lacks a direction where directions are declared."""
     untagged = collected.where(F.trim(F.coalesce("direction", F.lit(""))) == "").join(directions.select("ws").distinct(), "ws", "left_semi")

@@ -121,6 +121,24 @@ def q05(t: Tables):
     return gates.source_fidelity(w.scopes, w.collected)
 
 
+@gate(
+    "Q05_fidelity_verdicts",
+    """, f AS (SELECT ws, count(*) AS total, count(*) FILTER (failed) AS bad, count(*) FILTER (NOT failed AND chars = 0) AS missing, count(*) FILTER (NOT failed AND chars > 0 AND chars < 2000) AS shallow,
+      count(*) FILTER (NOT failed AND chars >= 2000 AND chars < 5000) AS thin, count(*) FILTER (NOT failed AND chars >= 2000 AND src % 3 = 0) AS overlapping FROM collected GROUP BY ws),
+    r AS (SELECT *, missing / (total - bad) AS m, shallow / (total - bad) AS s, overlapping / (total - bad) AS o, bad / total AS x FROM f),
+    v AS (SELECT *, CASE WHEN total = bad THEN 'pass' WHEN m > 0.3 THEN 'block_missing' WHEN s > 0.3 THEN 'block_shallow' WHEN o > 0.3 THEN 'block_overlap' WHEN x > 0.5 THEN 'warn_exempt'
+      WHEN missing > 0 THEN 'warn_missing' WHEN shallow + thin > 0 THEN 'warn_depth' ELSE 'pass' END AS verdict FROM r)
+    SELECT 'source_fidelity' AS gate, CAST(scope.ws AS VARCHAR) AS subject, CASE WHEN verdict LIKE 'warn%' THEN 'WARN' ELSE 'BLOCKER' END AS level, coalesce(verdict, 'pass') = 'pass' AS passed,
+      CAST(coalesce(CASE verdict WHEN 'block_missing' THEN m WHEN 'block_shallow' THEN s WHEN 'block_overlap' THEN o WHEN 'warn_exempt' THEN x WHEN 'warn_missing' THEN missing WHEN 'warn_depth' THEN shallow + thin END, 0) AS DOUBLE) AS metric,
+      CAST(CASE WHEN verdict IN ('block_missing', 'block_shallow', 'block_overlap') THEN 0.3 WHEN verdict = 'warn_exempt' THEN 0.5 ELSE 0 END AS DOUBLE) AS threshold, CASE WHEN verdict <> 'pass' THEN verdict ELSE '' END AS detail
+    FROM scope LEFT JOIN v USING (ws)""",
+)
+def q05b(t: Tables):
+    """The whole ladder over all workspaces; one source in three is little more than its snippet."""
+    w = Workspaces(t)
+    return gates.fidelity_verdicts(w.scopes, w.collected.withColumn("overlap", F.when(F.col("src") % 3 == 0, 0.9).otherwise(0.2)))
+
+
 @gate("Q06_direction_tagging", gate_sql("direction_tagging", "BLOCKER", _N.format("collected WHERE direction = '' AND ws IN (SELECT ws FROM directions)"), "m = 0"))
 def q06(t: Tables):
     w = Workspaces(t)
