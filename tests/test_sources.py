@@ -112,3 +112,45 @@ def test_windowed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.s, r.n) for r in spark.sql("select * from counted").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_texts_are_written_as_files(spark, tmp_path):
+    root = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([("a__b", "one"), ("c", "x\ny"), (None, "gone"), ("a__b", "two"), ("d-1", "")], "name string, text string")
+    documents.write_texts(rows, root, "name", "text", ".md")
+    found = {str(p.relative_to(tmp_path / "out")): sorted(p.read_text().split("\n")) for p in (tmp_path / "out").rglob("*.md")}
+    assert found == {"a/b.md": ["", "one", "two"], "c.md": ["", "x", "y"], "d-1.md": ["", ""]}
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_configurations_of_many_workspaces(spark):
+    good = {"sources": {"2": {"sources": [{"name": "a", "domain": "a.org", "language": "zh"}, {"name": "b"}]}, "1": {"sources": [{"domain": "c.org"}]}, "x": {"sources": [{"name": "d"}]}, "3": {}}}
+    rows = [("w", json.dumps(good)), ("broken", "{"), ("none", "{}"), ("null", None)]
+    df = spark.createDataFrame(rows, "ws string, raw string")
+    got = [(r.ws, r.ord, r.tier, r.name, r.domain, r.language) for r in documents.catalogues(df, "ws", "raw").orderBy("ord").collect()]
+    assert got == [("w", 0, 2, "a", "a.org", "zh"), ("w", 1, 2, "b", None, "en"), ("w", 2, 1, None, "c.org", "en"), ("w", 3, None, "d", None, "en")]
+    routes = {"routes": {"fact_check": {"entry_tier": 1, "path": [1, 2], "optional_tiers": [4]}, "other": "auto"}}
+    df = spark.createDataFrame([("w", json.dumps(routes)), ("broken", "no")], "ws string, raw string")
+    got = {r.goal_type: (r.ws, r.path, r.optional) for r in documents.routes(df, "ws", "raw", [2, 3]).collect()}
+    assert got == {"fact_check": ("w", [1, 2], [4]), "other": ("w", [2, 3], [])}
+
+
+def test_fidelity_ladder(spark):
+    cases = {
+        1: ([(False, 9000, 0.1)] * 3, ("BLOCKER", True, 0.0, "")), 2: ([(False, 0, None), (False, 9000, 0.1), (False, None, 0.1)], ("BLOCKER", False, 2 / 3, "block_missing")),
+        3: ([(False, 100, 0.9), (False, 9000, 0.1)], ("BLOCKER", False, 0.5, "block_shallow")), 4: ([(False, 9000, 0.9), (False, 9000, 0.1)], ("BLOCKER", False, 0.5, "block_overlap")),
+        5: ([(True, 0, None)] * 2 + [(False, 9000, 0.1)], ("WARN", False, 2 / 3, "warn_exempt")), 6: ([(False, 0, None)] + [(False, 9000, 0.1)] * 4, ("WARN", False, 1.0, "warn_missing")),
+        7: ([(False, 3000, 0.1), (False, 100, 0.1)] + [(False, 9000, 0.1)] * 4, ("WARN", False, 2.0, "warn_depth")), 8: ([(True, 0, None)], ("BLOCKER", True, 0.0, "")), 9: ([], ("BLOCKER", True, 0.0, "")),
+    }
+    rows = spark.createDataFrame([(ws, *r) for ws, (own, _) in cases.items() for r in own], "ws long, failed boolean, chars long, overlap double")
+    got = {int(r.subject): (r.level, r.passed, r.metric, r.detail) for r in gates.fidelity_verdicts(spark.createDataFrame([(k,) for k in cases], "ws long"), rows).collect()}
+    assert got == {k: want for k, (_, want) in cases.items()}
+
+
+def test_bytes_of_any_charset(spark):
+    from attestra.functions import diffs
+
+    raw = ["naïve 汉字".encode(), "汉字".encode("gb18030"), b"caf\xe9", b"", None, b"ok \xff\xfe\xfd\x81"]
+    df = spark.createDataFrame([(k, None if r is None else bytearray(r)) for k, r in enumerate(raw)], "k int, raw binary")
+    got = [r.t for r in df.select("k", diffs.decoded(F.col("raw")).alias("t")).orderBy("k").collect()]
+    assert got[:2] == ["naïve 汉字", "汉字"] and got[2:5] == ["café", "", None] and got[5].startswith("ok ")
