@@ -6,7 +6,8 @@ highest sum wins, and the score is its share of the likelihood.
 
 Words and n-grams are counted by Spark over a sample of labelled rows, whole texts, chosen by a hash of doc_id: of about
 ``fit_rows`` documents and ``fit_chars`` characters, whichever is less. All its words and n-grams are in the model that is
-broadcast, so that sample bounds it.
+broadcast, so that sample bounds it. The model holds 64-bit hashes of them, not the strings: two sorted arrays and a row of log
+frequencies for each.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.work import few, map_arrow, numbered, remaining, sampled, shared, stored
 
-FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 8_000_000, 5
+FIT_ROWS, FIT_CHARS, LONGEST = 20_000, 60_000_000, 5
 WORDS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
@@ -49,67 +51,89 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHAR
     places = F.sequence(F.lit(1), F.length("word") + 2)
     each = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(F.filter(places, lambda i: i + k <= F.length("word") + 3), lambda i: F.substring(marked, i, k))))
     grams = counts.select("lang", (1 + F.log("n")).alias("w"), F.explode(each).alias("gram")).groupBy("lang", "gram").agg(F.sum("w").alias("w"))
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    return {"langs": langs, "words": _logs(counts.select("word", "lang", "n"), langs), "grams": _logs(grams.select("gram", "lang", "w"), langs, by_length=True)}
-
-
-def _logs(counts: DataFrame, langs: list[str], by_length: bool = False):
-    """(key, lang, count) -> ({key: row}, log frequencies by language); keys of each length are smoothed by themselves if by_length."""
-    rows = counts.toArrow()
-    keys, lang, n = (rows.column(k) for k in range(3))
-    if not len(keys):
-        return {}, np.zeros((0, len(langs)), np.float32)
-    coded, told = keys.combine_chunks().dictionary_encode(), lang.combine_chunks().dictionary_encode()
-    table = np.zeros((len(coded.dictionary), len(langs)))
-    column = np.array([langs.index(x) for x in told.dictionary.to_pylist()])[told.indices.to_numpy()]
-    np.add.at(table, (coded.indices.to_numpy(), column), n.to_numpy().astype(float))
-    names = coded.dictionary.to_pylist()
-    kinds = np.array([len(x) for x in names]) if by_length else np.zeros(len(names), int)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a row for each language
+    words = counts.select(F.xxhash64("word").alias("key"), "lang", F.col("n").cast("double").alias("n"), F.lit(0).alias("size"))
+    return {"langs": langs, "words": _logs(words, langs), "grams": _logs(grams.select(F.xxhash64("gram").alias("key"), "lang", F.col("w").alias("n"), F.length("gram").alias("size")), langs)}
+
+
+def _logs(counts: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """counts(key, lang, n, size) -> sorted keys, and a row of log frequencies by language for each; keys of a size are smoothed by themselves."""
+    rows = counts.toArrow().combine_chunks()
+    if not len(rows):
+        return np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32)
+    told = rows.column("lang").combine_chunks().dictionary_encode()
+    keys, first, which = np.unique(rows.column("key").to_numpy().view(np.uint64), return_index=True, return_inverse=True)
+    table = np.zeros((len(keys), len(langs)))
+    np.add.at(table, (which.reshape(-1), np.array([langs.index(x) for x in told.dictionary.to_pylist()])[told.indices.to_numpy()]), rows.column("n").to_numpy())
+    sizes = rows.column("size").to_numpy()[first]
     out = np.zeros(table.shape, np.float32)
-    for kind in np.unique(kinds):
-        own = kinds == kind
+    for size in np.unique(sizes):
+        own = sizes == size
         out[own] = np.log((table[own] + 0.1) / (table[own].sum(axis=0) + 0.1 * own.sum()))
-    return dict(zip(names, range(len(names)), strict=True)), out
+    return keys, out
+
+
+def _hashes(strings: list[str]) -> np.ndarray:
+    """The 64-bit hashes that Spark's xxhash64 gives."""
+    return np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42) for s in strings], np.uint64)
 
 
 def _grams(word: str, size: int) -> list[str]:
+    if size == 1:
+        return list(word)
     marked = f"^{word}$"
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
+def _placed(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted stand among sorted keys, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Predictor:
-    """What a Python worker holds: the model, and in ``most`` more rows of its table the unseen words met so far."""
+    """What a Python worker holds: the model, and a table with the rows of the last words met, ``most`` at most."""
 
-    def __init__(self, model: dict, most: int = 50_000):
-        self.langs, (self.index, table), (self.gram_index, self.gram_table) = model["langs"], model["words"], model["grams"]
-        self.first, self.most, self.cache = len(table), most, {}
+    def __init__(self, model: dict, most: int = 20_000):
+        self.langs, self.words, self.grams, self.most = model["langs"], model["words"], model["grams"], most
+        self.rows: dict[str, int] = {}
         # the last column tells whether the model knows anything of the word
-        self.table = np.zeros((len(table) + most, len(self.langs) + 1), np.float32)
-        self.table[: len(table), : len(self.langs)] = table
-        self.table[: len(table), -1] = 1
-
-    def _unseen(self, word: str) -> np.ndarray | None:
+        self.table = np.zeros((most, len(self.langs) + 1), np.float32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows for words that have none: known words', else the mean of the longest n-grams of which the model knows one."""
+        keys, logs = self.words
+        at, known = _placed(keys, _hashes(words))
+        made = np.zeros((len(words), self.table.shape[1]), np.float32)
+        made[known, :-1], made[known, -1] = logs[at[known]], 1
+        left, (keys, logs) = np.flatnonzero(~known), self.grams
         for size in range(LONGEST, 0, -1):
-            rows = [k for k in map(self.gram_index.get, _grams(word, size) if size > 1 else word) if k is not None]
-            if rows:
-                return self.gram_table[rows].mean(axis=0)
-        return None
+            if not len(left):
+                break
+            grams = [_grams(words[k], size) for k in left]
+            owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            at, known = _placed(keys, _hashes([g for own in grams for g in own]))
+            times = np.bincount(owner[known], minlength=len(left))
+            sums = np.zeros((len(left), len(self.langs)))
+            np.add.at(sums, owner[known], logs[at[known]])
+            some = times > 0
+            made[left[some], :-1], made[left[some], -1] = sums[some] / times[some, None], 1
+            left = left[~some]
+        begin = len(self.rows)
+        self.table[begin : begin + len(words)] = made
+        self.rows.update(zip(words, range(begin, begin + len(words)), strict=True))
 
     def _rows(self, words: list[str]) -> list[int]:
         """The table rows of at most ``most`` words."""
-        if len(self.cache) + len(words) > self.most:
-            self.cache.clear()
-        index, cache, rows = self.index, self.cache, []
-        for word in words:
-            k = index.get(word)
-            if k is None:
-                k = cache.get(word)
-                if k is None:
-                    k = cache[word] = self.first + len(cache)
-                    found = self._unseen(word)
-                    self.table[k, :-1], self.table[k, -1] = (0, 0) if found is None else (found, 1)
-            rows.append(k)
-        return rows
+        new = [w for w in words if w not in self.rows]
+        if len(self.rows) + len(new) > self.most:
+            self.rows.clear()
+            new = words
+        if new:
+            self._learn(new)
+        return [self.rows[w] for w in words]
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, its share of the likelihood, the share of words that the model knows something of)."""
