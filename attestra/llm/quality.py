@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestra.llm.work import few, map_arrow, numbered, remaining, shared, stored
 
@@ -28,6 +29,8 @@ ORDER, BITS = 4, 21
 CODE = (1 << BITS) - 1
 MOST_GRAMS = 4_000_000
 QUANTILE, SLACK, SPREAD, FOLDS, SHORT = 0.99, 1.0, 4.0, 3, 400
+#: Steps of a perplexity from one to e: quantiles are counted on them, so they don't depend on the order of rows, and are right to a 5,000th.
+STEPS = 5_000
 PAD = 2
 
 
@@ -116,29 +119,35 @@ def _context(k: int, b: Column, g: Column) -> Column:
 
 
 def kneser_ney(counts: DataFrame) -> list[DataFrame]:
-    """counts(b, g, c) of order 4 -> for each order 1 to 4 the seen grams: (b, g, p, h, gamma); b is 0 below order 4.
+    """counts(b, g, c, [m]) of order 4 -> for each order 1 to 4 the seen grams: (m, b, g, p, h, gamma); b is 0 below order 4.
 
-    p is the interpolated probability of the gram's last code after its context h, gamma what h leaves to the lower
-    order. Orders below 4 count continuations: the kinds of grams that end so. Discounts are the modified ones, from
-    the counts of counts, and what all this leaves over is spread evenly over the known codes and one unknown.
+    m is the number of a model, 0 where it isn't told: all models are built in one go. p is the interpolated probability of the gram's last code after its
+    context h, gamma what h leaves to the lower order. Orders below 4 count continuations: the kinds of grams that end so.
+    Discounts are the modified ones, from the counts of counts, and what all this leaves over is spread evenly over the
+    known codes and one unknown.
     """
-    levels = {ORDER: counts.select("b", "g", "c")}
+    counts = counts if "m" in counts.columns else counts.withColumn("m", F.lit(0))
+    levels = {ORDER: counts.select("m", "b", "g", "c")}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = stored(levels[k + 1].groupBy(F.lit(0).cast("long").alias("b"), _suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("c")), f"kn{k}")
+        levels[k] = stored(levels[k + 1].groupBy("m", F.lit(0).cast("long").alias("b"), _suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("c")), f"kn{k}")
     out: list[DataFrame] = []
     for k in range(1, ORDER + 1):
-        n = levels[k].agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)], F.count("*").alias("kinds")).first()
-        d = discounts([n[f"n{i}"] for i in range(1, 5)])
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        own = levels[k].select("b", "g", "c", _context(k, F.col("b"), F.col("g")).alias("h"), cut.alias("d"))
-        totals = own.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        own = own.join(totals, "h").select("b", "g", "h", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("gamma"))
+        n = levels[k].groupBy("m").agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)], F.count("*").alias("kinds")).collect()  # a row for each model
+        cut, kinds = F.lit(0.5), F.lit(1)
+        for own in n:
+            d = discounts([own[f"n{i}"] for i in range(1, 5)])
+            here = F.col("m") == own["m"]
+            cut = F.when(here, F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])).otherwise(cut)
+            kinds = F.when(here, own["kinds"]).otherwise(kinds)
+        own = levels[k].select("m", "b", "g", "c", _context(k, F.col("b"), F.col("g")).alias("h"), cut.alias("d"))
+        totals = own.groupBy("m", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+        own = own.join(totals, ["m", "h"]).select("m", "b", "g", "h", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("gamma"))
         if k == 1:
-            p = own.select("b", "g", "h", "gamma", (F.col("own") + F.col("gamma") / (n["kinds"] + 1)).alias("p"))
+            p = own.select("m", "b", "g", "h", "gamma", (F.col("own") + F.col("gamma") / (kinds + 1)).alias("p"))
         else:
-            low = out[-1].select(F.col("g").alias("s"), F.col("p").alias("low"))
-            p = own.withColumn("s", _suffix(F.col("g"), k - 1)).join(low, "s").select("b", "g", "h", "gamma", (F.col("own") + F.col("gamma") * F.col("low")).alias("p"))
-        out.append(stored(p.select("b", "g", "p", "h", "gamma"), f"p{k}"))
+            low = out[-1].select("m", F.col("g").alias("s"), F.col("p").alias("low"))
+            p = own.withColumn("s", _suffix(F.col("g"), k - 1)).join(low, ["m", "s"]).select("m", "b", "g", "h", "gamma", (F.col("own") + F.col("gamma") * F.col("low")).alias("p"))
+        out.append(stored(p.select("m", "b", "g", "p", "h", "gamma"), f"p{k}"))
     return out
 
 
@@ -190,23 +199,23 @@ class Scorer:
 
 def perplexities(docs: DataFrame, model: list[DataFrame], most_grams: int = MOST_GRAMS) -> DataFrame:
     """docs(doc_id, text, ...) -> its columns but text, n_codes (characters) and perplexity (null for null or empty text)."""
-    return _by_folds(docs.withColumn("fold", F.lit(0)), [model], most_grams).drop("fold")
+    return _by_folds(docs.withColumn("fold", F.lit(0)), model, 1, most_grams).drop("fold")
 
 
-def _by_folds(docs: DataFrame, models: list[list[DataFrame]], most_grams: int) -> DataFrame:
-    """perplexities() of docs(fold, ...), each by the model of its fold."""
+def _by_folds(docs: DataFrame, model: list[DataFrame], folds: int, most_grams: int) -> DataFrame:
+    """perplexities() of docs(fold, ...), each by the model that has its fold's number."""
     docs = docs.withColumn("n_codes", F.coalesce(F.length("text"), F.lit(0)))
     others = [c for c in docs.columns if c != "text"]
-    if sum(m.count() for model in models for m in model) > most_grams:
-        return reduce(DataFrame.unionByName, [_by_joins(docs.where(F.col("fold") == f), model) for f, model in enumerate(models)])
-    scorers = []
-    for model in models:
-        tables = []
-        for m in model:
-            rows = m.toArrow() if hasattr(m, "toArrow") else pa.Table.from_pandas(m.toPandas())
-            tables.append(tuple(rows.column(c).to_numpy() for c in ("g", "p", "h", "gamma")))
-        scorers.append(Scorer(tables))
-    told = shared(docs.sparkSession, scorers)  # at most most_grams rows
+    if sum(m.count() for m in model) > most_grams:
+        return reduce(DataFrame.unionByName, [_by_joins(docs.where(F.col("fold") == f), [m.where(F.col("m") == f) for m in model]) for f in range(folds)])
+    tables: list[list[tuple]] = [[] for _ in range(folds)]
+    for m in model:
+        rows = m.select("m", "g", "p", "h", "gamma").toArrow()  # together at most most_grams rows
+        number, *columns = (rows.column(c).to_numpy() for c in range(5))
+        for f in range(folds):
+            tables[f].append(tuple(c[number == f] for c in columns))
+    told = shared(docs.sparkSession, [Scorer(own) for own in tables])
+    del tables
 
     def score(batches):
         for batch in batches:
@@ -277,15 +286,15 @@ def _judged(docs: DataFrame, trusted: DataFrame, quantile: float, slack: float,
     marked = docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left").withColumn("_trusted", F.col("_trusted").isNotNull())
     marked = marked.withColumn("fold", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int"))
     counts = stored(gram_counts(marked.where("_trusted and length(text) > 0").select("text", "fold")), "counts")
-    folds = counts.select("fold").distinct().count()
-    learnt = [counts.where(F.col("fold") != f) if folds > 1 else counts for f in range(FOLDS if folds > 1 else 1)]
-    models = [kneser_ney(stored(c.groupBy("b", "g").agg(F.sum("c").alias("c")), "counts")) for c in learnt]
-    scored = stored(_by_folds(marked if folds > 1 else marked.withColumn("fold", F.lit(0)), models, most_grams), "scored")
+    folds = FOLDS if counts.select("fold").distinct().count() > 1 else 1
+    learnt = _left_out(counts) if folds > 1 else counts.groupBy("b", "g").agg(F.sum("c").alias("c"))
+    model = kneser_ney(stored(learnt, "counts"))
+    scored = stored(_by_folds(marked if folds > 1 else marked.withColumn("fold", F.lit(0)), model, folds, most_grams), "scored")
     good = scored.where("_trusted and perplexity is not null")
-    long_ones = F.when(F.col("n_codes") >= SHORT, F.col("perplexity"))
-    own = F.coalesce(F.percentile_approx(long_ones, quantile, 10_000), F.percentile_approx("perplexity", quantile, 10_000)).alias("own")
-    each = good.groupBy("lang").agg(own)
-    of_all = good.agg(own).first()[0]
+    step = F.floor(F.log("perplexity") * STEPS).cast("long")
+    steps = stored(good.groupBy("lang", (F.col("n_codes") >= SHORT).alias("long"), step.alias("step")).agg(F.count("*").alias("n")), "steps")
+    each = _levels(steps, "lang", quantile).select("lang", "own")
+    of_all = (_levels(steps.withColumn("lang", F.lit(0)), "lang", quantile).first() or [None, None])[1]
     level = F.coalesce("own", F.lit(of_all).cast("double")) * slack * F.exp(spread / F.sqrt(F.greatest("n_codes", F.lit(1))))
     return (
         scored.join(F.broadcast(each.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left")  # a row for each language
@@ -294,6 +303,26 @@ def _judged(docs: DataFrame, trusted: DataFrame, quantile: float, slack: float,
     )
 
 
+def _left_out(counts: DataFrame) -> DataFrame:
+    """counts(fold, b, g, c) -> (m, b, g, c): the counts outside fold m, for each m. The rows are summed once."""
+    own = [F.sum(F.when(F.col("fold") == f, F.col("c")).otherwise(0)).alias(f"_{f}") for f in range(FOLDS)]
+    summed = counts.groupBy("b", "g").agg(F.sum("c").alias("all"), *own)
+    each = F.array(*[F.struct(F.lit(f).alias("m"), (F.col("all") - F.col(f"_{f}")).alias("c")) for f in range(FOLDS)])
+    return summed.select("b", "g", F.explode(each).alias("_e")).select("_e.m", "b", "g", "_e.c").where("c > 0")
+
+
+def _levels(steps: DataFrame, by: str, quantile: float) -> DataFrame:
+    """steps(by, long, step, n) -> (by, own): the end of the first step up to which lies this share of the rows, of the long ones if there are any."""
+    found = None
+    for name, rows in (("of_long", steps.where("long")), ("of_any", steps)):
+        each = rows.groupBy(by, "step").agg(F.sum("n").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy(by).orderBy("step"))
+        enough = each.withColumn("_upto", so_far).withColumn("_all", F.sum("n").over(Window.partitionBy(by))).where(F.col("_upto") >= quantile * F.col("_all"))
+        own = enough.groupBy(by).agg(F.exp((F.min("step") + 1) / STEPS).alias(name))
+        found = own if found is None else own.join(found, by, "left")
+    return found.select(by, F.coalesce("of_long", "of_any").alias("own"))
+
+
 def accepted(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, spread: float = SPREAD, most_grams: int = MOST_GRAMS) -> DataFrame:
     """The rows of docs that quality() accepts, with the columns of docs, whatever their names.
 
