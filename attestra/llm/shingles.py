@@ -68,7 +68,7 @@ def shingle_hashes(texts: list[bytes], size: int = SIZE) -> tuple[np.ndarray, np
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
-def in_chunks(texts, most: int = 1_000_000):
+def in_chunks(texts, most: int = 400_000):
     """(first, texts) runs of together about most bytes, so that the arrays of a step stay small. None counts as empty."""
     run, begin, total = [], 0, 0
     for i, t in enumerate(texts):

@@ -112,7 +112,7 @@ def bound(share: float) -> int:
 
 
 #: Bytes of an Arrow batch at most, so that a task's memory doesn't follow the length of its texts.
-BATCH_BYTES = 4 * 2**20
+BATCH_BYTES = 2**20
 
 
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
