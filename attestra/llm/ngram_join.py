@@ -15,6 +15,9 @@ each. A class has a label of ``depth`` MinHash bytes in each of ``trees`` tries.
    whole shingle sets (attestra.llm.blocks); no pair is written out.
 4. Audit: the links found for the queries are compared with those of the exact search. Under the target, prefixes are
    shortened further; if even the shortest fall short, that is an error, never a partial result.
+
+Where no query has a link there is nothing to measure, and the recall told is 1: the length of prefixes then rests on theory alone, which promises a shared
+prefix, while ties are only drawn between neighbours of the sort and kept by their share of equal bytes.
 """
 
 from __future__ import annotations

@@ -1,9 +1,11 @@
 """Operator 8: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Every window of a text (a word behind a
-fixed anchor) is compressed with each of them; the pair of compressed lengths is the window's cell. Training counts how
-often toxic and ordinary texts fall into each cell, which gives a cell its log ratio; a text's score is a logistic
-function, fitted on training texts, of how many windows pass several thresholds of length difference and log ratio.
+Two zstandard dictionaries are made, one from ordinary and one from toxic text. Not by the library's trainer, which picks what any
+text repeats and so can't tell the two apart (README has the figures): their content is chosen here, by counts over the training
+texts, and handed to the compressor as raw dictionaries. Every window of a text, a single word behind a fixed anchor, is compressed with
+each of them; the pair of compressed lengths is the window's cell. Training counts how often toxic and ordinary texts fall into each cell,
+which gives a cell its log ratio; a text's score is a logistic function, fitted on training texts, of how many windows
+pass several thresholds of length difference and log ratio. So what decides is which chosen segments a word shares, measured by compression.
 
 Dictionaries hold segments behind the anchor: the ordinary one the words of ordinary texts that most texts have, the toxic
 one in addition words and word beginnings that significantly more toxic than ordinary texts have. Both are as the
