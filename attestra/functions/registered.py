@@ -24,7 +24,6 @@ def register_rewriter(spark: SparkSession, name: str, rules: list[tuple[str, str
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(url STRING) RETURNS STRING RETURN {f'CASE {cases} ELSE url END' if cases else 'url'}")
 
 
-@udtf(returnType="doc string, pos long, level int, title string, skipped boolean, body_rows long")
 class Sections:
     """A state machine over a document's lines, for TABLE(doc, pos, line) PARTITION BY doc ORDER BY pos.
 
@@ -54,7 +53,7 @@ class Sections:
 
 def register_sections(spark: SparkSession, name: str = "sections_of") -> None:
     """SELECT * FROM sections_of(TABLE(lines) PARTITION BY doc ORDER BY pos)"""
-    spark.udtf.register(name, Sections)
+    spark.udtf.register(name, udtf(Sections, returnType="doc string, pos long, level int, title string, skipped boolean, body_rows long"))
 
 
 def register_views(spark: SparkSession, claims: DataFrame, edges: DataFrame, sources: DataFrame, prefix: str = "") -> None:

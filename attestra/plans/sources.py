@@ -23,13 +23,14 @@ def _artifacts(t: Tables) -> str:
     return root
 
 
-_WS = F.regexp_extract("path", r"ws(\d+)\.json$", 1).cast("long")
+def _ws():
+    return F.regexp_extract("path", r"ws(\d+)\.json$", 1).cast("long")
 
 
 @query("S01_read_json", "SELECT s_suppkey AS ws, s_suppkey % 3 <> 0 AS valid, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS topic FROM supplier WHERE s_suppkey % 4 <> 0")
 def s01(t: Tables):
     """Files read by a glob; what is no JSON is a row with an error."""
-    return documents.read_json(t.spark, f"{_artifacts(t)}/*/*.json", documents.SCOPE).select(_WS.alias("ws"), "valid", F.col("doc.topic").alias("topic"))
+    return documents.read_json(t.spark, f"{_artifacts(t)}/*/*.json", documents.SCOPE).select(_ws().alias("ws"), "valid", F.col("doc.topic").alias("topic"))
 
 
 @query("S02_write_json", "SELECT event_type AS kind, count(*) AS rows FROM events GROUP BY 1")
@@ -46,7 +47,7 @@ def s02(t: Tables):
 )
 def s03(t: Tables):
     """Which of the suppliers' artifacts are there and sound; those of odd suppliers may be missing or broken."""
-    found = documents.read_json(t.spark, f"{_artifacts(t)}/*/*.json", documents.SCOPE).select(F.concat(F.lit("ws"), _WS).alias("name"), "valid")
+    found = documents.read_json(t.spark, f"{_artifacts(t)}/*/*.json", documents.SCOPE).select(F.concat(F.lit("ws"), _ws()).alias("name"), "valid")
     expected = t.supplier.select(F.concat(F.lit("ws"), "s_suppkey").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("required"))
     return documents.artifact_state(found, expected)
 

@@ -131,3 +131,12 @@ def test_views_and_table_functions(spark):
     registered.register_views(spark, claims, edges, sources, "t_")
     assert [tuple(r) for r in spark.sql("SELECT * FROM t_claims_of('s')").collect()] == [(1, "x", 3)]
     assert sorted(tuple(r) for r in spark.sql("SELECT c.cid, b.host, b.tier FROM t_claims c, LATERAL t_cited_by(c.cid) b").collect()) == [(1, "h", 1), (1, "i", 3), (2, "i", 3)]
+
+
+def test_the_registry_loads_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 200"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
