@@ -80,20 +80,25 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """docs(doc_id, text) -> (part, pos, guest, doc_id, text, next_text), the next by ascending doc_id, ties by text.
 
-    The table is cut into ranges of doc_id by quantiles; a range also gets, as a guest, the first rows of the range that follows (the
-    first range follows the last), so the next row of its last row is at hand, and no task needs more than its range.
+    The table is cut into ranges of doc_id by quantiles, and each range again by its own, so that the cuts a row is compared with
+    are few, however many parts there are. A part also gets, as guests, the first rows of the part that follows (the first one
+    follows the last), so the next row of its last row is at hand, and no task needs more than its parts.
     """
     known = docs.where("doc_id IS NOT NULL")
-    cuts = known.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    firsts = known.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()  # a row for each range
-    ids = [r["doc_id"] for r in firsts]
-    before = {d: firsts[k - 1]["part"] for k, d in enumerate(ids)}
-    guest_of = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("doc_id")) if before else F.lit(None).cast("int")
-    own = F.struct(part.alias("part"), F.lit(False).alias("guest"))
-    guest = F.struct(guest_of.alias("part"), F.lit(True).alias("guest"))
-    dealt = known.withColumn("_at", F.explode(F.when(F.col("doc_id").isin(ids), F.array(own, guest)).otherwise(F.array(own))))
+    ranges = math.ceil(math.sqrt(parts))
+    marks = [k / ranges for k in range(1, ranges)] or [0.5]
+    quantiles = F.array_distinct(F.percentile_approx("doc_id", marks, 10_000))
+    cuts = known.agg(quantiles).first()[0] or []
+    upto = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))
+    within = upto(F.array(*map(F.lit, cuts))) if cuts else F.lit(0)
+    inner = stored(known.groupBy(within.alias("_range")).agg(quantiles.alias("_cuts")), "cuts")  # a row for each range
+    parted = known.withColumn("_range", within).join(F.broadcast(inner), "_range").withColumn("part", F.col("_range") * ranges + upto(F.col("_cuts"))).select("part", "doc_id", "text")
+    firsts = stored(parted.groupBy("part").agg(F.min("doc_id").alias("doc_id")), "firsts")  # a row for each part
+    begins = firsts.orderBy("part").collect()
+    before = docs.sparkSession.createDataFrame([(r["doc_id"], begins[k - 1]["part"]) for k, r in enumerate(begins)], "doc_id long, _before int")
+    own, guest = F.struct("part", F.lit(False).alias("guest")), F.struct(F.col("_before").alias("part"), F.lit(True).alias("guest"))
+    marked = parted.join(F.broadcast(before), "doc_id", "left")
+    dealt = marked.withColumn("_at", F.explode(F.when(F.col("_before").isNotNull(), F.array(own, guest)).otherwise(F.array(own))))
     order = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
     rows = dealt.select("_at.part", "_at.guest", "doc_id", "text")
     return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("pos", F.row_number().over(order))
