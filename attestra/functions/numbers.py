@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.functions.text import bound
+
 #: The patterns of numbers in texts. An integer group with an optional unit, between characters that aren't
 #: part of a word; billions; ranges of per cents.
 PRECISE = r"(?U)(?<!\w)(\d{1,3}(?:,\d{3})*|\d+)(\s*(%|ms|req/s|req\/sec|MB|GB|x|times faster))?(?!\w)"
@@ -17,8 +19,26 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def written(c: Column) -> Column:
-    """A double of zero or more as plain text: 0.5, 90433955.0; with an exponent from 1e16 on (1e+16) and under 0.0001 (5e-05)."""
-    text = c.cast("string")
+    """A double of zero or more as plain text: 0.5, 90433955.0; with an exponent from 1e16 on (1e+16) and under 0.0001 (5e-05).
+
+    Of the digits that tell it from its neighbours, the fewest. Some Java versions cast to more; from 2^53 to 1e38 all its digits are
+    known, so there they are rounded to 15, 16 and 17.
+    """
+    return bound(c, lambda v: bound(F.when((v >= 2.0**53) & (v < 1e38), bound(_digits(v), lambda exact: _fewest(v, exact))).otherwise(v.cast("string")), _plain))
+
+
+def _fewest(c: Column, exact: Column) -> Column:
+    """A double in as few digits as tell it, as Java would write it (1.5E16), from all its digits."""
+    more = lambda k: F.when(F.substring(exact, k + 1, 1) >= "5", 1).otherwise(0)
+    rounded = lambda k: F.concat((F.left(exact, k).try_cast("long") + more(k)).cast("string"), F.lit("E"), (F.length(exact) - k).cast("string"))
+    tried = F.transform(F.array(*[F.lit(k) for k in (15, 16, 17)]), rounded)
+    first = F.get(F.filter(tried, lambda t: t.try_cast("double") == c), F.lit(0))
+    head, power = F.substring_index(first, "E", 1), F.substring_index(first, "E", -1).try_cast("int")
+    return F.concat(F.left(head, F.lit(1)), F.lit("."), F.substring(head, F.lit(2), F.length(head)), F.lit("E"), (power + F.length(head) - 1).cast("string"))
+
+
+def _plain(text: Column) -> Column:
+    """A double as Java writes it, as Python would."""
     exponent = F.substring_index(text, "E", -1).try_cast("int")
     digits = F.regexp_replace(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), r"0+$", "")
     size = exponent + 1
@@ -29,6 +49,20 @@ def written(c: Column) -> Column:
     return F.when(~text.contains("E"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).when((exponent >= 0) & (exponent < 16), whole).when((exponent < 0) & (exponent >= -4), small).otherwise(short)
 
 
+def _digits(c: Column) -> Column:
+    """A double of zero or more as the nearest whole number, with all its digits; null if these are more than 38.
+
+    A cast gives the shortest digits that tell a double from its neighbours, and zeros after them. From 2^53 on, where every
+    double is a whole number, it is taken apart by powers of two, which is exact.
+    """
+    part = lambda x, k: F.floor(x / float(2**k))
+    rest = lambda x, k: x - part(x, k).cast("double") * float(2**k)
+    power = F.lit(2**40).cast("decimal(13,0)")
+    low = lambda x: part(x, 40).cast("decimal(13,0)") * power + rest(x, 40).cast("decimal(13,0)")
+    exact = lambda x: part(x, 80).cast("decimal(14,0)") * power * power + bound(rest(x, 80), low)
+    return F.when(c < 2.0**53, c.cast("decimal(38,0)")).when(c < 1e38, exact(c).cast("decimal(38,0)")).cast("string")
+
+
 def number_set(c: Column) -> Column:
     """The numbers of a text as strings: integers without commas, billions both ways, both ends of per cent ranges.
 
@@ -37,7 +71,7 @@ def number_set(c: Column) -> Column:
     plain = F.transform(_all(c, PRECISE), lambda x: F.replace(x, F.lit(","), F.lit("")))
     whole = F.transform(plain, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, r"^0+(?=\d)", ""), F.lit("")), x))
     big = _all(c, BILLIONS)
-    billions = F.array_compact(F.transform(big, lambda x: (x.cast("double") * 1_000_000_000).try_cast("decimal(38,0)").cast("string")))
+    billions = F.array_compact(F.transform(F.transform(big, lambda x: x.cast("double") * 1_000_000_000), _digits))
     as_written = F.transform(big, lambda x: F.concat(written(x.cast("double")), F.lit("B")))
     return F.array_distinct(F.concat(whole, plain, billions, as_written, _all(c, PERCENTS, 1), _all(c, PERCENTS, 2)))
 

@@ -173,3 +173,12 @@ def test_clean(spark):
 def test_tail_cut(spark):
     body = "\n".join(["marker"] + ["x"] * 40 + ["", "marker here", "end"])
     assert column(spark, [body, "no"], lambda c: html.tail_cut(c, ["marker"])) == ["\n".join(["marker"] + ["x"] * 40), "no"]
+
+
+def test_large_billions_keep_all_digits_and_are_written_short(spark):
+    typed = ["4699858775519183", "80132626729", "9225426587", "36798284236820097.351548928", "9007199.254740993", "4513576820916823721", "26018159083.1", "98765432109876543210987654321"]
+    got = column(spark, [f"{t}B" for t in typed], numbers.number_set)
+    for t, own in zip(typed, got, strict=True):
+        assert str(int(float(t) * 1e9)) in own and f"{float(t)!r}B" in own
+    values = [2.2257118259684278e18, 36798284236820100.0, 6.385838955974974e18, 2.0**53, 2.0**54 + 4, 5.288314366764021e18, 9999999999999999.0, 1e23, float("inf")]
+    assert column(spark, values, numbers.written, "double") == [repr(v) for v in values]
