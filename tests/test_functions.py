@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from urllib.parse import parse_qs, urlencode, urljoin, urlparse, urlunparse
 
 import pytest
@@ -182,3 +183,15 @@ def test_large_billions_keep_all_digits_and_are_written_short(spark):
         assert str(int(float(t) * 1e9)) in own and f"{float(t)!r}B" in own
     values = [2.2257118259684278e18, 36798284236820100.0, 6.385838955974974e18, 2.0**53, 2.0**54 + 4, 5.288314366764021e18, 9999999999999999.0, 1e23, float("inf")]
     assert column(spark, values, numbers.written, "double") == [repr(v) for v in values]
+
+
+def test_lines_without_the_words_are_not_tried_at_each_place(spark):
+    long = "y" * 90
+    odd = [None, "", "\n", "we use cookies", "a\n\nGDPR", f"{long} accept cookies {long}\nnext", f"{long} gdpr\nshare on weibo {long}\r\nz\n", "x\r\nWE USE COOKIES\r\ny", f"gdpr gdpr {long} gdpr\u2028q\n分享到微信\n", "k\n隐私政策"]
+    for pattern, words in ((html.COOKIES, html.COOKIE_WORDS), (html.SOCIAL, html.SOCIAL_WORDS)):
+        assert column(spark, odd, lambda c, p=pattern, w=words: html.without_matches(c, p, w)) == column(spark, odd, lambda c, p=pattern: F.regexp_replace(c, p, ""))
+    # a page of 20 million characters: the patterns tried at each place take some minutes
+    page = spark.range(1).select(F.concat(F.lit("# A\n"), F.repeat(F.lit("plain words of a line\n"), 900_000), F.lit("We use cookies\n")).alias("c"))
+    began = time.monotonic()
+    assert page.select(F.length(html.without_matches(html.without_matches(F.col("c"), html.COOKIES, html.COOKIE_WORDS), html.SOCIAL, html.SOCIAL_WORDS))).first()[0] == 4 + 22 * 900_000
+    assert time.monotonic() - began < 60
