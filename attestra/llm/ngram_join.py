@@ -11,13 +11,14 @@ each. A class has a label of ``depth`` MinHash bytes in each of ``trees`` tries.
    while the recall of the queries is under the target; without enough true pairs to tell, till the theory of
    MinHash promises it at the threshold.
 3. Ties at that depth are checked by the share of equal MinHash bytes, within a margin of the threshold, so that chance
-   meetings don't join groups. What remains joins classes into candidate groups, inside which every pair is verified on its
-   whole shingle sets (attestra.llm.blocks); no pair is written out.
+   meetings don't join groups. Between two similar classes of a node others may stand that are like one of them only, so in
+   nodes that still hold several groups every pair of classes of different groups is checked in the same way. What remains
+   joins classes into candidate groups, inside which every pair is verified on its whole shingle sets
+   (attestra.llm.blocks); no pair is written out.
 4. Audit: the links found for the queries are compared with those of the exact search. Under the target, prefixes are
-   shortened further; if even the shortest fall short, that is an error, never a partial result.
+   shortened further, and at last the margin is doubled; if even that falls short, it is an error, never a partial result.
 
-Where no query has a link there is nothing to measure, and the recall told is 1: the length of prefixes then rests on theory alone, which promises a shared
-prefix, while ties are only drawn between neighbours of the sort and kept by their share of equal bytes.
+Where no query has a link there is nothing to measure, and the recall told is 1: the length of prefixes then rests on theory alone.
 """
 
 from __future__ import annotations
@@ -169,6 +170,56 @@ def likely(ties: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return map_arrow(both, check, "a long, b long")
 
 
+def node_ties(ties: DataFrame, classes: DataFrame, groups: DataFrame, trees: int, depth: int, prefix: int, least: float, most: int, partitions: int) -> DataFrame:
+    """(a, b): ties that join the classes of different groups(id, component) which meet in a node of that prefix and agree in
+    at least that share of their MinHash bytes, for classes(rep, labels) and their forest_ties of at least that prefix.
+
+    A node is a run of the sort, so one of several groups has a tie between two of them, which tells the nodes to look at.
+    A node's groups of more than most classes have blocks of their own, the others share blocks; a pair of blocks is a matrix
+    (attestra.llm.blocks), and blocks of one and the same group are in none together.
+    """
+    named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "labels")
+    own = lambda name: named.select(F.col("rep").alias(name), F.col("comp").alias(f"c{name}"), F.col("labels").alias(f"l{name}"))
+    part = lambda labels, t: F.substring(labels, t * depth + 1, F.lit(prefix))
+    node = lambda labels, t: F.xxhash64(t, part(labels, t))
+    all_trees = F.sequence(F.lit(0), F.lit(trees - 1))
+    across = ties.select("a", "b").join(own("a"), "a").join(own("b"), "b").where("ca <> cb")
+    nodes = across.select(F.explode(F.transform(F.filter(all_trees, lambda t: part("la", t) == part("lb", t)), lambda t: node("la", t))).alias("grp")).distinct()
+    nodes = few(stored(nodes, "nodes"))
+    each = named.select("rep", "comp", "labels", F.explode(F.transform(all_trees, lambda t: node("labels", t))).alias("grp"))
+    members = stored(each.join(nodes, "grp", "left_semi").select("grp", "rep", "comp"), "members")
+    sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= most).groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(most)).alias("parts"))
+    sizes = sizes.join(small, "grp", "left").select("grp", "comp", F.when(F.col("n") > most, F.col("comp")).alias("large"), F.when(F.col("n") > most, F.ceil(F.col("n") / F.lit(most))).otherwise(F.col("parts")).alias("parts"))
+    block = F.xxhash64("large", F.pmod(F.xxhash64(F.when(F.col("large").isNull(), F.col("comp")).otherwise(F.col("rep")), F.lit("block")), F.col("parts")))
+    dealt = stored(members.join(sizes, ["grp", "comp"]).select("grp", "rep", "comp", "large", block.alias("own")), "members")
+    found = dealt.select("grp", "large", "own").distinct()
+    other = found.select("grp", F.col("large").alias("theirs"), F.col("own").alias("bj"))
+    pairs = found.withColumnRenamed("own", "bi").join(other, "grp").where("bi <= bj and (large is null or theirs is null or large <> theirs)")
+    pairs = pairs.select("grp", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("own"))
+    rows = dealt.select("grp", "own", "rep", "comp").join(pairs, ["grp", "own"]).join(classes.select("rep", "labels"), "rep")
+    rows = rows.select("grp", "bi", "bj", "own", F.col("rep").alias("id"), F.lit(1).cast("long").alias("copies"), F.concat(F.unhex(F.lpad(F.hex("comp"), 16, "0")), "labels").alias("value"))
+    tied = blocks.links(rows, "value", linked_by_bytes(least), partitions).where("id <> tied")
+    return tied.select(F.col("id").alias("a"), F.col("tied").alias("b")).distinct()
+
+
+def linked_by_bytes(least: float):
+    """Values of 8 bytes of a group and MinHash bytes -> the boolean matrix of those of different groups that agree in at least that share of bytes."""
+
+    def linked(values: list[bytes]) -> np.ndarray:
+        rows = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+        kinds, comp = np.unique(np.ascontiguousarray(rows[:, :8]).view(np.int64)[:, 0], return_inverse=True)
+        order = np.argsort(comp, kind="stable")
+        labels, ends = rows[order, 8:], np.searchsorted(comp[order], np.arange(len(kinds)), "right")
+        mat = np.zeros((len(values), len(values)), bool)
+        for k, end in enumerate(ends[comp[order]]):  # the rest are of groups to come
+            near = order[end:][(labels[end:] == labels[k]).mean(axis=1) >= least]
+            mat[order[k], near] = mat[near, order[k]] = True
+        return mat
+
+    return linked
+
+
 def _ask(docs: DataFrame, every: int) -> Column:
     """Which rows are queries: doc_id divisible by every; where none is, one in so many by hash, or else all (of few)."""
     for picked in (F.col("doc_id") % every == 0, F.pmod(F.xxhash64("doc_id", F.lit("ask")), F.lit(every)) == 0):
@@ -320,9 +371,14 @@ def ngram_join(
     truth = stored(exact_search(docs.select("doc_id", "text"), threshold, size, trees, depth, audit_every), "truth")
     measured, queries = recalls(truth, depth)
     ties = stored(forest_ties(classes, trees, depth, LEAST_DEPTH, partitions), "ties")
-    for d in range(prefix_length(measured, queries, threshold, trees, recall, LEAST_DEPTH), LEAST_DEPTH - 1, -1):
-        edges = stored(likely(ties.where(F.col("prefix") >= d), classes, threshold - MARGIN), "edges")
-        judged = stored(_verified(docs, classes, edges, threshold, size, most, partitions), "judged")
+    first = prefix_length(measured, queries, threshold, trees, recall, LEAST_DEPTH)
+    for d, margin in [*((d, MARGIN) for d in range(first, LEAST_DEPTH - 1, -1)), (LEAST_DEPTH, 2 * MARGIN)]:
+        met = ties.where(F.col("prefix") >= d)
+        groups = stored(components(stored(likely(met, classes, threshold - margin), "edges")), "groups")
+        more = stored(node_ties(met, classes, groups, trees, depth, d, threshold - margin, most, partitions), "edges")
+        if not more.isEmpty():
+            groups = stored(components(more.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))), "groups")
+        judged = stored(_verified(docs, classes, groups, threshold, size, most, partitions), "judged")
         found = _audited(truth, judged)
         _log.info("prefixes of %d: audited recall %.5f over %d queries", d, found, queries)
         if found >= recall:
@@ -334,9 +390,9 @@ def ngram_join(
     )
 
 
-def _verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, threshold: float, size: int, most: int, partitions: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, size: int, most: int, partitions: int) -> DataFrame:
     """(class_hash, copies, other, class_id) for each class: how many rows of other classes it is linked with."""
-    grouped = stored(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("grp")), "groups")
+    grouped = groups.select(F.col("id").alias("rep"), F.col("component").alias("grp"))
     picked = few(stored(blocks.counted(grouped, most).join(classes.select("rep", "copies"), "rep"), "picked"))
     members = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(picked, "rep")
     rows = blocks.dealt(members.withColumnRenamed("rep", "id"))

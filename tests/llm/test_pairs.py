@@ -137,6 +137,43 @@ def test_ngram_recall_under_target_is_an_error(spark):
         ngram_join.ngram_join(df, recall=2.0, audit_every=10).count()
 
 
+def around_one(copies, seed=4):
+    """A text and copies of it at a similarity of 0.8, which among themselves have about 0.65."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(409)]
+    out = [" ".join(base)]
+    for c in range(copies):
+        own, shift = list(base), r.randrange(5)
+        for k in r.sample(range(80), 9):  # each changes five shingles of its own
+            own[4 + shift + 5 * k] = f"x{c}y{k}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("most", [16, 1024])
+def test_ngram_join_links_over_classes_that_stand_between(spark, most):
+    rows = list(enumerate(around_one(80)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(df, most=most).collect())
+    assert got == brute(rows) and got[0] == (0, 0, 80)
+
+
+@pytest.mark.parametrize("most", [3, 7, 1024])
+def test_node_ties_join_what_meets_in_a_node(spark, most):
+    r = random.Random(9)
+    labels = {k: bytes(r.choice(b"abc") for _ in range(3 * 6)) for k in range(90)}
+    group = {k: k % 9 if k < 60 else k for k in labels}  # some large ones in each node
+    group = {k: min(x for x in labels if group[x] == g) for k, g in group.items()}
+    classes = spark.createDataFrame(list(labels.items()), "rep long, labels binary")
+    groups = spark.createDataFrame([(k, g) for k, g in group.items() if k < 60], "id long, component long")
+    ties = ngram_join.forest_ties(classes, 3, 6, 2, 3)
+    got = [(x.a, x.b) for x in ngram_join.node_ties(ties, classes, groups, 3, 6, 2, 0.6, most, 3).collect()]
+    meet = lambda a, b: any(labels[a][6 * t : 6 * t + 2] == labels[b][6 * t : 6 * t + 2] for t in range(3))
+    agree = lambda a, b: sum(x == y for x, y in zip(labels[a], labels[b], strict=True)) >= 0.6 * 18
+    want = [(a, b) for a in labels for b in labels if a < b and group[a] != group[b] and meet(a, b) and agree(a, b)]
+    assert want and closure(labels, got + list(group.items())) == closure(labels, want + list(group.items()))
+
+
 def test_shingles_equal_plain_sets():
     texts = near_texts(3) + [t or "" for t in EDGES]
     hashes, at = shingles.shingle_hashes([t.encode() for t in texts])
