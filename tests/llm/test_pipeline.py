@@ -6,7 +6,7 @@ from pathlib import Path
 import corpus_pipeline
 import pytest
 from tests.conftest import SF, same
-from tests.llm.test_pairs import brute
+from tests.llm.test_pairs import around_one, brute
 from tests.llm.test_texts import contaminated
 
 from attestra.llm import queries
@@ -68,6 +68,11 @@ def test_stages(spark, folder):
     assert nameless["quality"] == nameless["ngram_dedup"] == {("benchmark", "en"), ("clean", "en")} and nameless["decontamination"] == {("clean", "en")}
 
 
+def test_third_stage_finds_links_over_classes_that_stand_between(spark, folder):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*around_one(80), "another text"])], SCHEMA)
+    assert sorted(x.doc_id for x in dict(corpus_pipeline.STAGES)["ngram_dedup"](spark, docs, folder).collect()) == [0, 81]
+
+
 def test_stages_of_no_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
