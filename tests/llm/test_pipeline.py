@@ -73,6 +73,12 @@ def test_third_stage_finds_links_over_classes_that_stand_between(spark, folder):
     assert sorted(x.doc_id for x in dict(corpus_pipeline.STAGES)["ngram_dedup"](spark, docs, folder).collect()) == [0, 81]
 
 
+def test_third_stage_keeps_one_document_of_shifted_copies(spark, folder):
+    texts = [*around_one(80), "another text"]
+    docs = spark.createDataFrame([(100 + i + 300 * k, t, "en", "s", len(t)) for k in range(6) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(x.doc_id for x in dict(corpus_pipeline.STAGES)["ngram_dedup"](spark, docs, folder).collect()) == [100, 181]
+
+
 def test_stages_of_no_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
